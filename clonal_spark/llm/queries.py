@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonal_spark.llm import bpe, mixing, repetition, token_store
+from clonal_spark.llm import bpe, host_reputation, minhash, mixing, projection_search, repetition, token_store
 from clonal_spark.session import Scratch
 
 
@@ -20,6 +20,14 @@ def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, scratch)
 
 
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op4_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_search.search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
@@ -28,15 +36,53 @@ def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_content_addressed_store, op6_repetition_coverage, op7_capped_water_filling, op9_duckdb_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_content_addressed_store, op3_host_reputation, op4_projection_search, op6_repetition_coverage, op7_capped_water_filling, op8_setsketch_near_dedup, op9_duckdb_bpe,
+)}
 
 #: Word pattern of the contracts.
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_RULES = sorted(host_reputation.RULES, key=lambda r: (-len(r[0]), r[0]))
+
+
+def _fits(rule: str) -> str:
+    name, slash, rest = rule.partition("/")
+    return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}')"
+
+
+def _level_sql(name: str, groups: str) -> str:
+    return f"""{name}_groups AS ({groups}),
+{name} AS (SELECT g.*, n + kappa AS strength, (bad + kappa * prior) / (n + kappa) AS mean
+  FROM {name}_groups g, (SELECT 1 / least(greatest(CASE WHEN sum((n - 1) * prior * (1 - prior)) > 0
+      THEN (sum(n * pow(bad::DOUBLE / n - prior, 2)) - sum(prior * (1 - prior))) / sum((n - 1) * prior * (1 - prior)) ELSE {host_reputation.RHO_LEAST} END,
+      {host_reputation.RHO_LEAST}::DOUBLE), {host_reputation.RHO_MOST}::DOUBLE) - 1 AS kappa FROM {name}_groups WHERE n > 0))"""
+
+
+_OP3 = rf"""
+WITH parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{host_reputation._UPPER}', '{host_reputation._LOWER}') AS host,
+                       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+outcome AS (SELECT doc_id AS page_id, (coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain
+          FROM parsed LEFT JOIN outcome USING (page_id) GROUP BY host),
+{_level_sql("by_suffix", f"SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM hosts, (SELECT (sum(bad) + {host_reputation.PRIOR_BAD}::DOUBLE) / (sum(n) + {host_reputation.PRIOR_ALL}::DOUBLE) AS prior FROM hosts) GROUP BY suffix")},
+{_level_sql("by_domain", "SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.bad) AS bad, any_value(s.mean) AS prior FROM hosts h JOIN by_suffix s USING (suffix) GROUP BY 1, 2")},
+{_level_sql("by_host", "SELECT h.host, h.n, h.bad, d.mean AS prior FROM hosts h JOIN by_domain d USING (domain)")},
+known AS (SELECT host, n::BIGINT AS n_labelled, bad::BIGINT AS n_bad, mean AS bad_mean, mean - {host_reputation.Z}::DOUBLE * sqrt(mean * (1 - mean) / (strength + 1)) AS bad_bound FROM by_host),
+ruled AS (SELECT *, CASE {' '.join(f"WHEN {_fits(r)} THEN '{r}'" for r, _ in _RULES)} END AS rule FROM parsed)
+SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in _RULES)} WHEN bad_bound > {host_reputation.LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
+       n_labelled, n_bad, round(bad_mean, 6) AS bad_mean, round(bad_bound, 6) AS bad_bound
+FROM ruled JOIN known USING (host)
+"""
+
 _OP6_GRAMS = ",\n".join(
     f"""g{n} AS (SELECT doc_id, sum(CASE WHEN covered THEN length(w) ELSE 0 END)::BIGINT AS dup_chars_{n}, sum(covered::INT)::BIGINT AS n_covered_{n}
   FROM (SELECT doc_id, w, coalesce(max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS covered
@@ -82,4 +128,4 @@ SELECT doc_id, source, size, source_size, target,
        (whole * size + least(greatest(CASE WHEN capped THEN 0 ELSE round(target)::BIGINT - whole * source_size END - start, 0), size))::BIGINT AS taken FROM epochs
 """
 
-ORACLE_SQL = {"op6_repetition_coverage": _OP6, "op7_capped_water_filling": _OP7}
+ORACLE_SQL = {"op3_host_reputation": _OP3, "op6_repetition_coverage": _OP6, "op7_capped_water_filling": _OP7}
