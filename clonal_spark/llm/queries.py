@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonal_spark.llm import bpe, host_reputation, minhash, mixing, projection_search, repetition, token_store
+from clonal_spark.llm import bpe, column_bwt, host_reputation, minhash, mixing, projection_search, repetition, token_store
 from clonal_spark.session import Scratch
 
 
@@ -28,6 +28,10 @@ def op4_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_search.search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op5_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_bwt.removals(_table(spark, sf_dir, "documents"))
+
+
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_content_addressed_store, op3_host_reputation, op4_projection_search, op6_repetition_coverage, op7_capped_water_filling, op8_setsketch_near_dedup, op9_duckdb_bpe,
+    op2_content_addressed_store, op3_host_reputation, op4_projection_search, op5_column_bwt, op6_repetition_coverage, op7_capped_water_filling, op8_setsketch_near_dedup, op9_duckdb_bpe,
 )}
 
 #: Word pattern of the contracts.
