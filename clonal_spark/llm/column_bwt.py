@@ -300,9 +300,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = None) -> DataFrame:
     """The documents without their repeated bytes, with all their columns; a null text stays null. Cuts may fall
-    within a character: incomplete UTF-8 at a cut is dropped."""
+    within a character: incomplete UTF-8 at a cut is dropped. n_chars_col: a column that follows the text's length."""
     scratch = Scratch(docs.sparkSession, "column-bwt")
     keyed = _keyed(docs, id_col, text_col).select("row_key", "text")
     spans = spans_of(keyed, scratch).groupBy("row_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
@@ -317,5 +317,6 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     kind = joined.schema["others"].dataType.simpleString()
     cut = joined.mapInArrow(run, f"others {kind}, text string")
-    columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"others.`{c}`") for c in names]
+    length = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col(f"others.`{n_chars_col}`")).cast(docs.schema[n_chars_col].dataType).alias(n_chars_col) if n_chars_col in names else None
+    columns = [F.col("text").alias(text_col) if c == text_col else length if c == n_chars_col else F.col(f"others.`{c}`") for c in names]
     return cut.select(*columns)

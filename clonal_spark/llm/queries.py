@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonal_spark.llm import bpe, column_bwt, host_reputation, minhash, mixing, projection_search, repetition, token_store
+from clonal_spark.llm import bpe, chaining, column_bwt, gru_lm, host_reputation, minhash, mixing, projection_search, repetition, token_store
 from clonal_spark.session import Scratch
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
     token_store.write_store(_table(spark, sf_dir, "documents"), scratch, public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,8 +52,12 @@ def op9_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_content_addressed_store, op3_host_reputation, op4_projection_search, op5_column_bwt, op6_repetition_coverage, op7_capped_water_filling, op8_setsketch_near_dedup, op9_duckdb_bpe,
+    op1_collinear_chaining, op2_content_addressed_store, op3_host_reputation, op4_projection_search, op5_column_bwt, op6_repetition_coverage, op7_capped_water_filling, op8_setsketch_near_dedup, op9_duckdb_bpe, op10_gru_language_model,
 )}
 
 #: Word pattern of the contracts.
