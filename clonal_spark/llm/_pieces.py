@@ -1,77 +1,115 @@
 """Texts as indexes of remembered pieces, for encoders that split text at a byte-level pattern.
 
-The pattern's words may begin with one space but never hold a space after a non-space, so a text can be
-cut before every space that a non-space follows without changing its words. Pieces recur; each distinct
-one is encoded once per Python worker while it is remembered."""
+The pattern's words are an optional space and a run of letters, digits or marks, or runs of white space. So
+a text can be cut, whatever stands around, before a space that a non-space follows, before white space that
+follows a non-space, between a letter or digit and a full stop or comma, and behind a lone line feed before
+a non-space: words and their ids stay the same. Where bytes do not show what a character is, there is no
+cut. Pieces recur; each distinct one is encoded once per Python worker while it is remembered. Pieces are
+told apart by 64-bit hashes, in a table with open addressing that is searched for whole slabs at once."""
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 
-#: Distinct pieces that a worker remembers; beyond it forgets them all and starts anew.
-MEMORY_PIECES = 700_000
-#: A space that a non-space does not follow.
-_LOOSE = re.compile(r" (?:\s|\Z)")
-
-
-class Pieces(dict):
-    """Piece to index. A piece is stored without its leading space; keys of other pieces start with a NUL mark."""
-
-    def __init__(self):
-        super().__init__()
-        self.pending: list[str] = []
-        self.met = np.zeros(1 << 12, np.uint8)
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.pending.append(key)
-        return n
-
-    def indexes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of all pieces in order, and how many each text has."""
-        rows, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            parts = text.split(" ")
-            if _LOOSE.search(text) or "\0" in text:
-                parts = self._careful(parts)
-            else:
-                parts[0] = "\0" + parts[0]
-                if parts[0] == "\0":
-                    del parts[0]
-            rows.append(map(self.__getitem__, parts))
-            counts[i] = len(parts)
-        which = np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum()))
-        if len(self) > len(self.met):
-            self.met = np.concatenate([self.met, np.zeros(len(self), np.uint8)])
-        self.met[which[self.met[which] == 1]] = 2  # met in an earlier call
-        self.met[which[self.met[which] == 0]] = 1
-        return which, counts
+from clonal_spark.llm import _text
+
+#: Distinct pieces that a worker remembers; beyond it, it keeps those it met in more than one call.
+MEMORY_PIECES = 1_300_000
+
+_byte = np.arange(256)
+_WHITE = (_byte == 0x20) | ((_byte >= 0x09) & (_byte <= 0x0D))
+#: First bytes of characters that are no white space for certain, and last bytes of such.
+_SOLID = ((_byte > 0x20) & (_byte < 0x7F)) | ((_byte >= 0xC3) & (_byte <= 0xDF)) | (_byte >= 0xE4)
+_HARD = (_byte > 0x20) & (_byte < 0x7F)
+_POINT = (_byte == ord(".")) | (_byte == ord(","))
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces of a slab, and the first piece of each document."""
+    n = len(data)
+    cuts = np.zeros(n + 1, bool)
+    if n > 1:
+        solid_next = _SOLID[data[1:]]
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        solid_next[inner - 1] = False  # what follows is of another document
+        hard, white = _HARD[data], _WHITE[data]
+        cuts[: n - 1] |= (data[:-1] == 0x20) & solid_next
+        cuts[1:n] |= white[1:] & hard[:-1]
+        cuts[1:n] |= _POINT[data[1:]] & _ALNUM[data[:-1]]
+        cuts[2:n] |= (data[1:-1] == 0x0A) & hard[:-2] & solid_next[1:]
+    cuts[offsets] = True
+    starts = np.flatnonzero(cuts[:n])
+    return starts, np.searchsorted(starts, offsets)
+
+
+class Pieces:
+    """Index of each remembered hash."""
+
+    def __init__(self, room: int = 1 << 16):
+        self.keys, self.at = np.zeros(room, np.uint64), np.zeros(room, np.int32)
+        self.count = 0
+        self.hashes = np.zeros(room, np.uint64)
+        self.met = np.zeros(room, np.uint8)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Indexes, -1 where there is none."""
+        mask = np.uint64(len(self.keys) - 1)
+        place = (h & mask).astype(np.int64)
+        out = np.full(len(h), -1, np.int32)
+        key = self.keys[place]
+        hit = key == h
+        out[hit] = self.at[place[hit]]
+        left = np.flatnonzero(~hit & (key != 0))
+        while len(left):
+            place[left] = (place[left] + 1) & int(mask)
+            key = self.keys[place[left]]
+            hit = key == h[left]
+            out[left[hit]] = self.at[place[left[hit]]]
+            left = left[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Indexes of distinct hashes that are not there yet."""
+        new = np.arange(self.count, self.count + len(h), dtype=np.int32)
+        if self.count + len(h) > len(self.hashes):
+            more = max(len(self.hashes) // 2, len(h))
+            self.hashes, self.met = np.concatenate([self.hashes, np.zeros(more, np.uint64)]), np.concatenate([self.met, np.zeros(more, np.uint8)])
+        self.hashes[new] = h
+        self.count += len(h)
+        if self.count * 3 > len(self.keys) * 2:
+            room = len(self.keys)
+            while self.count * 3 > room * 2:
+                room *= 2
+            self.keys, self.at = np.zeros(room, np.uint64), np.zeros(room, np.int32)
+            self._place(self.hashes[: self.count], np.arange(self.count, dtype=np.int32))
+        else:
+            self._place(h, new)
+        return new
+
+    def _place(self, h: np.ndarray, index: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        place = (h & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.keys[place[left]] == 0]
+            self.keys[place[free]] = h[free]  # of several at one place, one stays
+            mine = self.keys[place[left]] == h[left]
+            self.at[place[left[mine]]] = index[left[mine]]
+            left = left[~mine]
+            place[left] = (place[left] + 1) & mask
+
+    def meet(self, which: np.ndarray) -> None:
+        """Notes a call's indexes; `often` are those of more than one call."""
+        which = np.flatnonzero(np.bincount(which, minlength=self.count))
+        self.met[which] = np.minimum(self.met[which] + 1, 2)
 
     def often(self) -> np.ndarray:
-        """Indexes of the pieces met in more than one call."""
-        return np.flatnonzero(self.met[: len(self)] == 2)
-
-    @staticmethod
-    def _careful(parts: list[str]) -> list[str]:
-        out: list[str] = ["\0" + parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(p if p[0] != "\0" else "\0 " + p)
-            elif out[-1][:1] == "\0":
-                out[-1] += " " + p
-            else:
-                out[-1] = "\0 " + out[-1] + " " + p
-        return out if out[0] != "\0" else out[1:]
-
-    def taken(self) -> list[str]:
-        """Pieces met since the last call, as texts."""
-        new, self.pending = self.pending, []
-        return [k[1:] if k[:1] == "\0" else " " + k for k in new]
+        return np.flatnonzero(self.met[: self.count] == 2)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.maximum(_text.ranges_hash(data, starts, ends, _text._VALUE), np.uint64(1))
 
 
 class Ragged:
@@ -97,7 +135,8 @@ class Ragged:
         """The lists of which, joined, and their lengths."""
         lengths = self.lengths[which].astype(np.int64)
         ends = np.cumsum(lengths)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - ends + lengths, lengths)
+        at = np.repeat(self.starts[which] - ends + lengths, lengths)
+        at += np.arange(len(at))
         return self.flat[at], lengths
 
     def kept(self, which: np.ndarray) -> Ragged:
@@ -107,18 +146,11 @@ class Ragged:
         return out
 
 
-def key_of(text: str) -> str:
-    """The key of a piece."""
-    return text[1:] if text[0] == " " and len(text) > 1 and not text[1].isspace() and text[1] != "\0" else "\0" + text
-
-
 def forgetting(pieces: Pieces, tables: list[Ragged]) -> tuple[Pieces, list[Ragged]]:
-    """What remains of the memory: pieces met more than once, if they are few enough."""
+    """What remains of the memory: pieces met in more than one call, if they are few enough."""
     often = pieces.often()
     if len(often) > MEMORY_PIECES * 3 // 4:
         often = often[:0]
-    keys = list(pieces)
     out = Pieces()
-    for k in often.tolist():
-        dict.__setitem__(out, keys[k], len(out))
+    out.add(pieces.hashes[often])
     return out, [t.kept(often) for t in tables]

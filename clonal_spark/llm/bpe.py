@@ -23,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from clonal_spark.llm import _pieces
+from clonal_spark.llm import _pieces, _text
 from clonal_spark.llm._pieces import Pieces, Ragged
 
 LONG_WORD = 128
 #: Words, and bytes of words, that one query takes.
 QUERY_WORDS, QUERY_BYTES = 60_000, 600_000
+#: Bytes of texts that are worked on at once.
+SLAB = 4 << 20
 
 _ENCODE = """
 WITH RECURSIVE step(w, pos, tok, best) AS (
@@ -151,38 +153,49 @@ class Bpe:
             lo = hi
         return np.frombuffer(b"".join(out), np.uint8), sizes
 
-    def _learn(self) -> None:
+    def _learn(self, new: list[bytes], indexes: np.ndarray) -> None:
         """Pieces of several words are put together from their words, which are remembered as pieces too."""
-        new = self.pieces.taken()
-        if not new:
-            return
-        at = len(self.pieces) - len(new)
-        found = [self.pattern.findall(p) for p in new]
-        several = [i for i, ws in enumerate(found) if len(ws) > 1]
-        members = np.fromiter((self.pieces[_pieces.key_of(w)] for i in several for w in found[i]), np.int64)
-        words = [(at + i, p) for i, p in enumerate(new) if len(found[i]) == 1]
-        more = self.pieces.taken()
-        words += list(enumerate(more, at + len(new)))
-        indexes = np.array([i for i, _ in words], np.int64)
-        ids, lengths = self.words([w.encode() for _, w in words])
-        self.ids.put(indexes, ids, lengths)
-        self.bytes.put(indexes, *self.decoded(ids, lengths))
-        owners = np.repeat(np.arange(len(several)), [len(found[i]) for i in several])
+        found = [self.pattern.findall(p.decode()) for p in new]
+        single = np.array([len(ws) == 1 for ws in found], bool)
+        several = [ws for ws in found if len(ws) > 1]
+        words = [w.encode() for ws in several for w in ws]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        h = _pieces.hashed(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends) if words else np.zeros(0, np.uint64)
+        members = self.pieces.find(h)
+        missing = np.flatnonzero(members < 0)
+        fresh, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+        more = self.pieces.add(fresh)
+        members[missing] = more[back]
+        todo = [p for p, s in zip(new, single.tolist(), strict=True) if s] + [words[i] for i in missing[one].tolist()]
+        at = np.concatenate([indexes[single], more])
+        ids, lengths = self.words(todo)
+        self.ids.put(at, ids, lengths)
+        self.bytes.put(at, *self.decoded(ids, lengths))
+        owners = np.repeat(np.arange(len(several)), [len(ws) for ws in several])
         for table in (self.ids, self.bytes):
             flat, each = table.gather(members)
-            table.put(at + np.array(several, np.int64), flat, np.bincount(owners, each, len(several)).astype(np.int64))
+            table.put(indexes[~single], flat, np.bincount(owners, each, len(several)).astype(np.int64))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Joined ids of the texts and how many each has, then the same of the decoded bytes."""
-        if len(self.pieces) > _pieces.MEMORY_PIECES:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Joined ids of a slab's texts and how many each has, then the same of the decoded bytes."""
+        if self.pieces.count > _pieces.MEMORY_PIECES:
             self.pieces, (self.ids, self.bytes) = _pieces.forgetting(self.pieces, [self.ids, self.bytes])
-        which, counts = self.pieces.indexes(texts)
-        self._learn()
+        starts, first = _pieces.cut(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        h = _pieces.hashed(data, starts, ends)
+        which = self.pieces.find(h)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            indexes = self.pieces.add(new)
+            which[missing] = indexes[back]
+            raw = data.tobytes()
+            self._learn([raw[a:b] for a, b in zip(starts[missing[one]].tolist(), ends[missing[one]].tolist(), strict=True)], indexes)
+        self.pieces.meet(which)
         out = []
         for table in (self.ids, self.bytes):
             flat, lengths = table.gather(which)
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-            out += [flat, np.diff(ends, prepend=0)]
+            out += [flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])]
         return tuple(out)
 
 
@@ -197,17 +210,6 @@ def _bpe(ranks_file: str, pattern: str) -> Bpe:
     return _BPES[ranks_file, pattern]
 
 
-def _some(texts: list[str], limit: int = 6 << 20) -> Iterator[slice]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > limit:
-            yield slice(lo, i + 1)
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
-
-
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids its ids. A map over the scan."""
     kind = dict(docs.dtypes)[id_col]
@@ -215,15 +217,15 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_file, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in _some(texts):
-                ids, n_ids, raw, n_raw = bpe.encode(texts[part])
-                rows, i, j = [], 0, 0
-                for n, m in zip(n_ids.tolist(), n_raw.tolist(), strict=True):
-                    shown, _ = bpe.shown.gather(ids[i : i + n])
-                    rows.append((hashlib.sha256(shown[1:]).hexdigest(), hashlib.sha256(raw[j : j + m]).hexdigest()))
-                    i, j = i + n, j + m
-                columns = [batch.column(0)[part.start : part.stop], pa.array(n_ids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
+            for slab in _text.slabs(batch.column(1), SLAB):
+                ids, n_ids, raw, n_raw = bpe.encode(slab.data, slab.offsets)
+                rows, j = [], 0
+                shown, lengths = bpe.shown.gather(ids)
+                ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_ids)])].tolist()
+                for k, m in enumerate(n_raw.tolist()):
+                    rows.append((hashlib.sha256(shown[ends[k] + 1 : ends[k + 1]]).hexdigest(), hashlib.sha256(raw[j : j + m]).hexdigest()))
+                    j += m
+                columns = [batch.column(0)[slab.first : slab.first + len(n_ids)], pa.array(n_ids), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(ids.astype(np.int32))))

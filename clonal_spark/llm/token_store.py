@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clonal_spark.llm import _pieces
+from clonal_spark.llm import _pieces, _text
 from clonal_spark.llm._pieces import Pieces, Ragged
 from clonal_spark.session import Scratch
 
@@ -57,12 +57,11 @@ class Encoder:
             self.bytes[i] = len(token)
         self.pieces, self.ids = Pieces(), Ragged()
 
-    def _learn(self, new: list[str]) -> None:
-        at = len(self.pieces) - len(new)
+    def _learn(self, new: list[str], indexes: np.ndarray) -> None:
         for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
+            part, at = new[lo : lo + 20_000], indexes[lo : lo + 20_000]
             # pieces that start with a space and a non-space are encoded many at a time: their words stay apart
-            joined = [p[0] == " " and len(p) > 1 and not p[1].isspace() for p in part]
+            joined = np.array([p[0] == " " and len(p) > 1 and not p[1].isspace() for p in part], bool)
             own = [p for p, j in zip(part, joined, strict=True) if not j]
             many = [p for p, j in zip(part, joined, strict=True) if j]
             texts = ["".join(many[i : i + 500]) for i in range(0, len(many), 500)]
@@ -73,25 +72,28 @@ class Encoder:
             stops = np.searchsorted(reached, ends) + 1
             if len(ends) and not np.array_equal(reached[stops - 1], ends):
                 raise ValueError("the tokenizer is not byte-level")
+            self.ids.put(at[joined], flat, np.diff(stops, prepend=0))
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-            lengths = np.zeros(len(part), np.int64)
-            mask = np.array(joined, bool)
-            lengths[mask] = np.diff(stops, prepend=0)
-            lengths[~mask] = [len(x) for x in lists]
-            out = np.zeros(int(lengths.sum()), np.uint32)
-            from_many = np.repeat(mask, lengths)
-            out[from_many] = flat
-            out[~from_many] = [i for x in lists for i in x]
-            self.ids.put(np.arange(at + lo, at + lo + len(part)), out, lengths)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) > _pieces.MEMORY_PIECES:
+            self.ids.put(at[~joined], np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joined ids of a slab's texts, and how many each has."""
+        if self.pieces.count > _pieces.MEMORY_PIECES:
             self.pieces, (self.ids,) = _pieces.forgetting(self.pieces, [self.ids])
-        which, counts = self.pieces.indexes(texts)
-        self._learn(self.pieces.taken())
+        starts, first = _pieces.cut(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        h = _pieces.hashed(data, starts, ends)
+        which = self.pieces.find(h)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            indexes = self.pieces.add(new)
+            which[missing] = indexes[back]
+            raw = data.tobytes()
+            self._learn([raw[a:b].decode() for a, b in zip(starts[missing[one]].tolist(), ends[missing[one]].tolist(), strict=True)], indexes)
+        self.pieces.meet(which)
         ids, lengths = self.ids.gather(which)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-        return np.split(ids, ends[:-1]) if texts else []
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -102,9 +104,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= MIN_IDS:
         return [n]
-    gear, h = _GEAR[ids & 0xFFFF], np.zeros(n, np.uint32)
-    for j in range(WINDOW):
-        h[j:] += gear[: n - j] * np.uint32(pow(0x9E3779B1, j, 1 << 32))
+    gear = _GEAR[ids & 0xFFFF]
+    h = np.zeros(n, np.uint32)
+    for j in range(WINDOW):  # the hash of the last WINDOW ids, by shifts
+        h[j:] += gear[: n - j] << np.uint32(3 * j)
     marks, out, last = np.flatnonzero(h < (1 << 32) // MEAN_IDS) + 1, [], 0
     k = 0
     while n - last > MIN_IDS:
@@ -140,24 +143,25 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
-def _one_zero_bit() -> list[int]:
-    return [0xEDB88320, *(1 << i for i in range(31))]
-
-
-_SHIFTS: list[list[int]] = []
+_SHIFTS: list[tuple[list[int], list[list[int]]]] = []
 
 
 def _shift(crc: int, n: int) -> int:
-    """crc after n zero bytes, by squared operators."""
+    """crc after n zero bytes, by squared operators, each as four tables of bytes."""
     k = 0
     while n >> k:
         if k >= len(_SHIFTS):
-            m = _one_zero_bit() if not _SHIFTS else _SHIFTS[-1]
-            for _ in range(3 if not _SHIFTS else 1):
+            if _SHIFTS:
+                m = _SHIFTS[-1][0]
                 m = [_times(m, c) for c in m]
-            _SHIFTS.append(m)
+            else:  # one zero bit, squared to a byte
+                m = [0xEDB88320, *(1 << i for i in range(31))]
+                for _ in range(3):
+                    m = [_times(m, c) for c in m]
+            _SHIFTS.append((m, [[_times(m, v << 8 * j) for v in range(256)] for j in range(4)]))
         if n >> k & 1:
-            crc = _times(_SHIFTS[k], crc)
+            a, b, c, d = _SHIFTS[k][1]
+            crc = a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24]
         k += 1
     return crc
 
@@ -171,27 +175,36 @@ def _chunked(tokenizer_file: str, wide: bool):
         encoder = _ENCODERS[tokenizer_file]
         here: set[bytes] = set()  # chunks that this task has sent already
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows: list[tuple] = []
-                ids_of = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, ids in zip(part.column(0), ids_of, strict=True):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    last, names, payload = 0, [], []
-                    for end in cuts(ids):
-                        raw = ids[last:end].astype(kind).tobytes()
+            for slab in _text.slabs(batch.column(1)):
+                flat, counts = encoder.encode(slab.data, slab.offsets)
+                n_docs = len(counts)
+                # every document's ids with the end behind them
+                ends = np.cumsum(counts + 1)
+                ids = np.full(int(ends[-1]), END_ID, kind)
+                inside = np.ones(len(ids), bool)
+                inside[ends - 1] = False
+                ids[inside] = flat
+                digests, roots, chunks, chunk_counts = [], [], [], np.zeros(n_docs + 1, np.int32)
+                for i, (a, b) in enumerate(zip((ends - counts - 1).tolist(), ends.tolist(), strict=True)):
+                    names, last = [], a
+                    for end in cuts(ids[a:b]):
+                        raw = ids[last : a + end].tobytes()
                         name = hashlib.sha256(raw).digest()[:DIGEST_BYTES]
                         names.append(name)
                         if name not in here:
-                            if len(here) > 500_000:
+                            if len(here) > 300_000:
                                 here.clear()
                             here.add(name)
-                            payload.append((name, raw))
-                        last = end
-                    rows.append((doc_id.as_py(), len(ids), b"".join(names), merkle_root(names), [{"digest": a, "ids": b} for a, b in payload]))
-                chunk = pa.struct([("digest", pa.binary()), ("ids", pa.binary())])
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.list_(chunk))], names=["doc_id", "n_tokens", "digests", "root", "chunks"])
+                            chunks.append((name, raw))
+                        last = a + end
+                    chunk_counts[i + 1] = len(chunks)
+                    digests.append(b"".join(names))
+                    roots.append(merkle_root(names))
+                sent = pa.StructArray.from_arrays([pa.array([c[0] for c in chunks], pa.binary()), pa.array([c[1] for c in chunks], pa.binary())], ["digest", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[slab.first : slab.first + n_docs], pa.array(counts + 1), pa.array(digests, pa.binary()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(chunk_counts), sent)],
+                    names=["doc_id", "n_tokens", "digests", "root", "chunks"],
+                )
 
     return run
 

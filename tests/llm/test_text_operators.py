@@ -107,6 +107,36 @@ def test_bpe(docs, empty):
     assert bpe.encode_decode(empty, file, public_tokenizers.PATTERN).count() == 0
 
 
+def slab_of(texts):
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+
+
+def test_encoders_on_odd_texts():
+    """Every way of cutting must leave ids as the libraries give them."""
+    import random
+
+    import numpy as np
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(file), special_tokens={})
+    own, encoder = bpe.Bpe(file, public_tokenizers.PATTERN), token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(5)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", ".", ",", "..", "'s", "'", "a", "B", "é", "\u0301", "7", "½", "_", "\xa0", "\u2003", "\u3000", "“", "foo", "\0", "\x1c", "\x85", "日", "😀", " x", "<|endoftext|>", "\x7f"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(0, 14))) for _ in range(4000)]
+    ids, n, raw, _ = own.encode(*slab_of(texts))
+    want = [known.encode_ordinary(t) for t in texts]
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == [] and bytes(raw) == "".join(texts).encode()
+    ids, n = encoder.encode(*slab_of(texts))
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])], want, strict=True) if a != b] == []
+
+
 def test_bpe_forgets_and_keeps_right(monkeypatch):
     import tiktoken
 
@@ -118,7 +148,7 @@ def test_bpe_forgets_and_keeps_right(monkeypatch):
     own = bpe.Bpe(file, public_tokenizers.PATTERN)
     for round_ in range(6):
         texts = [f"common words, then {round_}x{i} rare{i * round_}." for i in range(30)]
-        ids, n, raw, _ = own.encode(texts)
+        ids, n, raw, _ = own.encode(*slab_of(texts))
         assert ids.tolist() == [i for t in texts for i in known.encode_ordinary(t)]
         assert bytes(raw) == "".join(texts).encode()
 
