@@ -115,6 +115,10 @@ CTES["givens"] = """SELECT tumour_id, -sum(ne / total * n / ne * ln(n / ne + 1e-
     (SELECT tumour_id, n::DOUBLE AS n, (sum(n) OVER (PARTITION BY tumour_id, est_k))::DOUBLE AS ne, (sum(n) OVER (PARTITION BY tumour_id, true_k))::DOUBLE AS nt, (sum(n) OVER (PARTITION BY tumour_id))::DOUBLE AS total FROM cells) GROUP BY 1"""
 CTES["z"] = "SELECT vec_id, label AS arm, (vec_id % 100) / 100.0::DOUBLE AS reward, embedding[:8]::DOUBLE[] AS z FROM embeddings"
 
+_SWEEP = " UNION ALL ".join(f"SELECT {k} AS n_k, tumour_id, sample_id, i - 1 AS k, {_clip('q[i]', '1e-6::DOUBLE', '1 - 1e-6::DOUBLE')} AS center FROM (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(f'{i}::DOUBLE / {k + 1}' for i in range(1, k + 1))}]) AS q FROM obs GROUP BY 1, 2), (SELECT unnest(range(1, {k + 1})) AS i)" for k in range(1, 11))
+CTES["sweep"] = f"""SELECT n_k, tumour_id, mut_id, ln(sum(exp(l - top))) + max(top) - ln(n_k) AS ll FROM (SELECT *, max(l) OVER (PARTITION BY n_k, tumour_id, mut_id) AS top FROM
+    (SELECT n_k, tumour_id, mut_id, k, sum({_BINOMIAL}) AS l FROM (SELECT *, {_MU} AS mu FROM obs JOIN ({_SWEEP}) USING (tumour_id, sample_id)) GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3"""
+
 _FEATURES = "depth_median, depth_cv, frac_low_depth, frac_cna, wgd, ploidy, n_cn_states, frac_loh, subclonal_cn, skewness, kurtosis, n_peaks, clonal_peak_width, has_pareto_tail, purity_estimate, n_samples, is_longitudinal, n_mutations, sequencing_type, nrpcc, mappability"
 
 
@@ -166,7 +170,7 @@ ORACLE_SQL: dict[str, str] = {
     "sc1b": sql("""SELECT tumour_id, round(avg(s), 9) AS score FROM (SELECT tumour_id, sample_id, greatest(0.0::DOUBLE, 1 - sqrt(sum(n * pow(t.center - e.center, 2)) / sum(n))) AS s
         FROM cells JOIN (SELECT k AS true_k, sample_id, center FROM centers7) t USING (true_k) JOIN (SELECT k AS est_k, sample_id, center FROM centers7) e USING (est_k, sample_id) GROUP BY 1, 2) GROUP BY 1"""),
     "sc3": """SELECT tumour_id, round(hit::DOUBLE / greatest(edges, 1), 9) AS score FROM (SELECT (p_partkey % 20)::BIGINT AS tumour_id, count(*) AS edges, sum((p_size % 3 = length(p_name) % 3)::INT) AS hit FROM part GROUP BY 1)""",
-    "adaptive_elimination": sql("SELECT tumour_id, round(min(best), 9) AS least FROM best_scores GROUP BY 1 HAVING count(*) = 5 AND min(best) > 0.5 + 0.25"),
+    "adaptive_elimination": sql("SELECT tumour_id, round(min(best), 9) AS least FROM best_scores GROUP BY 1 HAVING count(*) = 5 AND min(best) > 0.5 - 0.3"),
     "resume_antijoin": sql("SELECT DISTINCT tumour_id, config FROM corpus WHERE (tumour_id, config) NOT IN (SELECT tumour_id, config FROM corpus WHERE score > 0.9)"),
     "best_config_label": sql("SELECT tumour_id, sc, arg_max(config, struct_pack(a := score, b := -idx)) AS config, round(max(score), 9) AS score FROM corpus JOIN (SELECT config, row_number() OVER (ORDER BY config) - 1 AS idx FROM (SELECT DISTINCT config FROM corpus)) USING (config) GROUP BY 1, 2"),
     "head_suffstats": sql("SELECT arm, i - 1 AS i, j - 1 AS j, round(sum(z[i] * z[j]), 6) AS zz FROM z, range(1, 9) a(i), range(1, 9) b(j) GROUP BY 1, 2, 3"),
@@ -176,8 +180,8 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN corpus b ON b.tumour_id = s.tumour_id AND b.sc = s.sc AND b.config = 'purchase'"""),
     "selection_counts": sql("SELECT sc, config, count(b.tumour_id) AS n FROM (SELECT DISTINCT sc FROM corpus), (SELECT DISTINCT config FROM corpus) LEFT JOIN (SELECT tumour_id, sc AS s, arg_max(config, struct_pack(a := score, b := config)) AS c FROM corpus GROUP BY 1, 2) b ON s = sc AND c = config GROUP BY 1, 2"),
     "score_distribution": sql(f"SELECT sc, {_rounded('mean, std, median, least, most')}, n FROM (SELECT sc, avg(best) AS mean, stddev_pop(best) AS std, quantile_cont(best, 0.5) AS median, min(best) AS least, max(best) AS most, count(*) AS n FROM best_scores GROUP BY 1)"),
-    "uncertainty_quartiles": sql("""SELECT sc, quarter, round(avg(best), 6) AS mean_score, round(avg(u), 6) AS mean_uncertainty, count(*) AS n FROM (SELECT *, (at >= n // 4)::INT + (at >= 2 * n // 4)::INT + (at >= 3 * n // 4)::INT AS quarter
-        FROM (SELECT *, row_number() OVER (PARTITION BY sc ORDER BY u, tumour_id) - 1 AS at, count(*) OVER (PARTITION BY sc) AS n FROM (SELECT *, abs(best - 0.5::DOUBLE) AS u FROM best_scores)) WHERE n >= 4) GROUP BY 1, 2"""),
+    "uncertainty_quartiles": sql("""SELECT sc, quarter, round(avg(best), 6) AS mean_score, round(avg(u), 6) AS mean_uncertainty, count(*) AS n FROM (SELECT *, (place >= n // 4)::INT + (place >= 2 * n // 4)::INT + (place >= 3 * n // 4)::INT AS quarter
+        FROM (SELECT *, row_number() OVER (PARTITION BY sc ORDER BY u, tumour_id) - 1 AS place, count(*) OVER (PARTITION BY sc) AS n FROM (SELECT *, abs(best - 0.5::DOUBLE) AS u FROM best_scores)) WHERE n >= 4) GROUP BY 1, 2"""),
     "cumulative_regret": sql("SELECT sc, tumour_id, round(sum(1 - best) OVER (PARTITION BY sc ORDER BY tumour_id ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM best_scores"),
     "allocate_clone_sizes": """WITH s AS (SELECT l_suppkey AS tumour_id, l_linenumber AS k, count(*) AS c FROM lineitem GROUP BY 1, 2), f AS (SELECT *, c / sum(c) OVER (PARTITION BY tumour_id)::DOUBLE * 100 AS exact FROM s),
         r AS (SELECT *, row_number() OVER (PARTITION BY tumour_id ORDER BY exact - floor(exact) DESC, k) AS place, 100 - sum(floor(exact)) OVER (PARTITION BY tumour_id) AS rest FROM f) SELECT tumour_id, k::INT AS k, (floor(exact) + (place <= rest)::INT)::BIGINT AS size FROM r""",
@@ -191,6 +195,7 @@ ORACLE_SQL: dict[str, str] = {
     "plot_bic_curve": "SELECT tumour_id, K, bic, row_number() OVER (PARTITION BY tumour_id ORDER BY bic, K) = 1 AS best FROM (SELECT (o_custkey % 10)::BIGINT AS tumour_id, (1 + o_orderkey % 10)::INT AS K, min(o_totalprice) AS bic FROM orders GROUP BY 1, 2)",
     "tree_topo_depth": sql("""SELECT tumour_id, k, parent, d AS depth FROM (WITH RECURSIVE down(tumour_id, k, parent, d) AS (SELECT tumour_id, k, parent, 0 FROM tree WHERE parent = -1
         UNION ALL SELECT e.tumour_id, e.k, e.parent, d + 1 FROM tree e JOIN down p ON e.tumour_id = p.tumour_id AND e.parent = p.k) SELECT * FROM down)"""),
-    "pileup_counts": "SELECT l_shipmode AS chrom, l_linenumber::BIGINT AS pos, sum((l_returnflag = 'R')::INT)::BIGINT AS alt, count(*) AS depth FROM lineitem GROUP BY 1, 2",
+    "pileup_counts": "SELECT l_linestatus AS chrom, l_linenumber::BIGINT AS pos, sum((l_returnflag = 'R')::INT)::BIGINT AS alt, count(*) AS depth FROM lineitem GROUP BY 1, 2",
+    "bic_sweep_1iter": sql("SELECT tumour_id, K, round(bic, 3) AS bic, row_number() OVER (PARTITION BY tumour_id ORDER BY bic, K) = 1 AS best FROM (SELECT tumour_id, n_k::BIGINT AS K, -2 * sum(ll) + n_k * 3 * ln(count(*)) AS bic FROM sweep GROUP BY tumour_id, n_k)"),
     "contingency_all": sql("SELECT tumour_id, true_k, est_k, count(*) AS n FROM labels GROUP BY 1, 2, 3"),
 }

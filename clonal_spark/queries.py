@@ -267,7 +267,7 @@ def sc3(spark, sf):
 
 
 def adaptive_elimination(spark, sf):
-    return _round(sg.eliminated(_corpus(spark, sf)), 9, "least")
+    return _round(sg.eliminated(_corpus(spark, sf), -0.3), 9, "least")
 
 
 def resume_antijoin(spark, sf):
@@ -366,7 +366,7 @@ def plot_bic_curve(spark, sf):
 
 
 def pileup_counts(spark, sf):
-    reads = _table(spark, sf, "lineitem").select(F.col("l_shipmode").alias("chrom"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_returnflag").alias("base"))
+    reads = _table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("chrom"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_returnflag").alias("base"))
     return ob.count_alleles(reads, reads.select("chrom", "pos").distinct().withColumn("alt_base", F.lit("R"))).drop("alt_base")
 
 
@@ -391,7 +391,7 @@ def bic_sweep_1iter(spark, sf):
         resp = mo.e_step(mo.log_likelihoods(obs, params, EMISSIONS[EmissionModel.BINOMIAL]()), mo.uniform_weights(params))
         one = mo.marginal_fit(resp, F.lit(3))
         out = one if out is None else out.unionByName(one)
-    return pl.bic_curve(out.select("tumour_id", F.col("n_clones").alias("K"), "bic"))
+    return _round(pl.bic_curve(out.select("tumour_id", F.col("n_clones").alias("K"), "bic")), 3, "bic")
 
 
 def fit_distributed(spark, sf):
