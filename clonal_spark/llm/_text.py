@@ -36,11 +36,14 @@ def powers(base: int, n: int) -> np.ndarray:
 _POWERS = powers(_BASE, SLAB_BYTES + 1)
 
 
-def _upto(n: int) -> np.ndarray:
-    global _POWERS
+_INVERSES = powers(pow(_BASE, -1, 1 << 64), SLAB_BYTES + 1)
+
+
+def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
     if n <= len(_POWERS):
-        return _POWERS
-    return powers(_BASE, n)
+        return _POWERS, _INVERSES
+    return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,22 +99,18 @@ class Words:
 
 
 def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for ascending disjoint non-empty ranges. Bytes outside them are not read."""
+    """64-bit hashes of data[start:end] of non-empty ranges."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    where = np.arange(len(data), dtype=np.int64)
-    base = np.zeros(len(data), np.int64)
-    base[starts[1:]] = np.diff(starts)
-    base[: starts[0]] = 0
-    base[starts[0]] = starts[0]
-    where -= np.cumsum(base)
-    np.maximum(where, 0, out=where)
+    weights, inverse = _upto(len(data) + 1)
     weighed = value[data]
-    weighed *= _upto(int(where.max()) + 1)[where]
+    weighed *= weights[: len(data)]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(weighed, out=total[1:])
-    return mix(total[ends] - total[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = total[ends] - total[starts]
+    out *= inverse[starts]
+    out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(out)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:

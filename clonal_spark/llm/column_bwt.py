@@ -39,16 +39,13 @@ WIDTH = BEFORE + LENGTH
 #: Fragments after which a collection is worked on, at the next anchor.
 COLLECTION = 60_000
 
-_B = 0x9E3779B97F4A7C15 | 1
-_B_INVERSE = pow(_B, -1, 1 << 64)
-
-
 def _prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of weighed bytes, and the weights' inverses: hash(a, b) = (sums[b] - sums[a]) * inverse[a]."""
     n = len(data)
+    weights, inverse = _text._upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_text._VALUE[data] * _text.powers(_B, n), out=sums[1:])
-    return sums, _text.powers(_B_INVERSE, n + 1)
+    np.cumsum(_text._VALUE[data] * weights[:n], out=sums[1:])
+    return sums, inverse
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:

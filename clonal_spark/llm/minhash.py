@@ -5,9 +5,10 @@ Poisson process per shingle (mergeable by maximum, and locality-sensitive). Band
 bucket keys. Documents with equal sets form a class first, and only its least doc_id goes on. In each
 bucket all members are paired with the least one; the pair's registers give a maximum-likelihood estimate
 of the similarity (set sizes are known), and pairs that may reach the threshold are verified on full
-sets. After components of the verified links, members of a bucket that are still in different components
-are compared in the same way, so a link missed by the first pairing is found without pairing what is
-already linked. All members of a bucket are within one task only as registers of 2 * M bytes.
+sets. Then, in three waves, members of a bucket that are in different components of the verified links are
+compared in the same way: at first with the few nearest by registers, which closes families, at last with all
+that are left, so no link is lost and what is linked already is not paired. All members of a bucket are
+within one task only as registers of 2 * M bytes.
 
 Work beyond the first pairing grows with the pairs of one bucket that stay in different components and
 whose estimate comes within MARGIN of the threshold.
@@ -143,39 +144,49 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, n, registers, component) with the rows of a key together: likely pairs of a key
-    whose components differ. Holds one key's registers."""
+def _apart(top: int | None):
+    """Rows (key, doc, n, registers, component) with the rows of a key together: likely pairs of a key whose components
+    differ; for each document outside the key's largest component its `top` nearest by registers, or all."""
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         docs = np.array([r[1] for r in rows], np.int64)
         sizes = np.array([r[2] for r in rows], np.float64)
         regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, M)
         comps = np.array([r[4] for r in rows], np.int64)
-        order = np.argsort(comps, kind="stable")
-        docs, sizes, regs, comps = docs[order], sizes[order], regs[order], comps[order]
         names, counts = np.unique(comps, return_counts=True)
         largest = names[np.argmax(counts)]
+        us, vs = [], []
         for i in np.flatnonzero(comps != largest).tolist():  # pairs within the largest component are not made
-            other = np.flatnonzero((comps == largest) | (comps > comps[i]))
-            other = other[(np.minimum(sizes[other], sizes[i]) * 100 >= SIMILARITY * np.maximum(sizes[other], sizes[i])) & (comps[other] != comps[i])]
-            # agreement of registers bounds the estimate from above at this base
-            other = other[(regs[other] == regs[i]).sum(1) >= M * (SIMILARITY / 100 - MARGIN) - 1]
-            if len(other):
-                good = similarity(np.broadcast_to(regs[i], (len(other), M)), regs[other], np.full(len(other), sizes[i]), sizes[other]) >= SIMILARITY / 100 - MARGIN
-                other = other[good]
-                u, v = np.minimum(docs[i], docs[other]), np.maximum(docs[i], docs[other])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[0] != held[0][0]:
-                yield from pairs(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from pairs(held)
+            # of two documents outside it, the one of the lesser component makes the pair, when all are made
+            other = np.flatnonzero(comps != comps[i] if top else (comps == largest) | (comps > comps[i]))
+            other = other[np.minimum(sizes[other], sizes[i]) * 100 >= SIMILARITY * np.maximum(sizes[other], sizes[i])]
+            # at this base, agreeing registers bound the estimate from above
+            agree = (regs[other] == regs[i]).sum(1)
+            good = agree >= M * (SIMILARITY / 100 - MARGIN) - 1
+            other, agree = other[good], agree[good]
+            if top and len(other) > top:
+                other = other[np.lexsort((docs[other], -agree))[:top]]
+            us.append(np.full(len(other), i))
+            vs.append(other)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        for lo in range(0, len(i), 20_000):
+            a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
+            good = similarity(regs[a], regs[b], sizes[a], sizes[b]) >= SIMILARITY / 100 - MARGIN
+            a, b = docs[a[good]], docs[b[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield from pairs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from pairs(held)
+
+    return run
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +208,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep, pa.bool_())), batch.column("v").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The links (a, b) among pairs (u, v). Sets are made again from the texts of these documents only."""
-    needed = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = scratch.write(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_as_sets, "doc_id bigint, shingles binary"), f"{name}-sets", compression="none")
-    met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("set_v")), "v")
-    links = scratch.write(met.mapInArrow(_linked, "a bigint, b bigint"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The links (a, b) among pairs (u, v), by full sets."""
+    met = pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
+    return scratch.write(met.mapInArrow(_linked, "a bigint, b bigint"), name)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,16 +235,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     side = reps.select("doc_id", "n_shingles", "registers")
     met = pairs.join(side.toDF("u", "n_u", "reg_u"), "u").join(side.toDF("v", "n_v", "reg_v"), "v")
     likely = scratch.write(met.mapInArrow(_likely, "u bigint, v bigint"), "likely")
-    links = _verified(likely, docs, scratch, "first")
-
-    first = connected_components(links, scratch, "first")
-    placed = shared.join(first.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = scratch.write(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = placed.join(split, "key", "left_semi").join(side, "doc_id").select("key", "doc_id", "n_shingles", "registers", "component")
-    rest = apart.repartition("key").sortWithinPartitions("key").mapInArrow(_apart, "u bigint, v bigint").distinct()
-    rest = scratch.write(rest.join(likely, ["u", "v"], "left_anti"), "rest")
-    links = links.unionByName(_verified(rest, docs, scratch, "second")).unionByName(copies)
+    # Sets of documents that share a bucket, once. The join is by sorting at every size, as both sides grow.
+    some = shared.select("doc_id").distinct().hint("merge")
+    sets = scratch.write(docs.join(some, "doc_id", "left_semi").mapInArrow(_as_sets, "doc_id bigint, shingles binary"), "sets", compression="none")
+    links = _verified(likely, sets, scratch, "links-0")
+
+    # Members of a bucket in different components: first their nearest few, so that families close up; then all that are left.
+    tested = likely
+    for wave, top in enumerate((4, 16, None), 1):
+        now = connected_components(links, scratch, f"wave-{wave}")
+        placed = shared.join(now.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = scratch.write(placed.select("key", "doc_id", "component"), f"placed-{wave}")
+        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        apart = placed.join(split, "key", "left_semi").join(side, "doc_id").select("key", "doc_id", "n_shingles", "registers", "component")
+        made = apart.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(top), "u bigint, v bigint").distinct()
+        rest = scratch.write(made.join(tested, ["u", "v"], "left_anti"), f"rest-{wave}")
+        links = links.unionByName(_verified(rest, sets, scratch, f"links-{wave}"))
+        tested = tested.unionByName(rest)
+        scratch.drop(f"placed-{wave}")
+    links = links.unionByName(copies)
 
     found = connected_components(links, scratch, "all").toDF("doc_id", "component_id")
     result = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

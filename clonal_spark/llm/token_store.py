@@ -57,24 +57,25 @@ class Encoder:
             self.bytes[i] = len(token)
         self.pieces, self.ids = Pieces(), Ragged()
 
-    def _learn(self, new: list[str], indexes: np.ndarray) -> None:
-        for lo in range(0, len(new), 20_000):
-            part, at = new[lo : lo + 20_000], indexes[lo : lo + 20_000]
-            # pieces that start with a space and a non-space are encoded many at a time: their words stay apart
-            joined = np.array([p[0] == " " and len(p) > 1 and not p[1].isspace() for p in part], bool)
-            own = [p for p, j in zip(part, joined, strict=True) if not j]
-            many = [p for p, j in zip(part, joined, strict=True) if j]
-            texts = ["".join(many[i : i + 500]) for i in range(0, len(many), 500)]
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, indexes: np.ndarray) -> None:
+        """Pieces that start with a space and a non-space are encoded many at a time: their words stay apart."""
+        raw, n = data.tobytes(), len(data)
+        joined = (data[starts] == 0x20) & (ends - starts > 1) & _pieces._SOLID[data[np.minimum(starts + 1, n - 1)]]
+        for lo in range(0, len(starts), 50_000):
+            part = slice(lo, lo + 50_000)
+            many, own = np.flatnonzero(joined[part]) + lo, np.flatnonzero(~joined[part]) + lo
+            bounds = list(zip(starts[many].tolist(), ends[many].tolist(), strict=True))
+            texts = [b"".join([raw[a:b] for a, b in bounds[i : i + 500]]).decode() for i in range(0, len(bounds), 500)]
             flat = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in many), np.int64, len(many)))
-            reached = np.cumsum(self.bytes[flat])
-            stops = np.searchsorted(reached, ends) + 1
-            if len(ends) and not np.array_equal(reached[stops - 1], ends):
+            reached, stop = np.cumsum(self.bytes[flat]), np.cumsum(ends[many] - starts[many])
+            stops = np.searchsorted(reached, stop) + 1
+            if len(stop) and not np.array_equal(reached[stops - 1], stop):
                 raise ValueError("the tokenizer is not byte-level")
-            self.ids.put(at[joined], flat, np.diff(stops, prepend=0))
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-            self.ids.put(at[~joined], np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+            self.ids.put(indexes[many], flat, np.diff(stops, prepend=0))
+            texts = [raw[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.ids.put(indexes[own], np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joined ids of a slab's texts, and how many each has."""
@@ -89,8 +90,7 @@ class Encoder:
             new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
             indexes = self.pieces.add(new)
             which[missing] = indexes[back]
-            raw = data.tobytes()
-            self._learn([raw[a:b].decode() for a, b in zip(starts[missing[one]].tolist(), ends[missing[one]].tolist(), strict=True)], indexes)
+            self._learn(data, starts[missing[one]], ends[missing[one]], indexes)
         self.pieces.meet(which)
         ids, lengths = self.ids.gather(which)
         return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
@@ -99,24 +99,25 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of chunks that the rolling hash of the last WINDOW ids proposes."""
     gear = _GEAR[ids & 0xFFFF]
-    h = np.zeros(n, np.uint32)
-    for j in range(WINDOW):  # the hash of the last WINDOW ids, by shifts
-        h[j:] += gear[: n - j] << np.uint32(3 * j)
-    marks, out, last = np.flatnonzero(h < (1 << 32) // MEAN_IDS) + 1, [], 0
-    k = 0
-    while n - last > MIN_IDS:
-        k += int(np.searchsorted(marks[k:], last + MIN_IDS))
-        end = min(int(marks[k]) if k < len(marks) else n, last + MAX_IDS, n)
-        out.append(end)
-        last = end
-    if last < n:
-        out.append(n)
+    h = gear.copy()
+    for j in range(1, WINDOW):
+        h[j:] += gear[: len(ids) - j] << np.uint32(3 * j)
+    return np.flatnonzero(h < (1 << 32) // MEAN_IDS) + 1
+
+
+def cuts(proposed: np.ndarray, a: int, b: int) -> list[int]:
+    """Ends of the chunks of ids[a:b]: proposals that leave MIN_IDS since the last, MAX_IDS in any case. MIN_IDS
+    exceeds WINDOW, so no hash that counts has seen another document's ids."""
+    out, last = [], a
+    while b - last > MIN_IDS:
+        k = int(np.searchsorted(proposed, last + MIN_IDS))
+        last = min(int(proposed[k]) if k < len(proposed) else b, last + MAX_IDS, b)
+        out.append(last)
+    if last < b:
+        out.append(b)
     return out
 
 
@@ -184,11 +185,12 @@ def _chunked(tokenizer_file: str, wide: bool):
                 inside = np.ones(len(ids), bool)
                 inside[ends - 1] = False
                 ids[inside] = flat
+                proposed = marks(ids)
                 digests, roots, chunks, chunk_counts = [], [], [], np.zeros(n_docs + 1, np.int32)
                 for i, (a, b) in enumerate(zip((ends - counts - 1).tolist(), ends.tolist(), strict=True)):
                     names, last = [], a
-                    for end in cuts(ids[a:b]):
-                        raw = ids[last : a + end].tobytes()
+                    for end in cuts(proposed, a, b):
+                        raw = ids[last:end].tobytes()
                         name = hashlib.sha256(raw).digest()[:DIGEST_BYTES]
                         names.append(name)
                         if name not in here:
@@ -196,7 +198,7 @@ def _chunked(tokenizer_file: str, wide: bool):
                                 here.clear()
                             here.add(name)
                             chunks.append((name, raw))
-                        last = a + end
+                        last = end
                     chunk_counts[i + 1] = len(chunks)
                     digests.append(b"".join(names))
                     roots.append(merkle_root(names))
@@ -213,9 +215,10 @@ def write_store(docs: DataFrame, scratch: Scratch, tokenizer_file: str, id_col:
     """Encodes whole texts, ends each document with END_ID, and writes chunks, recipes and manifest."""
     kind = dict(docs.dtypes)[id_col]
     encoded = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_chunked(tokenizer_file, wide), f"doc_id {kind}, n_tokens bigint, digests binary, root binary, chunks array<struct<digest:binary,ids:binary>>")
-    staged = scratch.write(encoded, "staged", compression="zstd")
+    plain = {"parquet.enable.dictionary": "false"}  # payloads do not repeat
+    staged = scratch.write(encoded, "staged", compression="snappy", **plain)
     unique = staged.select(F.explode("chunks").alias("c")).select("c.*").groupBy("digest").agg(F.first("ids").alias("ids"))
-    unique.withColumn("n_ids", F.floor(F.length("ids") / (4 if wide else 2)).cast("long")).write.option("compression", "zstd").parquet(scratch.path("chunks"))
+    unique.withColumn("n_ids", F.floor(F.length("ids") / (4 if wide else 2)).cast("long")).write.options(compression="zstd", **plain).parquet(scratch.path("chunks"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = staged.select("doc_id", "n_tokens", "digests", "root").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     placed = scratch.write(ordered.withColumn("shard", F.spark_partition_id()), "placed", compression="zstd")
