@@ -17,12 +17,19 @@ from clonal_spark.llm import _text
 MEMORY_PIECES = 1_300_000
 
 _byte = np.arange(256)
-_WHITE = (_byte == 0x20) | ((_byte >= 0x09) & (_byte <= 0x0D))
-#: First bytes of characters that are no white space for certain, and last bytes of such.
-_SOLID = ((_byte > 0x20) & (_byte < 0x7F)) | ((_byte >= 0xC3) & (_byte <= 0xDF)) | (_byte >= 0xE4)
-_HARD = (_byte > 0x20) & (_byte < 0x7F)
-_POINT = (_byte == ord(".")) | (_byte == ord(","))
-_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+_SPACE, _SOFT, _HARDLY, _WHITE, _POINT, _ALNUM, _FEED = (1 << i for i in range(7))
+_white = (_byte == 0x20) | ((_byte >= 0x09) & (_byte <= 0x0D))
+#: First bytes of characters that are no white space for certain; last bytes of such are below 0x80.
+_solid = ((_byte > 0x20) & (_byte < 0x7F)) | ((_byte >= 0xC3) & (_byte <= 0xDF)) | (_byte >= 0xE4)
+_hard = (_byte > 0x20) & (_byte < 0x7F)
+_SOLID = _solid
+_KINDS = sum(
+    flag * mask.astype(np.uint8)
+    for flag, mask in (
+        (_SPACE, _byte == 0x20), (_SOFT, _solid), (_HARDLY, _hard), (_WHITE, _white), (_POINT, (_byte == ord(".")) | (_byte == ord(","))),
+        (_ALNUM, np.array([chr(i).isalnum() and i < 128 for i in range(256)])), (_FEED, _byte == 0x0A),
+    )
+).astype(np.uint8)
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,14 +37,16 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     cuts = np.zeros(n + 1, bool)
     if n > 1:
-        solid_next = _SOLID[data[1:]]
+        kinds = _KINDS[data]
+        here, then = kinds[:-1], kinds[1:]
+        solid = then & _SOFT  # of the byte behind
         inner = offsets[(offsets > 0) & (offsets < n)]
-        solid_next[inner - 1] = False  # what follows is of another document
-        hard, white = _HARD[data], _WHITE[data]
-        cuts[: n - 1] |= (data[:-1] == 0x20) & solid_next
-        cuts[1:n] |= white[1:] & hard[:-1]
-        cuts[1:n] |= _POINT[data[1:]] & _ALNUM[data[:-1]]
-        cuts[2:n] |= (data[1:-1] == 0x0A) & hard[:-2] & solid_next[1:]
+        solid[inner - 1] = 0  # what follows is of another document
+        # bits are moved so that a product of two conditions is one "and"
+        cuts[: n - 1] = (here & (solid >> 1) & _SPACE).view(bool)
+        behind = ((then >> 1) & here & _HARDLY) | ((then << 1) & here & _ALNUM)  # white after hard; point after letter or digit
+        cuts[1:n] |= behind != 0
+        cuts[2:n] |= ((here[1:] >> 4) & here[:-1] & (solid[1:] << 1) & _HARDLY) != 0
     cuts[offsets] = True
     starts = np.flatnonzero(cuts[:n])
     return starts, np.searchsorted(starts, offsets)
