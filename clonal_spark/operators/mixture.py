@@ -81,12 +81,19 @@ def elbo_terms(resp: DataFrame) -> DataFrame:
     return resp.groupBy("tumour_id").agg(F.sum(F.col("r") * F.col("log_r")).alias("expected"), F.sum(-F.col("r") * F.log(F.greatest(F.col("r"), F.lit(1e-300)))).alias("entropy"))
 
 
-def em_steps(obs: DataFrame, params: DataFrame, emission, steps: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A few unrolled EM steps in one plan: centers, weights and the last responsibilities. Loops of many steps
-    keep parameters on the driver instead (plans.model), so plans do not grow."""
-    weights = uniform_weights(params)
+def em_steps(obs: DataFrame, params: DataFrame, emission, steps: int) -> tuple[DataFrame, DataFrame]:
+    """A few unrolled EM steps in one plan: (tumour_id, k, sample_id, center, log_pi) and the last responsibilities.
+    Centers and weights come from one aggregate, so the plan grows by one branch per step (dense tables: a clone's mean
+    responsibility is the same in each sample). Loops of many steps keep parameters on the driver (plans.model)."""
+    state = params.join(uniform_weights(params), ["tumour_id", "k"])
+    fixed = obs.withColumn("fixed", emission.fixed(F.col("alt"), F.col("depth")))
+    own = Window.partitionBy(*MUT)
     resp = None
     for _ in range(steps):
-        resp = e_step(log_likelihoods(obs, params, emission), weights)
-        params, weights = m_step(obs, resp), mixing_weights(resp)
-    return params, weights, resp
+        one = emission.log_prob(F.col("alt"), F.col("depth"), F.col("adj") * F.col("center"), F.col("fixed"))
+        rows = fixed.join(state, ["tumour_id", "sample_id"]).groupBy(*MUT, "k").agg((F.sum(one) + F.first("log_pi")).alias("log_r"))
+        rows = rows.withColumn("top", F.max("log_r").over(own)).withColumn("e", F.exp(F.col("log_r") - F.col("top"))).withColumn("total", F.sum("e").over(own))
+        resp = rows.select(*MUT, "k", "log_r", (F.col("e") / F.col("total")).alias("r"), (F.col("top") + F.log("total")).alias("ll"))
+        sums = obs.join(resp.select(*MUT, "k", "r"), MUT).groupBy("tumour_id", "k", "sample_id").agg(F.sum(F.col("r") * F.col("alt")).alias("a"), F.sum(F.col("r") * F.col("depth")).alias("d"), F.avg("r").alias("share"))
+        state = sums.select("tumour_id", "k", "sample_id", mx.clip(F.col("a") / F.greatest(F.col("d"), F.lit(1e-10)), LOW, HIGH).alias("center"), F.log(F.greatest(F.col("share"), F.lit(1e-10))).alias("log_pi"))
+    return state, resp

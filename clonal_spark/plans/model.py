@@ -100,6 +100,12 @@ class GenerativeModel:
         config, name, seed = self.config, self.name, self.seed
         return CohortFit(obs.groupBy("tumour_id").applyInPandas(lambda rows: fit_group(rows, config, name, seed), FIT))
 
+    def fit_auto(self, obs: DataFrame, most: int = GROUPED_CELLS) -> tuple[CohortFit, dict[int, dict]]:
+        """Tumours of up to `most` cells in groups, larger ones one by one in distributed form. Only the ids of larger ones
+        come to the driver."""
+        large = [r.tumour_id for r in obs.groupBy("tumour_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tumour_id").orderBy("tumour_id").collect()]
+        return self.fit(obs.where(~F.col("tumour_id").isin(large)) if large else obs), {t: self.fit_one(obs.where(F.col("tumour_id") == t)) for t in large}
+
     def fit_one(self, obs: DataFrame) -> dict:
         """One large tumour by distributed EM (or its variational form): centers, ll and bic of the selected K."""
         return distributed_fit(obs, self.config)

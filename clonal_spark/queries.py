@@ -32,11 +32,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _obs(spark, sf):
-    return ob.from_lineitem(spark, sf)
+    """Kept, as steps of a fit read it several times; Spark finds it again by its plan."""
+    return ob.from_lineitem(spark, sf).persist()
 
 
 def _cohort(spark, sf):
-    return ob.from_lineitem(spark, sf, tumour="supplier")
+    return ob.from_lineitem(spark, sf, tumour="supplier").persist()
 
 
 def _params(spark, sf):
@@ -156,7 +157,7 @@ def marginal_ll_bic(spark, sf):
 
 def em_unrolled_3(spark, sf):
     obs = _obs(spark, sf)
-    return _round(mo.em_steps(obs, mo.quantile_init(obs, K), EMISSIONS[EmissionModel.BINOMIAL](), 3)[0], 7, "center")
+    return _round(mo.em_steps(obs, mo.quantile_init(obs, K), EMISSIONS[EmissionModel.BINOMIAL](), 3)[0].drop("log_pi"), 7, "center")
 
 
 def elbo_terms(spark, sf):

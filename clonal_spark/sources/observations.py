@@ -32,8 +32,8 @@ def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample
     reads = rows.select(tumour_id.alias("tumour_id"), F.col("l_partkey").alias("mut_id"), sample_id.alias("sample_id"), "l_quantity", "l_discount")
     obs = reads.groupBy("tumour_id", "mut_id", "sample_id").agg(F.sum("l_quantity").alias("depth"), F.sum(F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0.0)).alias("alt"))
     if tumour == "none":
-        n = reads.select("sample_id").distinct().count()
-        whole = obs.groupBy("mut_id").agg(F.count("*").alias("n")).where(F.col("n") == n).select("mut_id")
+        samples = F.broadcast(reads.agg(F.countDistinct("sample_id").alias("n_samples")))  # one row
+        whole = obs.groupBy("mut_id").agg(F.count("*").alias("n")).crossJoin(samples).where("n = n_samples").select("mut_id")
         obs = obs.join(whole, "mut_id", "left_semi")
     else:
         obs = obs.where("sample_id = 'N'") if sample == "l_returnflag" else obs

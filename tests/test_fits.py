@@ -143,3 +143,10 @@ def test_distributed_fit_equals_grouped(spark):
     b = min(fits, key=lambda f: f.bic)
     assert (a["K"], a["n_iter"]) == (b.k, b.n_iter) and a["ll"] == pytest.approx(b.ll, rel=1e-9)
     assert a["centers"] == pytest.approx(b.centers, rel=1e-7)
+
+
+def test_large_tumours_go_the_distributed_way(spark):
+    alt, depth = TWO
+    obs = from_arrays(spark, alt, depth, tumour_id=1).unionByName(from_arrays(spark, alt[:50], depth[:50], tumour_id=2))
+    small, large = GenerativeModel(EM).fit_auto(obs, 100)
+    assert [r.tumour_id for r in small.fits.collect()] == [2] and list(large) == [1] and large[1]["K"] == 2
