@@ -5,9 +5,9 @@ Poisson process per shingle (mergeable by maximum, and locality-sensitive). Band
 bucket keys. Documents with equal sets form a class first, and only its least doc_id goes on. In each
 bucket all members are paired with the least one; the pair's registers give a maximum-likelihood estimate
 of the similarity (set sizes are known), and pairs that may reach the threshold are verified on full
-sets. Then, in three waves, members of a bucket that are in different components of the verified links are
+sets. Then, in two waves, members of a bucket that are in different components of the verified links are
 compared in the same way: at first with the few nearest by registers, which closes families, at last with all
-that are left, so no link is lost and what is linked already is not paired. All members of a bucket are
+that are left (by LONG_M registers), so no link is lost and what is linked already is not paired. All members of a bucket are
 within one task only as registers of 2 * M bytes.
 
 Work beyond the first pairing grows with the pairs of one bucket that stay in different components and
@@ -41,6 +41,8 @@ M, ROWS, BANDS = 128, 4, 32
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: An estimate this far below the threshold is four standard deviations away.
 MARGIN = 0.16
+#: Registers of the last wave, of which the low byte is kept; their agreement has a smaller margin.
+LONG_M, LONG_MARGIN = 1024, 0.056
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,25 +64,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
 
 
-def registers(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SetSketch registers (documents, M) of joined sets."""
-    least = np.full(len(sizes) * M, np.inf)
+def registers(elements: np.ndarray, sizes: np.ndarray, m: int = M) -> np.ndarray:
+    """SetSketch registers (documents, m) of joined sets; m is a power of two."""
+    least = np.full(len(sizes) * m, np.inf)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     state, x = elements.copy(), np.zeros(len(elements))
     full = sizes > 0
     while len(state):
         state = _text.mix(state + np.uint64(0x9E3779B97F4A7C15))
-        x = x - np.log1p(-(state >> np.uint64(11)).astype(np.float64) * 2.0**-53) / (RATE * M)
-        slot = doc * M + (_text.mix(state) & np.uint64(M - 1)).astype(np.int64)
+        x = x - np.log1p(-(state >> np.uint64(11)).astype(np.float64) * 2.0**-53) / (RATE * m)
+        slot = doc * m + (_text.mix(state) & np.uint64(m - 1)).astype(np.int64)
         better = np.flatnonzero(x < least[slot])
         np.minimum.at(least, slot[better], x[better])
-        most = least.reshape(-1, M).max(1)
+        most = least.reshape(-1, m).max(1)
         go = x < most[doc]
         state, x, doc = state[go], x[go], doc[go]
     out = np.zeros(len(least), np.uint16)
-    set_ = np.repeat(full, M)
+    set_ = np.repeat(full, m)
     out[set_] = np.clip(np.floor(1 - np.log(least[set_]) / np.log(BASE)), 0, TOP).astype(np.uint16)
-    return out.reshape(-1, M)
+    return out.reshape(-1, m)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -145,24 +147,26 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(top: int | None):
-    """Rows (key, doc, n, registers, component) with the rows of a key together: likely pairs of a key whose components
-    differ; for each document outside the key's largest component its `top` nearest by registers, or all."""
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        docs = np.array([r[1] for r in rows], np.int64)
-        sizes = np.array([r[2] for r in rows], np.float64)
-        regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, M)
-        comps = np.array([r[4] for r in rows], np.int64)
+    """Rows (key, doc, n, registers, bands, component) with the rows of a key together: likely pairs of a key whose
+    components differ; for each document outside the key's largest component its `top` nearest by registers, or all.
+    A pair that shares several keys is made in that of its first common band only."""
+
+    def pairs(key: int, docs: np.ndarray, sizes: np.ndarray, regs: np.ndarray, bands: np.ndarray, comps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        least = M * (SIMILARITY / 100 - MARGIN) - 1 if top else LONG_M * (SIMILARITY / 100 - LONG_MARGIN)
         names, counts = np.unique(comps, return_counts=True)
+        if len(names) < 2:
+            return
         largest = names[np.argmax(counts)]
         us, vs = [], []
         for i in np.flatnonzero(comps != largest).tolist():  # pairs within the largest component are not made
             # of two documents outside it, the one of the lesser component makes the pair, when all are made
             other = np.flatnonzero(comps != comps[i] if top else (comps == largest) | (comps > comps[i]))
             other = other[np.minimum(sizes[other], sizes[i]) * 100 >= SIMILARITY * np.maximum(sizes[other], sizes[i])]
+            other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
             # at this base, agreeing registers bound the estimate from above
             agree = (regs[other] == regs[i]).sum(1)
-            good = agree >= M * (SIMILARITY / 100 - MARGIN) - 1
+            good = agree >= least
             other, agree = other[good], agree[good]
             if top and len(other) > top:
                 other = other[np.lexsort((docs[other], -agree))[:top]]
@@ -171,20 +175,29 @@ def _apart(top: int | None):
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
         for lo in range(0, len(i), 20_000):
             a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
-            good = similarity(regs[a], regs[b], sizes[a], sizes[b]) >= SIMILARITY / 100 - MARGIN
-            a, b = docs[a[good]], docs[b[good]]
+            if top:
+                good = similarity(regs[a], regs[b], sizes[a], sizes[b]) >= SIMILARITY / 100 - MARGIN
+                a, b = a[good], b[good]
+            a, b = docs[a], docs[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, key = [], None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    yield from pairs(held)
+            if not batch.num_rows:
+                continue
+            keys, docs, sizes, comps = (batch.column(c).to_numpy() for c in ("key", "doc_id", "n_shingles", "component"))
+            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16 if top else np.uint8).reshape(len(keys), -1)
+            bands = batch.column("bands").flatten().to_numpy().reshape(len(keys), BANDS)
+            edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and keys[lo] != key:
+                    yield from pairs(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                held.append(row)
+                key = keys[lo]
+                held.append((docs[lo:hi], sizes[lo:hi].astype(np.float64), regs[lo:hi], bands[lo:hi], comps[lo:hi]))
         if held:
-            yield from pairs(held)
+            yield from pairs(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -197,6 +210,15 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[slab.first : slab.first + len(sizes)], pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "shingles"])
 
 
+def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+            regs = registers(np.concatenate(sets), np.array([len(x) for x in sets]), LONG_M)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(np.uint8).tobytes() for r in regs], pa.binary())], names=["doc_id", "registers"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -232,8 +254,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("key", "lead")
     shared = scratch.write(members.join(buckets, "key").select("key", "doc_id", "lead"), "shared")
     pairs = shared.where("doc_id <> lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v")).distinct()
-    side = reps.select("doc_id", "n_shingles", "registers")
-    met = pairs.join(side.toDF("u", "n_u", "reg_u"), "u").join(side.toDF("v", "n_v", "reg_v"), "v")
+    side = reps.select("doc_id", "n_shingles", "registers", "bands")
+    own = side.drop("bands")
+    met = pairs.join(own.toDF("u", "n_u", "reg_u"), "u").join(own.toDF("v", "n_v", "reg_v"), "v")
     likely = scratch.write(met.mapInArrow(_likely, "u bigint, v bigint"), "likely")
     # Sets of documents that share a bucket, once. The join is by sorting at every size, as both sides grow.
     some = shared.select("doc_id").distinct().hint("merge")
@@ -242,12 +265,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     # Members of a bucket in different components: first their nearest few, so that families close up; then all that are left.
     tested = likely
-    for wave, top in enumerate((4, 16, None), 1):
+    for wave, top in enumerate((4, None), 1):
         now = connected_components(links, scratch, f"wave-{wave}")
         placed = shared.join(now.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         placed = scratch.write(placed.select("key", "doc_id", "component"), f"placed-{wave}")
         split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        apart = placed.join(split, "key", "left_semi").join(side, "doc_id").select("key", "doc_id", "n_shingles", "registers", "component")
+        apart = placed.join(split, "key", "left_semi")
+        if top:
+            apart = apart.join(side, "doc_id")
+        else:
+            far = sets.join(apart.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_long_sketches, "doc_id bigint, registers binary")
+            apart = apart.join(side.drop("registers"), "doc_id").join(far, "doc_id")
+        apart = apart.select("key", "doc_id", "n_shingles", "registers", "bands", "component")
         made = apart.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(top), "u bigint, v bigint").distinct()
         rest = scratch.write(made.join(tested, ["u", "v"], "left_anti"), f"rest-{wave}")
         links = links.unionByName(_verified(rest, sets, scratch, f"links-{wave}"))

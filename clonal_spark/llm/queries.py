@@ -140,4 +140,17 @@ SELECT doc_id, source, size, source_size, target,
        (whole * size + least(greatest(CASE WHEN capped THEN 0 ELSE round(target)::BIGINT - whole * source_size END - start, 0), size))::BIGINT AS taken FROM epochs
 """
 
-ORACLE_SQL = {"op3_host_reputation": _OP3, "op6_repetition_coverage": _OP6, "op7_capped_water_filling": _OP7}
+_OP8 = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{host_reputation._UPPER}', '{host_reputation._LOWER}'), '{_WORD}') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN list_aggregate(ws, 'string_agg', ' ') ELSE list_aggregate(ws[i : i + 4], 'string_agg', ' ') END AS s
+             FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY 1) c ON c.node = d.doc_id
+"""
+
+ORACLE_SQL = {"op8_setsketch_near_dedup": _OP8, "op3_host_reputation": _OP3, "op6_repetition_coverage": _OP6, "op7_capped_water_filling": _OP7}
