@@ -35,15 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonal_spark.llm import _text
+from clonal_spark.llm._pieces import Pieces
 from clonal_spark.session import Scratch
 
 #: Head words, in classes of SLOTS; tail classes; sizes of word vectors and state.
 HEAD, SLOTS, TAILS, EMBED, STATE = 512, 32, 48, 12, 16
 HEAD_CLASSES = HEAD // SLOTS
 CLASSES = HEAD_CLASSES + TAILS
-KNOWN = 300_000
+KNOWN = 200_000
 #: Lanes, steps of a window, tokens of a step, learning rate, gradient limit, words that a worker holds at once.
-LANES, STEPS, LEAST, RATE, CLIP, HELD = 512, 16, 2048, 0.01, 1.0, 1_500_000
+LANES, STEPS, LEAST, RATE, CLIP, HELD = 512, 16, 2048, 0.01, 1.0, 1_200_000
 #: Of 16 sets of documents, those that each round trains on.
 ROUNDS = ((0,), (1, 2, 3), tuple(range(4, 16)))
 CHUNK = 8192
@@ -58,34 +60,58 @@ def is_held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def _words(text: str | None) -> list[bytes]:
-    """Bytes of UTF-8 lower-case A-Z only, and split at \\x20 and \\x09-\\x0D only."""
-    return text.encode().lower().split() if text else []
+def _by_last_bytes() -> tuple[np.ndarray, np.ndarray]:
+    two = np.array([tail_class(bytes(x)) for x in np.ndindex(256, 256)], np.int32)
+    return np.array([tail_class(bytes([x])) for x in range(256)], np.int32), two
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of training texts with their numbers, summed in the task before they are sent; the end is the empty word."""
+_LAST: list[np.ndarray] = []
 
-    def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(_words(text))
-            seen[b""] += 1
-            if len(seen) > 400_000:
-                yield rows(seen)
-                seen = Counter()
-    if seen:
-        yield rows(seen)
+def _tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Tail classes of words, by tables over their last bytes."""
+    if not _LAST:
+        _LAST.extend(_by_last_bytes())
+    last, before = data[ends - 1].astype(np.int32), data[np.maximum(ends - 2, 0)].astype(np.int32)
+    return np.where(ends - starts > 1, _LAST[1][before * 256 + last], _LAST[0][last])
+
+
+def _slab_words(text: pa.Array) -> Iterator[tuple[_text.Slab, np.ndarray, _text.Words]]:
+    """Slabs with A-Z lower-cased, and their words."""
+    for slab in _text.slabs(text):
+        data = _text.LOWER[slab.data]
+        yield slab, data, _text.words(data, slab.offsets)
 
 
-class Vocabulary(dict):
-    """Word to index in the order of counts; a word that is not known gives minus its tail class minus one."""
+#: Distinct words that a counting task holds before it sends them on.
+COUNTED = 400_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of training texts with their numbers, summed in the task before they are sent; the end is the empty word."""
+    table, names, n, ends_seen = Pieces(), [], np.zeros(1 << 16, np.int64), 0
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*names, b""], pa.binary()), pa.array(np.append(n[: table.count], ends_seen))], names=["word", "n"])
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - tail_class(word)
+    for batch in batches:
+        for slab, data, w in _slab_words(batch.column(0)):
+            ends_seen += len(slab.offsets) - 1
+            which = table.find(w.hashes)
+            missing = np.flatnonzero(which < 0)
+            if len(missing):
+                new, one, back = np.unique(w.hashes[missing], return_index=True, return_inverse=True)
+                which[missing] = table.add(new)[back]
+                raw = data.tobytes()
+                names.extend([raw[x:y] for x, y in zip(w.starts[missing[one]].tolist(), w.ends[missing[one]].tolist(), strict=True)])
+            if table.count > len(n):
+                n = np.concatenate([n, np.zeros(table.count, np.int64)])
+            n[: table.count] += np.bincount(which, minlength=table.count)
+            if table.count > COUNTED:
+                yield rows()
+                table, names, n, ends_seen = Pieces(), [], np.zeros(1 << 16, np.int64), 0
+    if ends_seen:
+        yield rows()
 
 
 def initial(head_counts: np.ndarray, tail_counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -303,39 +329,38 @@ def run(w: dict[str, np.ndarray], docs: list[np.ndarray], learn: Adam | None = N
     return out
 
 
-_SHARED: dict[str, tuple] = {}
+class Vocabulary:
+    """Known words in the order of their counts, after the end (index 0): a table of their hashes, and the id of each one's vector."""
 
+    def __init__(self, joined: bytes, counts: np.ndarray):
+        data = np.frombuffer(joined, np.uint8)
+        w = _text.words(data, np.array([0, len(data)]))
+        self.table = Pieces()
+        self.table.add(w.hashes)
+        self.counts = counts
+        self.ids = np.arange(len(w.hashes) + 1, dtype=np.int32)
+        self.ids[HEAD:] = HEAD + _tails(data, w.starts, w.ends)[HEAD - 1 :]
 
-def _shared(name: str, known) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """A worker's vocabulary, built once: index of words, word vectors' ids by index, counts by index."""
-    if name not in _SHARED:
-        _SHARED.clear()
-        joined, counts = known.value
-        words = joined.split(b" ") if joined else []
-        vocabulary = Vocabulary(zip([b"", *words], range(len(words) + 1), strict=True))
-        ids = np.arange(len(words) + 1)
-        ids[HEAD:] = [HEAD + tail_class(x) for x in words[HEAD - 1 :]]
-        _SHARED[name] = vocabulary, ids.astype(np.int32), counts
-    return _SHARED[name]
+    def index(self, w: _text.Words) -> np.ndarray:
+        """Indexes from 1 on; 0 for words that are not known."""
+        return self.table.find(w.hashes) + 1
 
+    def vectors(self, data: np.ndarray, w: _text.Words, index: np.ndarray) -> np.ndarray:
+        out = self.ids[index]
+        missing = np.flatnonzero(index == 0)
+        out[missing] = HEAD + _tails(data, w.starts[missing], w.ends[missing])
+        return out
 
-def _indexed(vocabulary: Vocabulary, texts: list[str | None]) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray]]:
-    """Blocks of at most HELD words: positions of texts, their words, joined indexes."""
-    at, block, size = [], [], 0
-    for i, text in enumerate(texts):
-        ws = _words(text)
-        if block and size + len(ws) > HELD:
-            yield at, block, np.fromiter((j for x in block for j in map(vocabulary.__getitem__, x)), np.int64, size)
-            at, block, size = [], [], 0
-        at.append(i)
-        block.append(ws)
-        size += len(ws)
-    if block:
-        yield at, block, np.fromiter((j for x in block for j in map(vocabulary.__getitem__, x)), np.int64, size)
 
+_SHARED: dict[str, Vocabulary] = {}
 
-def _vector_ids(index: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return np.where(index >= 0, ids[np.maximum(index, 0)], HEAD - 1 - index).astype(np.int32)
+
+def _shared(name: str, known) -> Vocabulary:
+    """A worker's vocabulary, built once."""
+    if name not in _SHARED:
+        _SHARED.clear()
+        _SHARED[name] = Vocabulary(*known.value)
+    return _SHARED[name]
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -352,14 +377,20 @@ def unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _trained(name: str, known, weights):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids, _ = _shared(name, known)
+        vocabulary = _shared(name, known)
         w = {k: x.copy() for k, x in weights.value.items()}
-        adam, tokens = Adam(w), 0
+        adam, tokens, held, size = Adam(w), 0, [], 0
         for batch in batches:
-            for _, block, index in _indexed(vocabulary, batch.column(0).to_pylist()):
-                docs = np.split(_vector_ids(index, ids), np.cumsum([len(x) for x in block])[:-1])
-                run(w, docs, adam)
-                tokens += len(index) + len(block)
+            for slab, data, words in _slab_words(batch.column(0)):
+                vectors = vocabulary.vectors(data, words, vocabulary.index(words))
+                held += np.split(vectors, words.offsets[1:-1])
+                size += len(vectors)
+                tokens += len(vectors) + len(slab.offsets) - 1
+                if size >= HELD:
+                    run(w, held, adam)
+                    held, size = [], 0
+        if held:
+            run(w, held, adam)
         if tokens:
             x = flat(w)
             parts = [x[i : i + CHUNK].tobytes() for i in range(0, len(x), CHUNK)]
@@ -375,45 +406,64 @@ def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _scored(name: str, known, weights, tail_totals: np.ndarray, denominator: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids, counts = _shared(name, known)
+        vocabulary = _shared(name, known)
         w, task, made = weights.value, TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-        logs = np.log10(counts + 0.5)
+        logs = np.log10(vocabulary.counts + 0.5)
+        seen = vocabulary.counts > 0
+        held: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            """One row per document that is held."""
+            nonlocal made
+            docs = [d for h in held for d in h[-1]]
+            lengths, base, within, n_known = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
+            model = run(w, docs) / LOG10
+            made += len(docs)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([h[0] for h in held]),
+                    pa.concat_arrays([h[1] for h in held]),
+                    pa.array(np.arange(made - len(docs), made) + (task << 40)),
+                    pa.array(lengths + 1),
+                    pa.array(n_known + int(seen[0])),
+                    pa.array(base + logs[0] - (lengths + 1) * denominator),
+                    pa.array(model + within),
+                    pa.concat_arrays([h[6] for h in held]),
+                ],
+                names=["doc_id", "held_out", "row_key", "n_tokens", "n_known", "base_score", "score", "rest"],
+            )
+
+        kind = pa.struct([("word", pa.binary()), ("n", pa.int32())])
         for batch in batches:
-            for at, block, index in _indexed(vocabulary, batch.column(2).to_pylist()):
-                lengths = np.array([len(x) for x in block], np.int64)
-                ends = np.cumsum(lengths)
-                vectors = _vector_ids(index, ids)
-                model = run(w, np.split(vectors, ends[:-1])) / LOG10
-                doc = np.repeat(np.arange(len(block)), lengths)
-                there = index >= 0
-                have = np.where(there, logs[np.maximum(index, 0)], 0.0)
+            for slab, data, words in _slab_words(batch.column(2)):
+                n_docs = len(slab.offsets) - 1
+                index = vocabulary.index(words)
+                vectors = vocabulary.vectors(data, words, index)
+                there = index > 0
+                have = np.where(there, logs[index], 0.0)
                 tail = vectors >= HEAD
                 within = np.where(tail, have - tail_totals[np.maximum(vectors - HEAD, 0)], 0.0)
-                end = logs[0]
-                base = np.bincount(doc, have, len(block)) + end - (lengths + 1) * denominator
-                n_known = np.bincount(doc, there & (counts[np.maximum(index, 0)] > 0), len(block)).astype(np.int64) + int(counts[0] > 0)
-                rest: list[list[dict]] = []
+                lengths = np.diff(words.offsets)
+                doc = np.repeat(np.arange(n_docs), lengths)
+                sums = lambda x: np.bincount(doc, x, n_docs)  # noqa: B023, E731
                 missing = np.flatnonzero(~there)
-                cut = np.searchsorted(missing, np.concatenate([[0], ends]))
-                starts = np.concatenate([[0], ends])
-                for k, ws in enumerate(block):
-                    found = Counter([ws[j] for j in (missing[cut[k] : cut[k + 1]] - starts[k]).tolist()])
-                    rest.append([{"word": x, "n": n} for x, n in found.items()])
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
-                        pa.array(np.arange(made, made + len(at)) + (task << 40)),
-                        pa.array(lengths + 1),
-                        pa.array(n_known),
-                        pa.array(base),
-                        pa.array(model + np.bincount(doc, within, len(block))),
-                        pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
-                    ],
-                    names=["doc_id", "held_out", "row_key", "n_tokens", "n_known", "base_score", "score", "rest"],
-                )
-                made += len(at)
+                raw, names, times, counts = data.tobytes(), [], [], np.zeros(n_docs + 1, np.int32)
+                bounds = np.searchsorted(missing, words.offsets).tolist()
+                starts, ends = words.starts[missing].tolist(), words.ends[missing].tolist()
+                for k in range(n_docs):
+                    if bounds[k] < bounds[k + 1]:
+                        found = Counter([raw[starts[j] : ends[j]] for j in range(bounds[k], bounds[k + 1])])
+                        names.extend(found)
+                        times.extend(found.values())
+                    counts[k + 1] = len(names)
+                rest = pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int32())], fields=list(kind)))
+                part = slice(slab.first, slab.first + n_docs)
+                held.append((batch.column(0)[part], batch.column(1)[part], lengths, sums(have), sums(within), sums(there & seen[index]).astype(np.int64), rest, np.split(vectors, words.offsets[1:-1])))
+                if sum(int(h[2].sum()) for h in held) >= HELD:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
 
     return score
 
@@ -429,10 +479,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     counts = scratch.write(taught.select("text").mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    # At most KNOWN rows come to the driver, whatever the corpus' size.
-    top = counts.where("length(word) > 0").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    # Words above a count that at most KNOWN reach: a histogram of a few hundred rows finds it, so no task or driver sorts
+    # the vocabulary, and at most KNOWN rows come to the driver, whatever the corpus' size.
+    steps = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    histogram = counts.where("length(word) > 0").groupBy(steps.alias("step")).agg(F.count("*").alias("words")).collect()
+    least, reached = None, 0
+    for r in sorted(histogram, key=lambda r: -r.step):
+        reached += r.words
+        if reached > KNOWN:
+            break
+        least = r.step
+    top = counts.where("length(word) > 0").where(F.lit(False) if least is None else steps >= least).select("word", "n").toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
     ends = int((counts.where("length(word) = 0").agg(F.sum("n")).first()[0]) or 0)
-    head_words, head_counts = [bytes(r.word) for r in top], np.array([ends, *(r.n for r in top)], np.float64)
+    head_words, head_counts = top.column("word").to_pylist(), np.append(ends, top.column("n").to_numpy()).astype(np.float64)
     classes = counts.where("length(word) > 0").groupBy((F.crc32(F.expr("substring(word, -2, 2)")) % TAILS).cast("int").alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     sums, kinds = np.zeros(TAILS), np.zeros(TAILS)
     for r in classes:
