@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonal_spark.session import Scratch
+
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 17
@@ -62,7 +64,8 @@ def mixture(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_i
     order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
     rows = docs.select(*[docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)], docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col].cast("string")).alias("size"), order.alias("place"))
     rows = rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
-    # The text is scanned once for the sums and once for the rows; only narrow columns are shuffled.
+    if not keep:  # narrow rows are written, so that texts are read once and not for each of the sums
+        rows = Scratch(docs.sparkSession, "mixing").write(rows, "rows")
     narrow = rows.select("source", "bucket", "size", "doc_id")
     buckets = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     buckets = buckets.withColumns(

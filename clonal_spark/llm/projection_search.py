@@ -91,25 +91,27 @@ def nearest(tree: Tree, points: np.ndarray, units: np.ndarray, copies: np.ndarra
     box = tree.distances(q_point)
     order = np.argsort(box)
     found, dist, pending, pending_at = [], [], np.zeros(0, np.int64), np.zeros(0)
-    best = reach
-    for rank, leaf in enumerate(order.tolist()):
-        if box[leaf] > best * RATIO:
-            break
-        a, b = tree.leaves[leaf]
-        rows = tree.order[a:b]
+    best, p, take = reach, 0, 8
+    while p < len(order) and box[order[p]] <= best * RATIO:
+        # leaves in rising distance, in groups that double, so that a group is one vectorised step
+        group = order[p : p + take]
+        p, take = p + take, 2 * take
+        rows = np.concatenate([tree.order[a:b] for a, b in (tree.leaves[leaf] for leaf in group.tolist())])
         pending = np.concatenate([pending, rows])
         pending_at = np.concatenate([pending_at, ((points[rows] - q_point) ** 2).sum(1)])
-        upto = box[order[rank + 1]] if rank + 1 < len(order) else np.inf
+        upto = box[order[p]] if p < len(order) else np.inf
         due = np.flatnonzero(pending_at <= upto)
         due = due[np.argsort(pending_at[due])]
-        for lo in range(0, len(due), 32):
-            some = due[lo : lo + 32]
-            if pending_at[some[0]] > best * RATIO:
-                break
-            rows = pending[some]
+        lo, some = 0, 64
+        while lo < len(due) and pending_at[due[lo]] <= best * RATIO:
+            rows = pending[due[lo : lo + some]]
+            lo, some = lo + some, 2 * some
             found.append(rows)
             dist.append(((units[rows] - q_unit) ** 2).sum(1))
             d, n = np.concatenate(dist), copies[np.concatenate(found)]
+            if len(d) > 8 * k:  # only the nearest count
+                near = np.argpartition(d, 8 * k)[: 8 * k]
+                d, n = d[near], n[near]
             o = np.argsort(d)
             reached = np.searchsorted(np.cumsum(n[o]), k)
             if reached < len(o):
@@ -142,7 +144,10 @@ def _search(k: int):
         for i, reach in enumerate(right.column("reach").to_pylist()):
             rows, best = nearest(tree, points, units, copies, q_points[i], q_units[i], keep, reach)
             score = (raw[rows] @ q_raw[i]) / (norms[rows] * q_norms[i])
-            pairs = sorted(((-float(s), v) for s, r in zip(score, rows.tolist(), strict=True) for v in ids[r]))[:keep]
+            if len(rows) > keep:  # rows that score below the keep-th cannot be in the list
+                high = score >= np.partition(score, len(score) - keep)[len(score) - keep]
+                rows, score = rows[high], score[high]
+            pairs = sorted((-float(s), v) for s, r in zip(score, rows.tolist(), strict=True) for v in ids[r])[:keep]
             reaches.append(best)
             lists.append([{"score": -s, "vec_id": v} for s, v in pairs])
         return pa.table({"query_vector": pa.array(queries, pa.binary()), "reach": pa.array(reaches, pa.float64()), "found": pa.array(lists, names["found"])})
