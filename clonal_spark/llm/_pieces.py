@@ -155,10 +155,10 @@ class Ragged:
         return out
 
 
-def forgetting(pieces: Pieces, tables: list[Ragged]) -> tuple[Pieces, list[Ragged]]:
+def forgetting(pieces: Pieces, tables: list[Ragged], most: int) -> tuple[Pieces, list[Ragged]]:
     """What remains of the memory: pieces met in more than one call, if they are few enough."""
     often = pieces.often()
-    if len(often) > MEMORY_PIECES * 3 // 4:
+    if len(often) > most * 3 // 4:
         often = often[:0]
     out = Pieces()
     out.add(pieces.hashes[often])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,3 +138,11 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out += hashes[j : j + count] * np.uint64(pow(0xC2B2AE3D27D4EB4F, j, 1 << 64))
     return mix(out)
+
+
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: a worker lives on for tasks of other kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -28,9 +28,9 @@ from clonal_spark.llm._pieces import Pieces, Ragged
 
 LONG_WORD = 128
 #: Words, and bytes of words, that one query takes.
-QUERY_WORDS, QUERY_BYTES = 60_000, 600_000
-#: Bytes of texts that are worked on at once.
-SLAB = 4 << 20
+QUERY_WORDS, QUERY_BYTES = 30_000, 300_000
+#: Bytes of texts that are worked on at once, and pieces that a worker remembers beside its database.
+SLAB, MEMORY_PIECES = 2 << 20, 500_000
 
 _ENCODE = """
 WITH RECURSIVE step(w, pos, tok, best) AS (
@@ -101,7 +101,7 @@ class Bpe:
             if len(token) == 1:
                 self.single[token[0]] = rank
         splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True))
         self._table("merges", pa.table({"a": a, "b": b, "r": r}))
         self._table("vocabulary", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -178,8 +178,8 @@ class Bpe:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Joined ids of a slab's texts and how many each has, then the same of the decoded bytes."""
-        if self.pieces.count > _pieces.MEMORY_PIECES:
-            self.pieces, (self.ids, self.bytes) = _pieces.forgetting(self.pieces, [self.ids, self.bytes])
+        if self.pieces.count > MEMORY_PIECES:
+            self.pieces, (self.ids, self.bytes) = _pieces.forgetting(self.pieces, [self.ids, self.bytes], MEMORY_PIECES)
         starts, first = _pieces.cut(data, offsets)
         ends = np.append(starts[1:], len(data))
         h = _pieces.hashed(data, starts, ends)
@@ -231,6 +231,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        _text.release()
 
     schema = f"doc_id {kind}, {DIGESTS}" + (", ids array<int>" if with_ids else "")
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)

@@ -87,6 +87,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in _text.slabs(batch.column(1)):
             d, at, seed, whole = anchors(slab.data, slab.offsets)
             yield pa.RecordBatch.from_arrays([pa.array(keys[slab.first + d]), pa.array(seed), pa.array(whole), pa.array((at - slab.offsets[:-1][d]).astype(np.int32))], names=["row_key", "seed", "fragment", "place"])
+    _text.release()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

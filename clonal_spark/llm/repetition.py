@@ -134,5 +134,6 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for s in _text.slabs(batch.column(at)):
                 keep.append(verdicts(measure(s.data, s.offsets))[1])
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+        _text.release()
 
     return docs.mapInArrow(filtered, docs.schema)

@@ -80,7 +80,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joined ids of a slab's texts, and how many each has."""
         if self.pieces.count > _pieces.MEMORY_PIECES:
-            self.pieces, (self.ids,) = _pieces.forgetting(self.pieces, [self.ids])
+            self.pieces, (self.ids,) = _pieces.forgetting(self.pieces, [self.ids], _pieces.MEMORY_PIECES)
         starts, first = _pieces.cut(data, offsets)
         ends = np.append(starts[1:], len(data))
         h = _pieces.hashed(data, starts, ends)

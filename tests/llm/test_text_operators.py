@@ -140,10 +140,8 @@ def test_encoders_on_odd_texts():
 def test_bpe_forgets_and_keeps_right(monkeypatch):
     import tiktoken
 
-    from clonal_spark.llm import _pieces
-
     file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    monkeypatch.setattr(_pieces, "MEMORY_PIECES", 40)
+    monkeypatch.setattr(bpe, "MEMORY_PIECES", 40)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(file), special_tokens={})
     own = bpe.Bpe(file, public_tokenizers.PATTERN)
     for round_ in range(6):
