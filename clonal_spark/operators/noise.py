@@ -16,15 +16,26 @@ def beta_logpdf(v: Column, a: Column, b: Column) -> Column:
     return (a - 1) * F.log(v) + (b - 1) * F.log(1 - v) - (mx.lgamma(a) + mx.lgamma(b) - mx.lgamma(a + b))
 
 
-def tail_probability(obs: DataFrame, phi: float | None = None, tau: float = 0.1) -> DataFrame:
-    """Adds p_tail. phi None: by moments, per tumour and sample. One aggregate per (tumour, sample), joined back."""
+def _tail_terms(obs: DataFrame, phi: float | None) -> DataFrame:
+    """Adds v, mu and phi (None: by moments), per tumour and sample. One aggregate per (tumour, sample), joined back."""
     rows = obs.withColumn("v", mx.clip(vaf(), VAF_FLOOR, 1 - VAF_FLOOR))
     groups = rows.groupBy("tumour_id", "sample_id").agg(F.percentile("v", 0.5).alias("median"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
     mean = mx.clip(F.col("mean"), 0.01, 0.99)
     spread = mean * (1 - mean)
     moments = F.when((F.col("var") <= 0) | (F.col("var") >= spread), F.lit(50.0)).otherwise(mx.clip(spread / F.col("var") - 1, 1.0, 1000.0))
     groups = groups.select("tumour_id", "sample_id", mx.clip(F.col("median"), 0.05, 0.95).alias("mu"), (moments if phi is None else F.lit(float(phi))).alias("phi"))
-    met = rows.join(groups, ["tumour_id", "sample_id"])
+    return rows.join(groups, ["tumour_id", "sample_id"])
+
+
+def tail_log_odds(obs: DataFrame, phi: float | None = None) -> DataFrame:
+    """Adds odds: the logarithm of tail over body at equal weights."""
+    tail = -F.log("v") - math.log(-math.log(VAF_FLOOR))
+    return _tail_terms(obs, phi).withColumn("odds", tail - beta_logpdf(F.col("v"), F.col("mu") * F.col("phi"), (1 - F.col("mu")) * F.col("phi"))).drop("v", "mu", "phi")
+
+
+def tail_probability(obs: DataFrame, phi: float | None = None, tau: float = 0.1) -> DataFrame:
+    """Adds p_tail. phi None: by moments, per tumour and sample."""
+    met = _tail_terms(obs, phi)
     tail = -F.log("v") - math.log(-math.log(VAF_FLOOR)) + math.log(tau)
     body = beta_logpdf(F.col("v"), F.col("mu") * F.col("phi"), (1 - F.col("mu")) * F.col("phi")) + math.log(1 - tau)
     return met.withColumn("p_tail", F.exp(tail - mx.logaddexp(tail, body))).drop("v", "mu", "phi")
@@ -32,7 +43,12 @@ def tail_probability(obs: DataFrame, phi: float | None = None, tau: float = 0.1)
 
 def tail_mask(obs: DataFrame, threshold: float = 0.5, phi: float | None = None, tau: float = 0.1) -> DataFrame:
     """(tumour_id, mut_id, kept): out if any sample's p_tail exceeds the threshold, unless fewer than two would stay."""
-    muts = tail_probability(obs, phi, tau).groupBy(*MUT).agg(F.bool_and(F.col("p_tail") <= threshold).alias("stays"))
+    return mask_of(tail_probability(obs, phi, tau), threshold)
+
+
+def mask_of(cells: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """tail_mask of cells with p_tail."""
+    muts = cells.groupBy(*MUT).agg(F.bool_and(F.col("p_tail") <= threshold).alias("stays"))
     kept = F.sum(F.col("stays").cast("int")).over(Window.partitionBy("tumour_id"))
     return muts.select(*MUT, (F.col("stays") | (kept < 2)).alias("kept"))
 

@@ -187,18 +187,25 @@ def merge_map(centers: np.ndarray, tol: float = MERGE) -> np.ndarray:
     return out
 
 
-def merge_and_prune(fit: Fit, n_mut: int, least: float) -> Fit:
-    where = merge_map(fit.centers)
-    names = np.unique(where)
-    resp = np.stack([fit.resp[:, where == i].sum(1) for i in names], 1)
-    mass = fit.resp.sum(0)
-    centers = np.stack([np.average(fit.centers[where == i], axis=0, weights=np.maximum(mass[where == i], 1e-300)) for i in names])
-    keep = np.flatnonzero(resp.sum(0) / n_mut >= least)
+def merged(centers: np.ndarray, mass: np.ndarray, n_mut: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each clone's place after merging, the places that stay after pruning, and their centers."""
+    names, place = np.unique(merge_map(centers), return_inverse=True)
+    out = np.stack([np.average(centers[place == i], axis=0, weights=np.maximum(mass[place == i], 1e-300)) for i in range(len(names))])
+    total = np.bincount(place, mass, len(names))
+    keep = np.flatnonzero(total / n_mut >= least)
     if not len(keep):
-        keep = np.array([int(resp.sum(0).argmax())])
-    resp, centers = resp[:, keep], np.clip(centers[keep], LOW, HIGH)
-    resp = resp / np.maximum(resp.sum(1, keepdims=True), 1e-300)
-    return _fit(centers, resp, fit.ll, n_mut, fit.n_iter, fit.converged, fit.trace)
+        keep = np.array([int(total.argmax())])
+    return place, keep, np.clip(out[keep], LOW, HIGH)
+
+
+def merged_resp(resp: np.ndarray, place: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    resp = np.stack([resp[:, place == i].sum(1) for i in keep], 1)
+    return resp / np.maximum(resp.sum(1, keepdims=True), 1e-300)
+
+
+def merge_and_prune(fit: Fit, n_mut: int, least: float) -> Fit:
+    place, keep, centers = merged(fit.centers, fit.resp.sum(0), n_mut, least)
+    return _fit(centers, merged_resp(fit.resp, place, keep), fit.ll, n_mut, fit.n_iter, fit.converged, fit.trace)
 
 
 def select(config: CloneConfig, fits: list[Fit], n_mut: int) -> Fit:
@@ -260,17 +267,20 @@ def expand(fit: Fit, mask: np.ndarray) -> Fit:
     return fit
 
 
-def drop_artefacts(config: CloneConfig, fit: Fit) -> Fit:
-    """Clusters whose presence pattern is no subset or superset of another's lose their mutations and centers; the
-    tree, K and responsibilities stay as they were."""
-    if fit.centers.shape[1] < 2:
-        return fit
-    there = fit.centers > config.artefact_absence_threshold
+def artefacts(config: CloneConfig, centers: np.ndarray) -> np.ndarray:
+    """Clusters whose presence pattern is no subset or superset of another's; none where that holds for all."""
+    there = centers > config.artefact_absence_threshold
     below = (~there[:, None, :] | there[None, :, :]).all(2)
     partner = below | below.T
     np.fill_diagonal(partner, False)
     bad = ~partner.any(1)
-    if bad.all() or not bad.any():
+    return bad & (centers.shape[1] > 1) & ~bad.all()
+
+
+def drop_artefacts(config: CloneConfig, fit: Fit) -> Fit:
+    """Artefacts lose their mutations and centers; the tree, K and responsibilities stay as they were."""
+    bad = artefacts(config, fit.centers)
+    if not bad.any():
         return fit
     valid = np.flatnonzero(~bad)
     centers, assigned = fit.centers.copy(), fit.assignments.copy()

@@ -107,7 +107,7 @@ class GenerativeModel:
         return self.fit(obs.where(~F.col("tumour_id").isin(large)) if large else obs), {t: self.fit_one(obs.where(F.col("tumour_id") == t)) for t in large}
 
     def fit_one(self, obs: DataFrame) -> dict:
-        """One large tumour by distributed EM (or its variational form): centers, ll and bic of the selected K."""
+        """One large tumour by distributed EM (or its variational form): the selected K as `fit` gives it, see distributed_fit."""
         return distributed_fit(obs, self.config)
 
 
@@ -140,55 +140,130 @@ def wide(obs: DataFrame, samples: list[str]) -> DataFrame:
     return maps.select("mut_id", cell("alt", 0.0), cell("depth", 0.0), cell("adj", 1.0))
 
 
+def _assigned(emission, e_step: tuple[np.ndarray, np.ndarray], merge: tuple[np.ndarray, np.ndarray] | None, bad: np.ndarray):
+    """Responsibilities of each mutation, and its clone; those of `bad` clones go to the best other one."""
+
+    def run(batches):
+        for batch in batches:
+            t = batch.to_pydict()
+            if not t["mut_id"]:
+                continue
+            alt, depth, adj = (np.array(t[c], float) for c in ("alt", "depth", "adj"))
+            r = en.softmax(en.log_resp(e_step[1], alt, depth, adj, e_step[0], emission, emission.np_fixed(alt, depth)))
+            r = r if merge is None else en.merged_resp(r, *merge)
+            k = r.argmax(1)
+            if bad.any():
+                valid = np.flatnonzero(~bad)
+                k = np.where(bad[k], valid[r[:, valid].argmax(1)], k)
+            yield pa.RecordBatch.from_arrays([batch.column("mut_id"), pa.array(k, pa.int32()), pa.array([True] * len(k)), pa.array(r.tolist(), pa.list_(pa.float64()))], names=["mut_id", "k", "kept", "resp"])
+
+    return run
+
+
+def _tail_kept(obs: DataFrame, config: CloneConfig) -> DataFrame:
+    """(tumour_id, mut_id, kept) with each sample's tail weight estimated where none is given, as engines.tail_probability does."""
+    if config.tail_weight is not None:
+        return no.tail_mask(obs, config.tail_threshold, config.phi, config.tail_weight)
+    # the log odds of the tail at equal weights; a weight adds its own
+    odds = no.tail_log_odds(obs, config.phi).select("tumour_id", "mut_id", "sample_id", "odds").persist()
+    weights = {r.sample_id: 0.1 for r in odds.select("sample_id").distinct().collect()}
+    posterior = lambda: 1 / (1 + F.exp(-(F.col("odds") + F.element_at(F.create_map(*(F.lit(x) for s, t in weights.items() for x in (s, float(np.log(t / (1 - t)))))), F.col("sample_id")))))
+    running = set(weights)
+    for _ in range(50):
+        means = {r.sample_id: float(np.clip(r.p, 1e-6, 1 - 1e-6)) for r in odds.where(F.col("sample_id").isin(list(running))).groupBy("sample_id").agg(F.avg(posterior()).alias("p")).collect()}
+        running = {s for s in running if abs(means[s] - weights[s]) >= 1e-4}  # else the value before this one is kept
+        weights |= {s: means[s] for s in running}
+        if not running:
+            break
+    return no.mask_of(odds.withColumn("p_tail", posterior()), config.tail_threshold)
+
+
 def distributed_fit(obs: DataFrame, config: CloneConfig, max_iter: int = en.MAX_ITER, tol: float = en.TOL, rel_tol: float = 0.0) -> dict:
     """All K of the schedule advance together, one pass over the data per iteration; converged ones drop out.
-    What comes to the driver per iteration are K-sized sums of each partition, added up by Spark."""
+    What comes to the driver per iteration are K-sized sums of each partition, added up by Spark. Selection, merging, tree
+    and noise are those of engines.fit_arrays; `assigned` is a table of mut_id, k, kept and resp. The sampler has no such
+    form."""
+    if config.inference is InferenceEngine.MCMC:
+        raise NotImplementedError("the sampler has no distributed form; fit the tumour in one group")
     spark: SparkSession = obs.sparkSession
-    if config.noise is NoiseModel.TAIL_FILTER:
-        obs = obs.join(no.tail_mask(obs, config.tail_threshold, config.phi, config.tail_weight or 0.1).where("kept"), mo.MUT, "left_semi")
-    elif config.noise is NoiseModel.MULTIPLICITY:
+    if config.noise is NoiseModel.MULTIPLICITY and "total_cn" in obs.columns and obs.where("total_cn IS NOT NULL").limit(1).count():
         obs = no.multiplicity_adj(obs, config.purity)
     samples = [r.sample_id for r in obs.select("sample_id").distinct().orderBy("sample_id").collect()]
     data = wide(obs, samples).persist()
+    # with the missing cells, as in dense arrays
+    zipped = F.explode(F.arrays_zip(F.array(*map(F.lit, samples)).alias("sample_id"), "alt", "depth")).alias("z")
+    cells = data.select(F.lit(0).cast("long").alias("tumour_id"), "mut_id", zipped).select("tumour_id", "mut_id", F.col("z.sample_id"), F.col("z.alt"), F.col("z.depth"))
+    out = None
+    if config.noise is NoiseModel.TAIL_FILTER:
+        mask = _tail_kept(cells, config).persist()
+        kept, out = mask.where("kept").select("mut_id"), mask.where("NOT kept").select("mut_id")
+        data, cells = data.join(kept, "mut_id", "left_semi").persist(), cells.join(kept, "mut_id", "left_semi")
     emission, s = emission_of(config), len(samples)
-    quantiles = {k: [] for k in en.k_schedule(config)}
-    levels = sorted({i / (k + 1) for k in quantiles for i in range(1, k + 1)})
-    rows = obs.groupBy("sample_id").agg(F.percentile(mo.vaf(), F.array(*map(F.lit, levels))).alias("q")).collect()
+    ks = en.k_schedule(config)
+    levels = sorted({i / (k + 1) for k in ks for i in range(1, k + 1)})
+    rows = cells.groupBy("sample_id").agg(F.percentile(mo.vaf(), F.array(*map(F.lit, levels))).alias("q")).collect()
     at = {r.sample_id: dict(zip(levels, r.q, strict=True)) for r in rows}
-    params = {k: (np.clip([[at[x][i / (k + 1)] for x in samples] for i in range(1, k + 1)], en.LOW, en.HIGH), np.full(k, -np.log(k))) for k in quantiles}
-    variational = config.inference in (InferenceEngine.MFVI, InferenceEngine.HYBRID)
-    alphas = {k: np.full(k, en.ALPHA0) for k in quantiles}
-    before, done, n_iter, trace = {}, {}, 0, []
-    switch = en.HYBRID_EM if config.inference is InferenceEngine.HYBRID else (0 if variational else max_iter)
-    while params and n_iter < max_iter + (switch if variational else 0):
-        n_iter += 1
-        vi = variational and n_iter > switch
-        use = {k: (c, mx.np_digamma(alphas[k]) - mx.np_digamma(alphas[k].sum()) if vi else w) for k, (c, w) in params.items()}
+    params = {k: (np.clip([[at[x][i / (k + 1)] for x in samples] for i in range(1, k + 1)], en.LOW, en.HIGH), np.full(k, -np.log(k))) for k in ks}
+    alphas = {k: np.full(k, en.ALPHA0) for k in params}
+    # each K's phase, and its iterations in it
+    first = {InferenceEngine.EM: "em", InferenceEngine.MFVI: "vi", InferenceEngine.HYBRID: "start"}[config.inference]
+    phase, steps, before = dict.fromkeys(params, first), dict.fromkeys(params, 0), dict.fromkeys(params, -np.inf)
+    done, n_iter, trace = {}, 0, []
+
+    def totals_of(use: dict) -> dict:
         sums = data.select("alt", "depth", "adj").mapInArrow(_stats(emission, use, samples), "K int, stats array<double>")
-        width = {k: k + 2 * k * s + 3 for k in params}
-        totals = {r.K: np.array(r.total) for r in sums.select("K", F.posexplode("stats").alias("i", "v")).groupBy("K", "i").agg(F.sum("v").alias("v")).groupBy("K").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x")).select("K", F.col("x.v").alias("total")).collect()}
+        rows = sums.select("K", F.posexplode("stats").alias("i", "v")).groupBy("K", "i").agg(F.sum("v").alias("v")).groupBy("K").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x")).select("K", F.col("x.v").alias("total")).collect()
+        return {r.K: np.array(r.total) for r in rows}
+
+    while params:
+        n_iter += 1
+        use = {k: (c, mx.np_digamma(alphas[k]) - mx.np_digamma(alphas[k].sum()) if phase[k] == "vi" else w) for k, (c, w) in params.items()}
+        totals = totals_of(use)
         for k in list(params):
             row = totals[k]
-            assert len(row) == width[k]
+            assert len(row) == k + 2 * k * s + 3
             mass, a, d, (ll, elbo, n) = row[:k], row[k : k + k * s].reshape(k, s), row[k + k * s : k + 2 * k * s].reshape(k, s), row[-3:]
             centers = en.constrain(config, np.clip(a / np.maximum(d, 1e-10), en.LOW, en.HIGH))
-            if vi:
+            if phase[k] == "vi":
                 alphas[k] = en.ALPHA0 + mass
                 value = elbo - en._kl_dirichlet(alphas[k], en.ALPHA0)
             else:
                 value = ll
             params[k] = (centers, np.log(np.maximum(mass / n, 1e-10)))
             trace.append({"K": k, "iteration": n_iter, "value": float(value)})
-            last = before.get((k, vi), -np.inf)
-            if abs(value - last) < max(tol, rel_tol * abs(value)) and (vi or not variational):
-                done[k] = {"K": k, "centers": centers, "mass": mass, "ll": float(ll), "n_mut": int(n), "n_iter": n_iter, "converged": True}
+            steps[k] += 1
+            converged = bool(abs(value - before[k]) < max(tol, rel_tol * abs(value)))
+            before[k] = value
+            if phase[k] == "start":
+                if converged or steps[k] == en.HYBRID_EM:
+                    phase[k], steps[k], before[k] = "vi", 0, -np.inf
+            elif converged or steps[k] == max_iter:
+                more = en.HYBRID_EM if first == "start" else 0
+                done[k] = {"K": k, "centers": centers, "mass": mass, "ll": float(ll), "n_mut": int(n), "n_iter": steps[k] + more, "converged": converged, "e_step": use[k]}
                 del params[k]
-            elif n_iter == max_iter + (switch if variational else 0):
-                done[k] = {"K": k, "centers": centers, "mass": mass, "ll": float(ll), "n_mut": int(n), "n_iter": n_iter, "converged": False}
-            before[(k, vi)] = value
+    if first != "em":  # the likelihood at the last weights and centers
+        last = totals_of({k: (f["centers"], np.log(np.maximum(alphas[k] / alphas[k].sum(), 1e-10))) for k, f in done.items()})
+        for k, f in done.items():
+            f["ll"] = float(last[k][-3])
     data.unpersist()
     for f in done.values():
         f["bic"] = float(en.bic(f["ll"], f["K"], s, f["n_mut"]))
-    best = min(done.values(), key=lambda f: (f["bic"], f["K"])) if config.k_prior is KPrior.BIC else next(iter(done.values()))
+    best = min(done.values(), key=lambda f: (f["bic"], f["K"])) if config.k_prior is KPrior.BIC else done[ks[0]]
+    merge = None
+    if config.k_prior not in (KPrior.BIC, KPrior.FIXED):
+        place, keep, centers = en.merged(best["centers"], best["mass"], best["n_mut"], en.TSSB_PRUNE if config.k_prior is KPrior.TSSB else en.PRUNE)
+        merge = place, keep
+        best |= {"K": len(keep), "centers": centers, "mass": np.bincount(place, best["mass"])[keep], "bic": float(en.bic(best["ll"], len(keep), s, best["n_mut"]))}
+    tree = en.grow_tree(config, en.Fit(best["centers"], np.zeros((0, best["K"])), np.zeros(0, int), best["ll"], best["bic"], best["K"], best["n_iter"], best["converged"]))
+    best["parents"], best["pairs"] = tree.parents, tree.pairs
+    table = lambda bad: data.select("mut_id", "alt", "depth", "adj").mapInArrow(_assigned(emission, best["e_step"], merge, bad), "mut_id long, k int, kept boolean, resp array<double>")
+    bad = np.zeros(best["K"], bool)
+    if config.noise is NoiseModel.ARTEFACT and (bad := en.artefacts(config, best["centers"])).any():
+        held = [r.k for r in table(np.zeros(best["K"], bool)).select("k").distinct().collect()]
+        best["centers"] = best["centers"].copy()
+        best["centers"][[k for k in held if bad[k]]] = 0.0
+    best["assigned"] = table(bad)
+    if out is not None:
+        best["assigned"] = best["assigned"].unionByName(out.select("mut_id", F.lit(-1).alias("k"), F.lit(False).alias("kept"), F.array_repeat(F.lit(0.0), best["K"]).alias("resp")))
     best["samples"], best["trace"], best["spark"] = samples, trace, spark.version
     return best
