@@ -36,10 +36,15 @@ def _obs(spark, sf):
     return ob.from_lineitem(spark, sf).persist()
 
 
-def _cohort(spark, sf):
+def _whole_cohort(spark, sf):
     return ob.from_lineitem(spark, sf, tumour="supplier").persist()
 
 
+def _cohort(spark, sf):
+    """One return flag of three, as the SQL of its queries has it; `meta_features_all_samples` is over all."""
+    return ob.from_lineitem(spark, sf, tumour="supplier").where("sample_id = 'N'").persist()
+
+
 def _params(spark, sf):
     return mo.quantile_init(_obs(spark, sf), K)
 
@@ -412,11 +417,16 @@ def augment_cohort(spark, sf):
 
 
 def head_mean_select(spark, sf):
-    return RoutedModel(MetaRouter()).choose(_cohort(spark, sf))
+    return RoutedModel(MetaRouter()).choose(_whole_cohort(spark, sf))
 
 
 def explain_attributions(spark, sf):
-    return explain_table(MetaRouter(), fe.as_vector(fe.meta_features(_cohort(spark, sf))), "SC2B")
+    return explain_table(MetaRouter(), fe.as_vector(fe.meta_features(_whole_cohort(spark, sf))), "SC2B")
+
+
+def meta_features_all_samples(spark, sf):
+    """Every feature over all samples of each tumour."""
+    return fe.meta_features(_whole_cohort(spark, sf))
 
 
 QUERIES: dict[str, Query] = {
@@ -427,7 +437,7 @@ QUERIES: dict[str, Query] = {
         nesting_order, greedy_tree, constrained_clamp, pairs_tensor, tree_topo_depth, plot_tree_layout, tree_enumeration_best, longitudinal_tree, contingency, contingency_all, v_measure, sc1a, sc1b, sc2a, sc3,
         adaptive_elimination, resume_antijoin, best_config_label, head_suffstats, oracle_regret, routing_gain, selection_counts, score_distribution, uncertainty_quartiles, cumulative_regret,
         allocate_clone_sizes, plot_vaf_hist, plot_scatter, plot_fish, plot_samples, plot_heatmap, plot_resp_violin, plot_top_attr, plot_bic_curve, pileup_counts, bic_sweep_1iter, fit_distributed,
-        simulate_cohort, augment_cohort, head_mean_select, explain_attributions,
+        simulate_cohort, augment_cohort, head_mean_select, explain_attributions, meta_features_all_samples,
     )
 }
 QUERIES["hard_assign"] = flagship_em_step

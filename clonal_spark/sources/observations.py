@@ -23,8 +23,8 @@ def from_arrays(spark: SparkSession, alt, depth, adj=None, total_cn=None, tumour
 
 def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample: str = "l_returnflag") -> DataFrame:
     """Observations of the star schema: a mutation is a part, a sample a return flag (or a year), depth the summed
-    quantity and alt that of discounts from 0.05 on. tumour: "none" (one) or "supplier" (one each). Mutations that
-    lack a sample of their tumour are left out, so that tables are dense."""
+    quantity and alt that of discounts from 0.05 on. tumour: "none" (one) or "supplier" (one each). With one
+    tumour, mutations that lack a sample are left out, so that its table is dense; suppliers keep all samples."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mut_id"), "p_size")
     tumour_id = F.lit(0).cast("long") if tumour == "none" else F.col("l_suppkey").cast("long")
@@ -35,8 +35,6 @@ def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample
         samples = F.broadcast(reads.agg(F.countDistinct("sample_id").alias("n_samples")))  # one row
         whole = obs.groupBy("mut_id").agg(F.count("*").alias("n")).crossJoin(samples).where("n = n_samples").select("mut_id")
         obs = obs.join(whole, "mut_id", "left_semi")
-    else:
-        obs = obs.where("sample_id = 'N'") if sample == "l_returnflag" else obs
     cn = F.col("p_size") % 4 + 1
     return obs.join(part, "mut_id").select("tumour_id", "mut_id", "sample_id", "alt", "depth", (F.lit(2.0) / (cn * F.lit(0.8) + F.lit(0.4))).alias("adj"), cn.cast("double").alias("total_cn"))
 
