@@ -287,8 +287,13 @@ def best_config_label(spark, sf):
     return _round(sg.best_config(corpus.withColumn("config_idx", F.array_position(F.array(*map(F.lit, names)), F.col("config")) - 1)), 9, "score")
 
 
+def _whole_encoded(spark, sf):
+    return _table(spark, sf, "embeddings").select(F.col("label").alias("arm"), (F.col("vec_id") % 100 / 100.0).alias("reward"), F.col("embedding").cast("array<double>").alias("z"))
+
+
 def _encoded(spark, sf):
-    return _table(spark, sf, "embeddings").select(F.col("label").alias("arm"), (F.col("vec_id") % 100 / 100.0).alias("reward"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("z"))
+    """The first 8 components, as the SQL of its queries has it; `head_suffstats_whole` and `head_vectors_whole` use all."""
+    return _whole_encoded(spark, sf).withColumn("z", F.slice("z", 1, 8))
 
 
 def head_suffstats(spark, sf):
@@ -299,6 +304,14 @@ def head_vector_sums(spark, sf):
     return _round(head_vectors(_encoded(spark, sf), ["arm"]), 6, "zy")
 
 
+def head_suffstats_whole(spark, sf):
+    return head_sums(_whole_encoded(spark, sf), ["arm"])
+
+
+def head_vectors_whole(spark, sf):
+    return head_vectors(_whole_encoded(spark, sf), ["arm"])
+
+
 def oracle_regret(spark, sf):
     corpus = _corpus(spark, sf)
     return _round(sg.oracle_regret(corpus, _first_selected(corpus)), 9, "regret")
@@ -437,7 +450,7 @@ QUERIES: dict[str, Query] = {
         nesting_order, greedy_tree, constrained_clamp, pairs_tensor, tree_topo_depth, plot_tree_layout, tree_enumeration_best, longitudinal_tree, contingency, contingency_all, v_measure, sc1a, sc1b, sc2a, sc3,
         adaptive_elimination, resume_antijoin, best_config_label, head_suffstats, oracle_regret, routing_gain, selection_counts, score_distribution, uncertainty_quartiles, cumulative_regret,
         allocate_clone_sizes, plot_vaf_hist, plot_scatter, plot_fish, plot_samples, plot_heatmap, plot_resp_violin, plot_top_attr, plot_bic_curve, pileup_counts, bic_sweep_1iter, fit_distributed,
-        simulate_cohort, augment_cohort, head_mean_select, explain_attributions, meta_features_all_samples,
+        simulate_cohort, augment_cohort, head_mean_select, explain_attributions, meta_features_all_samples, head_suffstats_whole, head_vectors_whole,
     )
 }
 QUERIES["hard_assign"] = flagship_em_step

@@ -17,3 +17,16 @@ def test_cohort_features_see_all_samples(spark):
     assert {t: r.n_samples for t, r in got.items()} == samples.to_dict() and max(samples) == 3
     assert {t: r.n_mutations for t, r in got.items()} == muts.to_dict()
     assert {r.tumour_id for r in QUERIES["head_mean_select"](spark, SF).select("tumour_id").distinct().collect()} == set(got)
+
+
+def test_head_sums_use_whole_embeddings(spark):
+    rows = pd.read_parquet(f"{SF}/embeddings.parquet")
+    z, reward = np.stack(rows["embedding"]).astype(float), (rows["vec_id"] % 100 / 100.0).to_numpy()
+    zz = {(r.arm, r.i, r.j): r.zz for r in QUERIES["head_suffstats_whole"](spark, SF).collect()}
+    zy = {(r.arm, r.i): (r.zy, r.n) for r in QUERIES["head_vectors_whole"](spark, SF).collect()}
+    arms = sorted(set(rows["label"]))
+    assert len(zz) == len(arms) * 64 * 64 and len(zy) == len(arms) * 64
+    for arm in arms:
+        m = (rows["label"] == arm).to_numpy()
+        assert np.array([[zz[arm, i, j] for j in range(64)] for i in range(64)]) == pytest.approx(z[m].T @ z[m], abs=1e-6)
+        assert np.array([zy[arm, i] for i in range(64)]) == pytest.approx(np.stack([z[m].T @ reward[m], np.full(64, m.sum())], 1), abs=1e-6)
