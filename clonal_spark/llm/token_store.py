@@ -10,9 +10,9 @@ Files below the store's folder:
   recipes/   Parquet, sorted by doc_id: doc_id, start, n_tokens, digests (16 bytes each), root
   manifest/  Parquet: shard, first and last doc_id, documents, ids, root
 
-Reading back checks every chunk's bytes against its name once, and every recipe's root; a document's
-CRC is combined from its chunks' CRCs, so a chunk of many copies is read once. `documents_of` gives whole
-id lists. A mismatch raises, so a damaged store cannot pass.
+Reading back checks each shard's recipes against its manifest; `read_digests` also checks every chunk's bytes against
+its name once, and every recipe's root; a document's CRC is combined from its chunks' CRCs, so a chunk of many copies is read once. `documents_of` gives whole
+id lists, of chunks as they are. A mismatch raises, so a damaged store cannot pass.
 
 Defined results: a null text is an empty one and has the end id only; rows with the same doc_id each
 keep a row, in the order of their roots; a null doc_id comes first.
@@ -234,10 +234,24 @@ def write_store(docs: DataFrame, scratch: Scratch, tokenizer_file: str, id_col:
     recipes = scratch.write(recipes.select("doc_id", "start", "n_tokens", "digests", "root", "shard"), "recipes", compression="zstd")
     scratch.drop("staged")
     scratch.drop("placed")
-    manifest = recipes.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    # Leaves are 16 bytes a document of one shard; the root is what the manifest keeps.
-    root = F.udf(lambda roots: merkle_root([bytes(r.root) for r in roots]), "binary")
-    manifest.withColumn("root", root("roots")).drop("roots").write.parquet(scratch.path("manifest"))
+    _manifest(recipes).write.parquet(scratch.path("manifest"))
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """A row per shard. Leaves are 16 bytes a document of one shard, of its doc_id, start and root; the root is what is kept."""
+    leaf = F.struct("start", F.col("doc_id").cast("string").alias("doc_id"), "root")
+    manifest = recipes.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sort_array(F.collect_list(leaf)).alias("leaves"))
+    root = F.udf(lambda leaves: merkle_root([hashlib.sha256(f"{r.start} {r.doc_id!r} ".encode() + bytes(r.root)).digest()[:DIGEST_BYTES] for r in leaves]), "binary")
+    return manifest.withColumn("root", root("leaves")).drop("leaves")
+
+
+def _check_manifest(spark: SparkSession, scratch: Scratch, recipes: DataFrame) -> None:
+    """Raises where a shard's recipes are not those that its manifest was made of."""
+    kept = spark.read.parquet(scratch.path("manifest"))
+    facts = [c for c in kept.columns if c != "shard"]
+    both = kept.select("shard", F.struct(*facts).alias("kept")).join(_manifest(recipes).select("shard", F.struct(*facts).alias("now")), "shard", "full_outer")
+    if off := both.where(~F.col("kept").eqNullSafe(F.col("now"))).select("shard").head():
+        raise ValueError(f"the manifest of shard {off.shard} does not give its root, documents and ids")
 
 
 def _checked_chunks(wide: bool):
@@ -281,6 +295,7 @@ def read_digests(spark: SparkSession, scratch: Scratch, wide: bool = False) -> D
     """From the store's files: doc_id, start, n_tokens, ids_crc32, n_chunks, all verified. Copies of a
     chunk meet its one small row (digest, crc, length); AQE splits a digest that many recipes share."""
     recipes = spark.read.parquet(scratch.path("recipes"))
+    _check_manifest(spark, scratch, recipes)
     chunks = spark.read.parquet(scratch.path("chunks")).select("digest", "ids").mapInArrow(_checked_chunks(wide), "digest binary, crc bigint, n_ids bigint")
     met = references(recipes).join(chunks, "digest", "left")
     parts = F.sort_array(F.collect_list(F.struct("seq", "digest", F.coalesce("crc", F.lit(-1).cast("long")).alias("crc"), F.coalesce("n_ids", F.lit(0).cast("long")).alias("n_ids"))))
@@ -292,7 +307,9 @@ def read_digests(spark: SparkSession, scratch: Scratch, wide: bool = False) -> D
 def documents_of(spark: SparkSession, scratch: Scratch, wide: bool = False) -> DataFrame:
     """Whole id lists from the store: doc_id, start, ids."""
     size = 4 if wide else 2
-    met = references(spark.read.parquet(scratch.path("recipes"))).join(spark.read.parquet(scratch.path("chunks")), "digest")
+    recipes = spark.read.parquet(scratch.path("recipes"))
+    _check_manifest(spark, scratch, recipes)
+    met = references(recipes).join(spark.read.parquet(scratch.path("chunks")), "digest")
     whole = met.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
     joined = F.udf(lambda parts: [int.from_bytes(x.ids[i : i + size], "little") for x in parts for i in range(0, len(x.ids), size)], "array<long>")
     return whole.select("doc_id", "start", joined("parts").alias("ids"))
