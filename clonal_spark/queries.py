@@ -414,15 +414,15 @@ def bic_sweep_1iter(spark, sf):
 
 
 def fit_distributed(spark, sf):
-    """One large tumour by distributed EM, all K together; five iterations."""
+    """One large tumour by distributed EM, all K together."""
     from clonal_spark.plans.model import distributed_fit
 
-    fit = distributed_fit(_obs(spark, sf), CloneConfig(emission=EmissionModel.BINOMIAL, inference=CONFIGS["quantumclone_v1"].inference, k_prior=CONFIGS["quantumclone_v1"].k_prior), max_iter=5)
+    fit = distributed_fit(_obs(spark, sf), CloneConfig(emission=EmissionModel.BINOMIAL, inference=CONFIGS["quantumclone_v1"].inference, k_prior=CONFIGS["quantumclone_v1"].k_prior))
     return spark.createDataFrame([(int(fit["K"]), float(fit["ll"]), float(fit["bic"]), int(fit["n_iter"]))], "K int, ll double, bic double, n_iter int")
 
 
 def simulate_cohort(spark, sf):
-    return si.simulate(si.params_table(spark, 20).withColumn("n_mutations", F.least("n_mutations", F.lit(500))))
+    return si.simulate(si.params_table(spark, 20))
 
 
 def augment_cohort(spark, sf):

@@ -30,3 +30,11 @@ def test_head_sums_use_whole_embeddings(spark):
         m = (rows["label"] == arm).to_numpy()
         assert np.array([[zz[arm, i, j] for j in range(64)] for i in range(64)]) == pytest.approx(z[m].T @ z[m], abs=1e-6)
         assert np.array([zy[arm, i] for i in range(64)]) == pytest.approx(np.stack([z[m].T @ reward[m], np.full(64, m.sum())], 1), abs=1e-6)
+
+
+def test_simulated_tumours_are_whole(spark):
+    from clonal_spark.sources.simulate import params_table
+
+    asked = sorted(r.n_mutations for r in params_table(spark, 20).select("n_mutations").collect())
+    made = sorted(r["count"] for r in QUERIES["simulate_cohort"](spark, SF).select("tumour_id", "mut_id").distinct().groupBy("tumour_id").count().collect())
+    assert len(made) == 20 and all(m >= a for m, a in zip(made, asked, strict=True)) and asked[-1] > 1000  # a tail comes on top
