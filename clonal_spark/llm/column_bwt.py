@@ -1,9 +1,10 @@
 """Suffix-array dedup by column-wise multi-document construction.
 
-Bytes are removed that a string of LENGTH bytes covers which also starts anywhere else. Every window of
-LENGTH bytes has one anchor: the leftmost of its SEED-byte strings with the least hash. Equal windows have
-equal anchors at equal offsets, so only fragments around equal anchors (LENGTH bytes to both sides) can hold
-them; an anchor seen once is done with. Equal fragments are one text with a count.
+Bytes are removed that a string of LENGTH bytes covers which also starts anywhere else. Several lengths can be
+judged at once. Every window of the least length has one anchor: the leftmost of its SEED-byte strings with the
+least hash. Equal windows have equal anchors at equal offsets, and a longer window begins with one of the least
+length, so only fragments around equal anchors (as far back as such a window may start, and the greatest length
+ahead) can hold them; an anchor seen once is done with. Equal fragments are one text with a count.
 
 Fragments that share an anchor but differ are a collection for column-wise construction: they stand aligned
 at the anchor, and in each round, from the last column to the first, one symbol of every fragment is put in
@@ -11,11 +12,11 @@ front of its suffix. The collection's order is updated by a stable sort on that
 of neighbours by range minima, so each round is a sequential pass. Columns lie in an external file of the
 task (deleted with it); in memory there are some 40 bytes per fragment, so an anchor that very many texts
 share is one long sequential job and no memory problem. A suffix whose common prefix with a neighbour in
-the order reaches LENGTH marks a window that also starts in another fragment.
+the order reaches a length marks a window that also starts in another fragment.
 
 Defined results: texts are UTF-8 bytes, a null is empty; matches never cross documents; a repeated row is
 another document with the same text, so both lose what they share; rows are told apart by a 64-bit hash of
-id and text.
+id and text; anchors and fragments by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ from clonal_spark.llm import _text
 from clonal_spark.session import Scratch
 
 LENGTH, SEED = 400, 32
-BEFORE = LENGTH - SEED
-WIDTH = BEFORE + LENGTH
+#: A passage of over 50 words has this many bytes at least, unless its words have less than three letters on average.
+PASSAGE = 200
+WIDTH = LENGTH - SEED + LENGTH
 #: Fragments after which a collection is worked on, at the next anchor.
 COLLECTION = 60_000
 
+
 def _prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of weighed bytes, and the weights' inverses: hash(a, b) = (sums[b] - sums[a]) * inverse[a]."""
     n = len(data)
@@ -61,9 +64,11 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slab: document, place in the slab, seed hash and fragment hash of each anchor."""
+def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slab: document, place in the slab, seed hash and fragment hash of each anchor. A fragment's lowest
+    bit says whether it has the greatest length."""
     none = np.zeros(0, np.int64)
+    length, longest = min(lengths), max(lengths)
     if len(data) < length:
         return none, none, none, none
     sums, inverse = _prefix_hashes(data)
@@ -76,36 +81,45 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     at = (least[ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     d = doc[at]
-    low, high = np.maximum(at - (length - SEED), offsets[:-1][d]), np.minimum(at + length, offsets[1:][d])
+    low, high = np.maximum(at - (length - SEED), offsets[:-1][d]), np.minimum(at + longest, offsets[1:][d])
     whole = _text.mix((sums[high] - sums[low]) * inverse[low] + (at - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (high - low).astype(np.uint64))
+    whole = whole & ~np.uint64(1) | (high - low >= longest).astype(np.uint64)
     return d, at, seeds[at].view(np.int64), whole.view(np.int64)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        for slab in _text.slabs(batch.column(1)):
-            d, at, seed, whole = anchors(slab.data, slab.offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[slab.first + d]), pa.array(seed), pa.array(whole), pa.array((at - slab.offsets[:-1][d]).astype(np.int32))], names=["row_key", "seed", "fragment", "place"])
-    _text.release()
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, [(seed, fragment, place)]) to one row per fragment, padded to WIDTH symbols."""
-    for batch in batches:
-        seeds, wholes, texts, froms = [], [], [], []
-        for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w in wanted:
-                at = w["place"]
-                seeds.append(w["seed"])
-                wholes.append(w["fragment"])
-                texts.append(text[max(0, at - BEFORE) : at + LENGTH])
-                froms.append(max(0, BEFORE - at))
-                if len(seeds) == 4096:
-                    yield _cut_batch(seeds, wholes, froms, texts)
-                    seeds, wholes, texts, froms = [], [], [], []
-        if seeds:
-            yield _cut_batch(seeds, wholes, froms, texts)
+def _anchored(lengths: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for slab in _text.slabs(batch.column(1)):
+                d, at, seed, whole = anchors(slab.data, slab.offsets, lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[slab.first + d]), pa.array(seed), pa.array(whole), pa.array((at - slab.offsets[:-1][d]).astype(np.int32))], names=["row_key", "seed", "fragment", "place"])
+        _text.release()
+
+    return run
+
+
+def _cut(lengths: tuple[int, ...]):
+    """Rows (text, [(seed, fragment, place)]) to one row per fragment: seed, fragment, from_column, bytes."""
+    before, longest = min(lengths) - SEED, max(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, wholes, texts, froms = [], [], [], []
+            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in wanted:
+                    at = w["place"]
+                    seeds.append(w["seed"])
+                    wholes.append(w["fragment"])
+                    texts.append(text[max(0, at - before) : at + longest])
+                    froms.append(max(0, before - at))
+                    if len(seeds) == 4096:
+                        yield _cut_batch(seeds, wholes, froms, texts)
+                        seeds, wholes, texts, froms = [], [], [], []
+            if seeds:
+                yield _cut_batch(seeds, wholes, froms, texts)
+
+    return run
 
 
 def _cut_batch(seeds, wholes, froms, texts) -> pa.RecordBatch:
@@ -115,8 +129,8 @@ def _cut_batch(seeds, wholes, froms, texts) -> pa.RecordBatch:
 class Collection:
     """Aligned fragments in a column file: blocks of WIDTH columns by the block's fragments."""
 
-    def __init__(self, folder: str, width: int = WIDTH, length: int = LENGTH):
-        self.width, self.length = width, length
+    def __init__(self, folder: str, width: int = WIDTH, lengths: tuple[int, ...] = (LENGTH,)):
+        self.width, self.lengths = width, lengths
         self.file = open(os.path.join(folder, "columns"), "w+b")  # noqa: SIM115
         self.blocks: list[tuple[int, int]] = []
         self.groups: list[np.ndarray] = []
@@ -146,13 +160,17 @@ class Collection:
         return np.concatenate(parts)
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last column of each fragment at which a window starts that another one of its group
-        shares; first > last where there is none."""
+        """As `marked`, for the first of the lengths."""
+        return self.marked()[0]
+
+    def marked(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, first and last column of each fragment at which a window starts that another one of
+        its group shares; first > last where there is none. All these windows hold the anchor."""
         self.file.flush()
-        n, length = self.n, self.length
+        n = self.n
         group = np.concatenate(self.groups)
         spans = np.concatenate(self.spans, 1)
-        first, last = np.full(n, self.width, np.int32), np.full(n, -1, np.int32)
+        out = [(np.full(n, self.width, np.int32), np.full(n, -1, np.int32)) for _ in self.lengths]
         _, dense = np.unique(group, return_inverse=True)
         order = np.argsort(dense, kind="stable")  # fragments by group, then by suffix
         at_group = dense[order]
@@ -180,69 +198,84 @@ class Collection:
                     edges = np.stack([a[far], b[far]], 1).ravel()
                     grown[rows[far]] = np.minimum.reduceat(np.append(common, 0), edges)[::2] + 1
             order, common = order[moved], grown
-            if c <= self.width - length:
-                best = common >= length
-                hit = best.copy()
-                hit[:-1] |= best[1:]
-                found = order[hit]
-                first[found] = c
-                last[found] = np.maximum(last[found], c)
-        return first, last
+            if c <= self.width - max(self.lengths):
+                for length, (first, last) in zip(self.lengths, out, strict=True):
+                    best = common >= length
+                    hit = best.copy()
+                    hit[:-1] |= best[1:]
+                    found = order[hit]
+                    first[found] = c
+                    last[found] = np.maximum(last[found], c)
+        return out
 
 
-def _constructed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments in the order of their seeds to the columns covered: seed, fragment, low, high."""
+def _constructed(lengths: tuple[int, ...]):
+    """Fragments in the order of their seeds to the columns covered: fragment, length, low, high."""
+    width = min(lengths) - SEED + max(lengths)
 
     def done(some: Collection) -> pa.RecordBatch:
-        first, last = some.repeated()
-        group, names = np.concatenate(some.groups), np.concatenate(some.names)
-        hit = np.flatnonzero(first <= last)
-        return pa.RecordBatch.from_arrays([pa.array(group[hit]), pa.array(names[hit]), pa.array(first[hit]), pa.array(last[hit] + np.int32(LENGTH))], names=["seed", "fragment", "low", "high"])
-
-    folder = tempfile.TemporaryDirectory()
-    try:
-        some, open_seed = Collection(folder.name), None
-        for batch in batches:
-            seeds = batch.column(0).to_numpy()
-            lo = 0
-            while lo < len(seeds):
-                hi = min(lo + 4096, len(seeds))
-                if some.n >= COLLECTION:  # go on up to the end of the last seed only
-                    hi = lo + int(np.searchsorted(seeds[lo:] != open_seed, True))
-                    if hi == lo:
-                        yield done(some)
-                        some.file.close()
-                        some = Collection(folder.name)
-                        continue
-                    hi = min(hi, lo + 4096)
-                some.add(seeds[lo:hi], batch.column(1).to_numpy()[lo:hi], batch.column(2).to_numpy()[lo:hi].astype(np.int64), batch.column(3)[lo:hi].to_pylist())
-                open_seed = seeds[hi - 1]
-                lo = hi
-        if some.n:
-            yield done(some)
-        some.file.close()
-    finally:
-        folder.cleanup()
-
-
-def spans_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (row_key, low, high) of covered bytes, from docs (row_key, text). Spans may overlap."""
-    found = scratch.write(docs.mapInArrow(_anchored, "row_key bigint, seed bigint, fragment bigint, place int"), "anchors", compression="none")
-    seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("fragment").alias("x"), F.max("fragment").alias("y")).where("n > 1").select("seed", (F.col("x") != F.col("y")).alias("several"))
-    shared = scratch.write(found.join(seeds, "seed"), "shared", compression="none")
-    scratch.drop("anchors")
-    classes = scratch.write(shared.groupBy("seed", "fragment").agg(F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("row_key", "place")).alias("one")), "classes", compression="none")
-    wanted = classes.where("several").groupBy(F.col("one.row_key").alias("row_key")).agg(F.collect_list(F.struct("seed", "fragment", F.col("one.place").alias("place"))).alias("wanted"))
+        names, rows = np.concatenate(some.names), []
+        for length, (first, last) in zip(lengths, some.marked(), strict=True):
+            hit = np.flatnonzero(first <= last)
+            rows.append((names[hit], np.full(len(hit), length, np.int32), first[hit], last[hit] + np.int32(length)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["fragment", "length", "low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = tempfile.TemporaryDirectory()
+        try:
+            some, open_seed = Collection(folder.name, width, lengths), None
+            for batch in batches:
+                seeds = batch.column(0).to_numpy()
+                lo = 0
+                while lo < len(seeds):
+                    hi = min(lo + 4096, len(seeds))
+                    if some.n >= COLLECTION:  # go on up to the end of the last seed only
+                        hi = lo + int(np.searchsorted(seeds[lo:] != open_seed, True))
+                        if hi == lo:
+                            yield done(some)
+                            some.file.close()
+                            some = Collection(folder.name, width, lengths)
+                            continue
+                        hi = min(hi, lo + 4096)
+                    some.add(seeds[lo:hi], batch.column(1).to_numpy()[lo:hi], batch.column(2).to_numpy()[lo:hi].astype(np.int64), batch.column(3)[lo:hi].to_pylist())
+                    open_seed = seeds[hi - 1]
+                    lo = hi
+            if some.n:
+                yield done(some)
+            some.file.close()
+        finally:
+            folder.cleanup()
+
+    return run
+
+
+def spans_of(docs: DataFrame, scratch: Scratch, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """Rows (row_key, length, low, high) of covered bytes, from docs (row_key, text). Spans may overlap."""
+    before, longest = min(lengths) - SEED, max(lengths)
+    found = scratch.write(docs.mapInArrow(_anchored(lengths), "row_key bigint, seed bigint, fragment bigint, place int"), "anchors", compression="none")
+    # Equal fragments meet in partial aggregates, so an anchor of very many equal ones is one row a task.
+    classes = found.groupBy("fragment").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min_by("place", "row_key").alias("place"))
+    several = classes.groupBy("seed").agg(F.count("*").alias("fragments")).where("fragments > 1")
+    classes = classes.join(several, "seed", "left").where("n > 1 OR fragments > 1")
+    classes = scratch.write(classes.select("fragment", "seed", "n", "row_key", "place", F.col("fragments").isNotNull().alias("several")), "classes", compression="none")
+    wanted = classes.where("several").groupBy("row_key").agg(F.collect_list(F.struct("seed", "fragment", "place")).alias("wanted"))
     # rows with the same id and text are equal, so any one of them serves
-    texts = docs.join(wanted, "row_key").select("text", "wanted")
-    cut = texts.mapInArrow(_cut, "seed bigint, fragment bigint, from_column int, bytes binary").dropDuplicates(["seed", "fragment"])
+    texts = docs.join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", "wanted")
+    cut = texts.mapInArrow(_cut(lengths), "seed bigint, fragment bigint, from_column int, bytes binary")
     parted = cut.repartition("seed").sortWithinPartitions("seed")
-    marked = parted.mapInArrow(_constructed, "seed bigint, fragment bigint, low int, high int")
+    marked = parted.mapInArrow(_constructed(lengths), "fragment bigint, length int, low int, high int")
     # a text that stands more than once is covered as a whole
-    spans = classes.where("n > 1").select("seed", "fragment", F.lit(0).alias("low"), F.lit(WIDTH).alias("high")).unionByName(marked).groupBy("seed", "fragment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = classes.where("n > 1").select("fragment", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length")).where((F.col("length") < longest) | (F.col("fragment") % 2 != 0))
+    whole = whole.select("fragment", "length", F.lit(0).alias("low"), (F.lit(before) + F.col("length")).alias("high"))
+    spans = whole.unionByName(marked).groupBy("fragment", "length").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     spans = scratch.write(spans, "spans", compression="none")
-    at = F.col("place") - BEFORE
-    return shared.join(spans, ["seed", "fragment"]).select("row_key", F.greatest(at + F.col("low"), F.lit(0)).alias("low"), (at + F.col("high")).alias("high"))
+    at = F.col("place") - before
+    return found.select("row_key", "fragment", "place").join(spans, "fragment").select("row_key", "length", F.greatest(at + F.col("low"), F.lit(0)).alias("low"), (at + F.col("high")).alias("high"))
+
+
+def _grouped(spans: DataFrame) -> DataFrame:
+    """A row for each row_key; spans of repeated rows, which are equal, count once."""
+    return spans.groupBy("row_key").agg(F.collect_set(F.struct("length", "low", "high")).alias("spans"))
 
 
 def _merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -256,14 +289,17 @@ def _merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
-    runs = _merged([(s["low"], s["high"]) for s in spans or []], len(text))
+def _runs(spans: list[dict] | None, length: int, n: int) -> list[tuple[int, int]]:
+    return _merged([(s["low"], s["high"]) for s in spans or [] if s["length"] == length], n)
+
+
+def _left(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     parts, last = [], 0
     for a, b in runs:
         parts.append(text[last:a])
         last = b
     parts.append(text[last:])
-    return b"".join(parts), len(runs)
+    return b"".join(parts)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -271,46 +307,58 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(docs[id_col], text).alias("row_key"), docs[id_col].alias("doc_id"), text.alias("text"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_spans the removed byte ranges."""
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False, passages: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with_spans the removed byte ranges, and with
+    passages (a number of bytes) n_passage_bytes: those that strings of that length cover which also start elsewhere."""
     scratch = Scratch(docs.sparkSession, "column-bwt")
     keyed = _keyed(docs, id_col, text_col)
-    spans = spans_of(keyed.select("row_key", "text"), scratch).groupBy("row_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = _grouped(spans_of(keyed.select("row_key", "text"), scratch, (LENGTH, *([passages] if passages else []))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ranges = [], []
+            rows, ranges, shorter = [], [], []
             for text, found in zip(batch.column(1).fill_null("").cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                left, n = _kept(text, found)
-                rows.append((len(text), len(text) - len(left), n, hashlib.sha256(left).hexdigest()))
-                if with_spans:
-                    ranges.append([{"low": a, "high": b} for a, b in _merged([(s["low"], s["high"]) for s in found or []], len(text))])
+                runs = _runs(found, LENGTH, len(text))
+                left = _left(text, runs)
+                rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+                ranges.append([{"low": a, "high": b} for a, b in runs])
+                shorter.append(sum(b - a for a, b in _runs(found, passages, len(text))) if passages else 0)
             cols = list(zip(*rows, strict=True)) or [()] * 4
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_spans:
                 arrays.append(pa.array(ranges, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))))
                 names.append("spans")
+            if passages:
+                arrays.append(pa.array(shorter, pa.int64()))
+                names.append("n_passage_bytes")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<low:int,high:int>>" if with_spans else "")
+    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<low:int,high:int>>" if with_spans else "") + (", n_passage_bytes bigint" if passages else "")
     return keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = None) -> DataFrame:
-    """The documents without their repeated bytes, with all their columns; a null text stays null. Cuts may fall
-    within a character: incomplete UTF-8 at a cut is dropped. n_chars_col: a column that follows the text's length."""
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = None, length: int = LENGTH) -> DataFrame:
+    """The documents without the bytes that repeated strings of the length cover, with all their columns; a null text
+    stays null. Cuts may fall within a character: incomplete UTF-8 at a cut is dropped. n_chars_col: a column that
+    follows the text's length."""
     scratch = Scratch(docs.sparkSession, "column-bwt")
     keyed = _keyed(docs, id_col, text_col).select("row_key", "text")
-    spans = spans_of(keyed, scratch).groupBy("row_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = _grouped(spans_of(keyed, scratch, (length,)))
     names = docs.columns
     rows = docs.select(F.xxhash64(docs[id_col], docs[text_col].cast("string")).alias("row_key"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in names if c != text_col]).alias("others"))
     joined = rows.join(spans, "row_key", "left").select("others", "text", "spans")
 
+    def cut_text(text: str | None, spans: list[dict] | None) -> str | None:
+        if not text or not spans:
+            return text
+        raw = text.encode()
+        return _left(raw, _runs(spans, length, len(raw))).decode("utf-8", "ignore")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if t is None else t if not s else _kept(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [cut_text(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["others", "text"])
 
     kind = joined.schema["others"].dataType.simpleString()

@@ -33,7 +33,7 @@ def op4_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_bwt.removals(_table(spark, sf_dir, "documents"))
+    return column_bwt.removals(_table(spark, sf_dir, "documents"), passages=column_bwt.PASSAGE)
 
 
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
