@@ -20,7 +20,7 @@ def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
-    token_store.write_store(_table(spark, sf_dir, "documents"), scratch, public_tokenizers.path("byte_bpe_50k.json"))
+    token_store.write_store(_table(spark, sf_dir, "documents"), scratch, public_tokenizers.path("byte_bpe_50k.json"), plain_added=False)
     return token_store.read_digests(spark, scratch)
 
 

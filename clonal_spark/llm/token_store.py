@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +46,13 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece once while it is remembered."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, plain_added: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [] if plain_added else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # of pieces; texts that hold an added token are encoded as they are
         # a token's characters stand for one byte each
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -93,17 +95,41 @@ class Encoder:
             self._learn(data, starts[missing[one]], ends[missing[one]], indexes)
         self.pieces.meet(which)
         ids, lengths = self.ids.gather(which)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
+        counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
+        return self._with_added(data, offsets, ids, counts) if self.added else (ids, counts)
+
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, but texts that hold an added token's string as the library encodes them by default."""
+        raw, holders = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[doc + 1]:
+                    holders.add(doc)
+                    at = raw.find(token, int(offsets[doc + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        if not holders:
+            return ids, counts
+        self.tokenizer.encode_special_tokens = False
+        ends, counts, parts, last = np.cumsum(counts), counts.copy(), [], 0
+        for doc in sorted(holders):
+            whole = self.tokenizer.encode(raw[offsets[doc] : offsets[doc + 1]].decode(), add_special_tokens=False).ids
+            parts += [ids[last : ends[doc] - counts[doc]], np.array(whole, ids.dtype)]
+            last, counts[doc] = ends[doc], len(whole)
+        self.tokenizer.encode_special_tokens = True
+        return np.concatenate([*parts, ids[last:]]), counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """Ends of chunks that the rolling hash of the last WINDOW ids proposes."""
     gear = _GEAR[ids & 0xFFFF]
     h = gear.copy()
-    for j in range(1, WINDOW):
+    for j in range(1, min(WINDOW, len(ids))):
         h[j:] += gear[: len(ids) - j] << np.uint32(3 * j)
     return np.flatnonzero(h < (1 << 32) // MEAN_IDS) + 1
 
@@ -167,13 +193,16 @@ def _shift(crc: int, n: int) -> int:
     return crc
 
 
-def _chunked(tokenizer_file: str, wide: bool):
+def _chunked(tokenizer_file: str, wide: bool, plain_added: bool):
     kind = "<u4" if wide else "<u2"
+    named = (tokenizer_file, plain_added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _ENCODERS:
-            _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
-        encoder = _ENCODERS[tokenizer_file]
+        if named not in _ENCODERS:
+            _ENCODERS[named] = Encoder(*named)
+        encoder = _ENCODERS[named]
+        if not wide and len(encoder.bytes) > 1 << 16:
+            raise ValueError("ids of this vocabulary need wide=True")
         here: set[bytes] = set()  # chunks that this task has sent already
         for batch in batches:
             for slab in _text.slabs(batch.column(1)):
@@ -211,10 +240,11 @@ def _chunked(tokenizer_file: str, wide: bool):
     return run
 
 
-def write_store(docs: DataFrame, scratch: Scratch, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> None:
-    """Encodes whole texts, ends each document with END_ID, and writes chunks, recipes and manifest."""
+def write_store(docs: DataFrame, scratch: Scratch, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", wide: bool = False, plain_added: bool = True) -> None:
+    """Encodes whole texts, ends each document with END_ID, and writes chunks, recipes and manifest. plain_added: the
+    strings of the tokenizer's added tokens are ordinary text; else they are those tokens, as by the library's default."""
     kind = dict(docs.dtypes)[id_col]
-    encoded = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_chunked(tokenizer_file, wide), f"doc_id {kind}, n_tokens bigint, digests binary, root binary, chunks array<struct<digest:binary,ids:binary>>")
+    encoded = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_chunked(tokenizer_file, wide, plain_added), f"doc_id {kind}, n_tokens bigint, digests binary, root binary, chunks array<struct<digest:binary,ids:binary>>")
     plain = {"parquet.enable.dictionary": "false"}  # payloads do not repeat
     staged = scratch.write(encoded, "staged", compression="snappy", **plain)
     unique = staged.select(F.explode("chunks").alias("c")).select("c.*").groupBy("digest").agg(F.first("ids").alias("ids"))
@@ -311,5 +341,13 @@ def documents_of(spark: SparkSession, scratch: Scratch, wide: bool = False) -> D
     _check_manifest(spark, scratch, recipes)
     met = references(recipes).join(spark.read.parquet(scratch.path("chunks")), "digest")
     whole = met.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
-    joined = F.udf(lambda parts: [int.from_bytes(x.ids[i : i + size], "little") for x in parts for i in range(0, len(x.ids), size)], "array<long>")
-    return whole.select("doc_id", "start", joined("parts").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(2)
+            ids = np.frombuffer(b"".join(parts.flatten().field(1).to_pylist()), "<u4" if size == 4 else "<u2")
+            n_ids = np.fromiter((len(x) // size for x in parts.flatten().field(1).to_pylist()), np.int64)
+            ends = np.concatenate([[0], np.cumsum(n_ids)])[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(parts).to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int64))).cast(pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+
+    return whole.mapInArrow(run, f"doc_id {dict(recipes.dtypes)['doc_id']}, start bigint, ids array<bigint>")
