@@ -39,6 +39,19 @@ def lgamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + _HALF_LOG_2PI + series * inverse - F.log(product)
 
 
+def digamma(x: Column) -> Column:
+    """For x > 0: shifted up by 8, then the asymptotic series."""
+    z = x + _SHIFT
+    square = _d(1) / (z * z)
+    series = _d(_DIGAMMA[-1])
+    for c in reversed(_DIGAMMA[:-1]):
+        series = series * square + c
+    below = _d(1) / x
+    for i in range(1, _SHIFT):
+        below = below + _d(1) / (x + i)
+    return F.log(z) - _d(0.5) / z + series * square - below
+
+
 def xlogy(x: Column, y: Column) -> Column:
     return F.when(x == 0, _d(0)).otherwise(x * F.log(y))
 

@@ -78,10 +78,12 @@ def kde_peaks(rows: DataFrame) -> DataFrame:
 
 
 def kde_purity(rows: DataFrame) -> DataFrame:
-    """The density's first highest grid point; 0.5 with fewer than 5 fractions."""
+    """The density's first highest grid point; 0.5 with fewer than 5 fractions, and of equal ones their value."""
     d = _density(rows, 0.3, 1.5, 0.15, 0.3, 1.5, 100, 5)
     best = d.groupBy(*KEY).agg(F.max(F.struct("density", (-F.col("i")).alias("minus"), "x")).alias("b"))
-    return rows.select(*KEY).distinct().join(best, KEY, "left").select(*KEY, F.coalesce("b.x", F.lit(0.5)).alias("purity_estimate"))
+    near = F.when((F.col("ccf") > 0.3) & (F.col("ccf") < 1.5), F.col("ccf"))
+    equal = F.when((F.count(near) >= 5) & (F.min(near) == F.max(near)), F.min(near)).alias("equal")
+    return rows.groupBy(*KEY).agg(equal).join(best, KEY, "left").select(*KEY, F.coalesce("b.x", "equal", F.lit(0.5)).alias("purity_estimate"))
 
 
 def meta_features(obs: DataFrame, mappability: Column | None = None, longitudinal: float = 0.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonal_spark.functions import mathx as mx
-from clonal_spark.plans.engines import HIGH, LOW
+from clonal_spark.plans.engines import HIGH, LOW, MERGE, PRUNE
 
 MUT = ["tumour_id", "mut_id"]
 
@@ -97,3 +97,79 @@ def em_steps(obs: DataFrame, params: DataFrame, emission, steps: int) -> tuple[D
         sums = obs.join(resp.select(*MUT, "k", "r"), MUT).groupBy("tumour_id", "k", "sample_id").agg(F.sum(F.col("r") * F.col("alt")).alias("a"), F.sum(F.col("r") * F.col("depth")).alias("d"), F.avg("r").alias("share"))
         state = sums.select("tumour_id", "k", "sample_id", mx.clip(F.col("a") / F.greatest(F.col("d"), F.lit(1e-10)), LOW, HIGH).alias("center"), F.log(F.greatest(F.col("share"), F.lit(1e-10))).alias("log_pi"))
     return state, resp
+
+
+def bic_sweep(obs: DataFrame, ks: list[int], emission) -> DataFrame:
+    """(tumour_id, K, log_lik, bic) of one expectation step at uniform weights, all K in one plan."""
+    levels = sorted({i / (k + 1) for k in ks for i in range(1, k + 1)})
+    at = {x: i for i, x in enumerate(levels)}
+    quantiles = obs.groupBy("tumour_id", "sample_id").agg(F.percentile(vaf(), F.array(*map(F.lit, levels))).alias("q"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("n_clones"), F.lit(i - 1).alias("k"), F.lit(at[i / (k + 1)]).alias("at")) for k in ks for i in range(1, k + 1)])
+    clones = quantiles.select("tumour_id", "sample_id", "q", F.explode(wanted).alias("c")).select("tumour_id", "sample_id", "c.n_clones", F.col("c.k"), mx.clip(F.get("q", F.col("c.at")), LOW, HIGH).alias("center"))
+    fixed = obs.withColumn("fixed", emission.fixed(F.col("alt"), F.col("depth")))
+    one = emission.log_prob(F.col("alt"), F.col("depth"), F.col("adj") * F.col("center"), F.col("fixed"))
+    liks = fixed.join(clones, ["tumour_id", "sample_id"]).groupBy(*MUT, "n_clones", "k").agg(F.sum(one).alias("log_lik"))
+    lls = liks.groupBy(*MUT, "n_clones").agg((mx.logsumexp(F.collect_list("log_lik")) - F.log(F.col("n_clones").cast("double"))).alias("ll"))
+    samples = obs.groupBy("tumour_id").agg(F.countDistinct("sample_id").alias("n_samples"))
+    rows = lls.groupBy("tumour_id", F.col("n_clones").alias("K")).agg(F.sum("ll").alias("log_lik"), F.count("*").alias("n")).join(samples, "tumour_id")
+    return rows.select("tumour_id", "K", "log_lik", (-2 * F.col("log_lik") + F.col("K") * F.col("n_samples") * F.log(F.col("n").cast("double"))).alias("bic"))
+
+
+def least_bic(fits: DataFrame) -> DataFrame:
+    """The fit of the least BIC of each tumour; the least K of equals."""
+    others = [F.col(c) for c in fits.columns if c not in ("tumour_id", "K", "bic")]
+    best = fits.groupBy("tumour_id").agg(F.min(F.struct("bic", "K", *others)).alias("b"))
+    return best.select("tumour_id", *[F.col(f"b.{c}").alias(c) for c in fits.columns if c != "tumour_id"])
+
+
+def merge_places(centers: DataFrame, tol: float = MERGE) -> DataFrame:
+    """(tumour_id, k, place): each clone's representative, the first one, itself a representative, that is within tol in
+    every sample. Clones 0..K-1 of a tumour are one row; the data take no part."""
+    vectors = centers.groupBy("tumour_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_id", "center"))), lambda c: c["center"]).alias("c"))
+    rows = vectors.groupBy("tumour_id").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("v"))
+    far = lambda i, j: F.array_max(F.zip_with(F.col("v")[i]["c"], F.col("v")[j]["c"], lambda a, b: F.abs(a - b)))
+    first = lambda places, j: F.get(F.array_compact(F.transform(places, lambda p, i: F.when((p == i) & (far(i, j) < tol), p))), F.lit(0))
+    places = F.aggregate(F.sequence(F.lit(0), F.size("v") - 1), F.array().cast("array<int>"), lambda acc, j: F.concat(acc, F.array(F.coalesce(first(acc, j), j))))
+    return rows.select("tumour_id", "v", F.posexplode(places).alias("j", "p")).select("tumour_id", F.col("v")[F.col("j")]["k"].alias("k"), F.col("v")[F.col("p")]["k"].alias("place"))
+
+
+def merge_and_prune(centers: DataFrame, resp: DataFrame, least: float = PRUNE, tol: float = MERGE) -> tuple[DataFrame, DataFrame]:
+    """Clones after merging and pruning (tumour_id, sample_id, k, place, share, center), numbered anew, and responsibilities
+    over them (tumour_id, mut_id, k, r). A merged center is weighed by mass; clones below the share `least` go, unless all
+    are, then the largest stays."""
+    places = merge_places(centers, tol)
+    mass = resp.groupBy("tumour_id", "k").agg(F.sum("r").alias("mass"))
+    members = places.join(mass, ["tumour_id", "k"], "left").withColumn("mass", F.greatest(F.coalesce("mass", F.lit(0.0)), F.lit(1e-300)))
+    own = Window.partitionBy("tumour_id")
+    totals = members.groupBy("tumour_id", "place").agg(F.sum("mass").alias("total")).withColumn("share", F.col("total") / F.sum("total").over(own))
+    rank = F.row_number().over(own.orderBy(F.desc("share"), "place"))
+    kept = totals.withColumn("rank", rank).where((F.col("share") >= least) | (F.col("rank") == 1))
+    # the largest always passes where any does
+    kept = kept.withColumn("new", (F.row_number().over(own.orderBy("place")) - 1).cast("int")).select("tumour_id", "place", "share", "new")
+    weighed = members.join(centers, ["tumour_id", "k"]).groupBy("tumour_id", "place", "sample_id").agg((F.sum(F.col("mass") * F.col("center")) / F.sum("mass")).alias("center"))
+    clones = weighed.join(kept, ["tumour_id", "place"]).select("tumour_id", "sample_id", F.col("new").alias("k"), "place", "share", mx.clip(F.col("center"), LOW, HIGH).alias("center"))
+    moved = resp.select(*MUT, "k", "r").join(places, ["tumour_id", "k"]).join(kept.select("tumour_id", "place", "new"), ["tumour_id", "place"]).groupBy(*MUT, F.col("new").alias("k")).agg(F.sum("r").alias("r"))
+    return clones, moved.withColumn("r", F.col("r") / F.greatest(F.sum("r").over(Window.partitionBy(*MUT)), F.lit(1e-300)))
+
+
+def dirichlet_update(resp: DataFrame, alpha0: float = 1.0) -> DataFrame:
+    """(tumour_id, k, alpha, expected_log_pi) after a variational step."""
+    rows = resp.groupBy("tumour_id", "k").agg((F.sum("r") + alpha0).alias("alpha"))
+    total = F.sum("alpha").over(Window.partitionBy("tumour_id"))
+    return rows.withColumn("total", total).select("tumour_id", "k", "alpha", (mx.digamma(F.col("alpha")) - mx.digamma(F.col("total"))).alias("expected_log_pi"))
+
+
+def dirichlet_kl(alphas: DataFrame, alpha0: float = 1.0) -> DataFrame:
+    """(tumour_id, kl) of (tumour_id, k, alpha) against a symmetric Dirichlet prior."""
+    total = F.sum("alpha").over(Window.partitionBy("tumour_id"))
+    prior = mx.lgamma(F.lit(float(alpha0)))
+    term = (F.col("alpha") - alpha0) * (mx.digamma(F.col("alpha")) - mx.digamma(F.col("total"))) - mx.lgamma(F.col("alpha")) + prior
+    rows = alphas.withColumn("total", total).groupBy("tumour_id").agg(F.first("total").alias("total"), F.count("*").alias("n"), F.sum(term).alias("terms"))
+    return rows.select("tumour_id", (mx.lgamma(F.col("total")) - mx.lgamma(F.col("n") * float(alpha0)) + F.col("terms")).alias("kl"))
+
+
+def stick_weights(sticks: DataFrame) -> DataFrame:
+    """(tumour_id, k, v) to normalised weights v_k * prod_{j < k} (1 - v_j), in the order of k."""
+    before = Window.partitionBy("tumour_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    raw = sticks.withColumn("w", F.col("v") * F.exp(F.coalesce(F.sum(F.log1p(-F.col("v"))).over(before), F.lit(0.0))))
+    return raw.select("tumour_id", "k", (F.col("w") / F.sum("w").over(Window.partitionBy("tumour_id"))).alias("weight"))

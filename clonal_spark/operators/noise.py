@@ -41,6 +41,16 @@ def tail_probability(obs: DataFrame, phi: float | None = None, tau: float = 0.1)
     return met.withColumn("p_tail", F.exp(tail - mx.logaddexp(tail, body))).drop("v", "mu", "phi")
 
 
+def tail_weights(obs: DataFrame, steps: int, phi: float | None = None, tau: float = 0.1) -> DataFrame:
+    """(tumour_id, sample_id, tau) after some expectation steps of the tail's weight, from tau on."""
+    odds = tail_log_odds(obs, phi).select("tumour_id", "sample_id", "odds")
+    weights = odds.select("tumour_id", "sample_id").distinct().withColumn("tau", F.lit(float(tau)))
+    for _ in range(steps):
+        posterior = 1 / (1 + F.exp(-(F.col("odds") + F.log(F.col("tau") / (1 - F.col("tau"))))))
+        weights = odds.join(weights, ["tumour_id", "sample_id"]).groupBy("tumour_id", "sample_id").agg(mx.clip(F.avg(posterior), 1e-6, 1 - 1e-6).alias("tau"))
+    return weights
+
+
 def tail_mask(obs: DataFrame, threshold: float = 0.5, phi: float | None = None, tau: float = 0.1) -> DataFrame:
     """(tumour_id, mut_id, kept): out if any sample's p_tail exceeds the threshold, unless fewer than two would stay."""
     return mask_of(tail_probability(obs, phi, tau), threshold)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonal_spark.functions import mathx as mx
 from clonal_spark.operators.phylo_np import BRANCH_SCORE, LEAST, SAME_SHIFT, TEMPERATURE, TOL
+from clonal_spark.session import Scratch
 
 
 def means(centers: DataFrame) -> DataFrame:
@@ -58,16 +59,19 @@ def pairs_tensor(centers: DataFrame) -> DataFrame:
     return raw.select("tumour_id", "k", "other", (F.col("a") / total).alias("ancestor"), (F.col("d") / total).alias("descendant"), (F.lit(BRANCH_SCORE) / total).alias("branching"), (F.col("s") / total).alias("same"))
 
 
-def depths(tree: DataFrame, most: int = 16) -> DataFrame:
-    """(tumour_id, k, parent, depth) by a recursive query over edges; a node that no root reaches has no row."""
-    spark = tree.sparkSession
-    tree.createOrReplaceTempView("clone_tree_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE down(tumour_id, k, parent, depth) AS (
-          SELECT tumour_id, k, parent, 0 FROM clone_tree_edges WHERE parent = -1
-          UNION ALL
-          SELECT e.tumour_id, e.k, e.parent, d.depth + 1 FROM clone_tree_edges e JOIN down d ON e.tumour_id = d.tumour_id AND e.parent = d.k WHERE d.depth < {most})
-        SELECT * FROM down""")
+def depths(tree: DataFrame) -> DataFrame:
+    """(tumour_id, k, parent, depth) by doubling: each round a node's link goes on to where its target's leads, so rounds
+    grow with the logarithm of the clones of a tumour. A round is written, as the next one reads it twice. A node whose
+    links leave the table has no row; a cycle raises."""
+    scratch = Scratch(tree.sparkSession, "depths")
+    most = tree.groupBy("tumour_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
+    links = tree.select("tumour_id", "k", "parent", F.col("parent").cast("long").alias("up"), F.when(F.col("parent") == -1, 0).otherwise(1).cast("long").alias("depth"))
+    for i in range(int(most).bit_length()):
+        links = scratch.write(links, f"links-{i}")
+        target = links.select("tumour_id", F.col("k").cast("long").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        met = links.join(target, ["tumour_id", "up"], "left").where("up = -1 OR next IS NOT NULL")
+        links = met.select("tumour_id", "k", "parent", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.when(F.col("up") == -1, 0).otherwise(F.col("more"))).alias("depth"))
+    return links.select("tumour_id", "k", "parent", F.when(F.col("up") == -1, F.col("depth")).otherwise(F.raise_error(F.lit("the edges have a cycle")).cast("long")).cast("int").alias("depth"))
 
 
 def layout(tree: DataFrame) -> DataFrame:

@@ -135,6 +135,12 @@ def running_regret(rows: DataFrame, by: list[str], order: list[str]) -> DataFram
     return rows.withColumn("cumulative", F.sum("regret").over(run))
 
 
+def reward_average(rows: DataFrame, by: list[str], order: list[str], keep: float = 0.99) -> DataFrame:
+    """(by, average, n): the exponential average that a stream of `reward` ends with, from 0 on, in closed form."""
+    behind = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])) - 1
+    return rows.withColumn("behind", behind).groupBy(*by).agg(F.sum((1 - keep) * F.pow(F.lit(keep), F.col("behind")) * F.col("reward")).alias("average"), F.count("*").alias("n"))
+
+
 def allocate(sizes: DataFrame) -> DataFrame:
     """(tumour_id, k, fraction, total) to whole clone sizes: floors, then one more each to the largest remainders."""
     own = Window.partitionBy(*KEY)

@@ -35,6 +35,8 @@ class Fit:
     mask: np.ndarray | None = None
     pairs: np.ndarray | None = None
     trace: list[float] = field(default_factory=list)
+    #: Centers and log weights that the responsibilities belong to.
+    e_step: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def vaf(alt: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -72,9 +74,9 @@ def constrain(config: CloneConfig, centers: np.ndarray) -> np.ndarray:
     return np.clip(centers, LOW, HIGH) if len(centers) <= 1 else ph.clamp_chain(centers)
 
 
-def _fit(centers, resp, ll, n_mut, n_iter, converged, trace=()) -> Fit:
+def _fit(centers, resp, ll, n_mut, n_iter, converged, trace=(), e_step=None) -> Fit:
     k, s = centers.shape
-    return Fit(centers, resp, resp.argmax(1), float(ll), float(bic(ll, k, s, n_mut)), k, n_iter, converged, trace=list(trace))
+    return Fit(centers, resp, resp.argmax(1), float(ll), float(bic(ll, k, s, n_mut)), k, n_iter, converged, trace=list(trace), e_step=e_step)
 
 
 def em(config: CloneConfig, alt, depth, adj, centers, max_iter: int = MAX_ITER, tol: float = TOL) -> Fit:
@@ -82,6 +84,7 @@ def em(config: CloneConfig, alt, depth, adj, centers, max_iter: int = MAX_ITER,
     fixed, k = emission.np_fixed(alt, depth), len(centers)
     log_pi, before, trace, converged, n = np.full(k, -np.log(k)), -np.inf, [], False, 0
     for n in range(1, max_iter + 1):
+        used = centers, log_pi
         log_r = log_resp(log_pi, alt, depth, adj, centers, emission, fixed)
         resp = softmax(log_r)
         centers = constrain(config, m_step(resp, alt, depth))
@@ -92,7 +95,7 @@ def em(config: CloneConfig, alt, depth, adj, centers, max_iter: int = MAX_ITER,
             converged = True
             break
         before = ll
-    return _fit(centers, resp, ll, len(alt), n, converged, trace)
+    return _fit(centers, resp, ll, len(alt), n, converged, trace, used)
 
 
 def _kl_dirichlet(alpha: np.ndarray, alpha0: float) -> float:
@@ -105,7 +108,8 @@ def mfvi(config: CloneConfig, alt, depth, adj, centers, max_iter: int = MAX_ITER
     fixed, k = emission.np_fixed(alt, depth), len(centers)
     alpha, before, trace, converged, n = np.full(k, float(alpha0)), -np.inf, [], False, 0
     for n in range(1, max_iter + 1):
-        log_r = log_resp(mx.np_digamma(alpha) - mx.np_digamma(alpha.sum()), alt, depth, adj, centers, emission, fixed)
+        used = centers, mx.np_digamma(alpha) - mx.np_digamma(alpha.sum())
+        log_r = log_resp(used[1], alt, depth, adj, centers, emission, fixed)
         resp = softmax(log_r)
         alpha = alpha0 + resp.sum(0)
         centers = constrain(config, m_step(resp, alt, depth))
@@ -116,7 +120,7 @@ def mfvi(config: CloneConfig, alt, depth, adj, centers, max_iter: int = MAX_ITER
             break
         before = elbo
     ll = mx.np_logsumexp(log_resp(np.log(np.maximum(alpha / alpha.sum(), 1e-10)), alt, depth, adj, centers, emission, fixed), 1).sum()
-    return _fit(centers, resp, ll, len(alt), n, converged, trace)
+    return _fit(centers, resp, ll, len(alt), n, converged, trace, used)
 
 
 def hybrid(config: CloneConfig, alt, depth, adj, centers) -> Fit:
@@ -161,8 +165,9 @@ def mcmc(config: CloneConfig, alt, depth, adj, centers, draws: int = 2000, tune:
             sum_pi += pi
             sum_c += np.clip(1 / (1 + np.exp(-x)), LOW, HIGH)
     c, pi = sum_c / draws, sum_pi / draws
-    log_r = log_resp(np.log(np.maximum(pi, EPS)), alt, depth, adj, c, emission, emission.np_fixed(alt, depth))
-    return _fit(c, softmax(log_r), mx.np_logsumexp(log_r, 1).sum(), n, draws, True)
+    used = c, np.log(np.maximum(pi, EPS))
+    log_r = log_resp(used[1], alt, depth, adj, c, emission, emission.np_fixed(alt, depth))
+    return _fit(c, softmax(log_r), mx.np_logsumexp(log_r, 1).sum(), n, draws, True, e_step=used)
 
 
 ENGINES = {InferenceEngine.EM: em, InferenceEngine.MFVI: mfvi, InferenceEngine.HYBRID: hybrid, InferenceEngine.MCMC: mcmc}
@@ -311,8 +316,17 @@ def warn_of(config: CloneConfig) -> None:
         warnings.warn("joint tree sampling is experimental: it projects and builds the tree afterwards", UserWarning, stacklevel=3)
 
 
-def fit_arrays(config: CloneConfig, alt, depth, adj=None, total_cn=None, seed: int = 0) -> Fit:
-    """Noise, all K of the schedule, selection, tree, noise again."""
+@dataclass
+class Prepared:
+    """One tumour's arrays after the noise steps that come first. mask: mutations that take part."""
+
+    alt: np.ndarray
+    depth: np.ndarray
+    adj: np.ndarray
+    mask: np.ndarray
+
+
+def prepare(config: CloneConfig, alt, depth, adj=None, total_cn=None) -> Prepared:
     alt, depth = (np.asarray(x, float).reshape(len(x), -1) for x in (alt, depth))
     adj = np.ones_like(alt) if adj is None else np.asarray(adj, float).reshape(alt.shape)
     mask = np.ones(len(alt), bool)
@@ -320,13 +334,30 @@ def fit_arrays(config: CloneConfig, alt, depth, adj=None, total_cn=None, seed: i
         mask = tail_mask(config, alt, depth)
     elif config.noise is NoiseModel.MULTIPLICITY and total_cn is not None:
         adj = multiplicity_adj(alt, depth, adj, total_cn, config.purity)
-    a, d, f = alt[mask], depth[mask], adj[mask]
+    return Prepared(alt[mask], depth[mask], adj[mask], mask)
+
+
+def fit_k(config: CloneConfig, data: Prepared, k: int, seed: int = 0) -> Fit:
     run = ENGINES[config.inference]
     more = {"seed": seed} if run is mcmc else {}
-    fits = [run(config, a, d, f, initial_centers(a, d, k), **more) for k in k_schedule(config)]
-    fit = grow_tree(config, select(config, fits, len(a)))
+    return run(config, data.alt, data.depth, data.adj, initial_centers(data.alt, data.depth, k), **more)
+
+
+def responsibilities(config: CloneConfig, data: Prepared, e_step: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    emission = emission_of(config)
+    return softmax(log_resp(e_step[1], data.alt, data.depth, data.adj, e_step[0], emission, emission.np_fixed(data.alt, data.depth)))
+
+
+def finish(config: CloneConfig, fit: Fit, mask: np.ndarray) -> Fit:
+    """Tree and the noise steps that come last."""
+    fit = grow_tree(config, fit)
     if config.noise is NoiseModel.TAIL_FILTER:
         return expand(fit, mask)
-    if config.noise is NoiseModel.ARTEFACT:
-        return drop_artefacts(config, fit)
-    return fit
+    return drop_artefacts(config, fit) if config.noise is NoiseModel.ARTEFACT else fit
+
+
+def fit_arrays(config: CloneConfig, alt, depth, adj=None, total_cn=None, seed: int = 0) -> Fit:
+    """Noise, all K of the schedule, selection, tree, noise again."""
+    data = prepare(config, alt, depth, adj, total_cn)
+    fits = [fit_k(config, data, k, seed) for k in k_schedule(config)]
+    return finish(config, select(config, fits, len(data.alt)), data.mask)

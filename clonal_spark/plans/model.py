@@ -23,8 +23,10 @@ GROUPED_CELLS = 500_000
 
 FIT = (
     "tumour_id long, config string, K int, ll double, bic double, n_iter int, converged boolean, sample_ids array<string>, centers array<array<double>>, "
-    "parents array<int>, mut_ids array<long>, assignments array<int>, kept array<boolean>, resp array<array<double>>"
+    "parents array<int>, mut_ids array<long>, assignments array<int>, kept array<boolean>, resp array<array<double>>, trace array<double>"
 )
+#: One K of one tumour: what selection needs, and the parameters that its responsibilities belong to.
+FIT_K = "tumour_id long, K int, ll double, bic double, n_iter int, converged boolean, centers array<array<double>>, e_centers array<array<double>>, e_log_pi array<double>, trace array<double>"
 
 
 @dataclass
@@ -52,6 +54,12 @@ class CohortFit:
         rows = self.fits.select("tumour_id", F.explode(F.arrays_zip("mut_ids", "resp")).alias("z"))
         return rows.select("tumour_id", F.col("z.mut_ids").alias("mut_id"), F.posexplode("z.resp").alias("k", "r"))
 
+    @property
+    def convergence(self) -> DataFrame:
+        """The selected fit's objective after each iteration, from 1 on."""
+        rows = self.fits.select("tumour_id", F.posexplode("trace").alias("i", "value"))
+        return rows.select("tumour_id", (F.col("i") + 1).alias("iteration"), "value")
+
     @property
     def tree_edges(self) -> DataFrame:
         """One row per clone with its parent (-1: root); none without a tree."""
@@ -72,20 +80,46 @@ def dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], dict[s
     return muts, j, names.tolist(), out
 
 
-def fit_group(rows: pd.DataFrame, config: CloneConfig, name: str, seed: int = 0) -> pd.DataFrame:
+def _prepared(rows: pd.DataFrame, config: CloneConfig) -> tuple[np.ndarray, list[str], en.Prepared]:
     muts, _, names, a = dense(rows)
-    total_cn = None if np.isnan(a["total_cn"]).all() else a["total_cn"]
-    fit = en.fit_arrays(config, a["alt"], a["depth"], a["adj"], total_cn, seed)
+    return muts, names, en.prepare(config, a["alt"], a["depth"], a["adj"], None if np.isnan(a["total_cn"]).all() else a["total_cn"])
+
+
+def _row(tumour: int, name: str, muts: np.ndarray, names: list[str], fit: en.Fit) -> pd.DataFrame:
     kept = np.ones(len(muts), bool) if fit.mask is None else fit.mask
     return pd.DataFrame(
         {
-            "tumour_id": rows["tumour_id"].iloc[:1].to_numpy(), "config": [name], "K": [fit.k], "ll": [fit.ll], "bic": [fit.bic], "n_iter": [fit.n_iter], "converged": [bool(fit.converged)],
+            "tumour_id": [tumour], "config": [name], "K": [fit.k], "ll": [fit.ll], "bic": [fit.bic], "n_iter": [fit.n_iter], "converged": [bool(fit.converged)],
             "sample_ids": [names], "centers": [fit.centers.tolist()], "parents": [None if fit.parents is None else fit.parents.tolist()], "mut_ids": [muts.tolist()],
-            "assignments": [fit.assignments.tolist()], "kept": [kept.tolist()], "resp": [fit.resp.tolist()],
+            "assignments": [fit.assignments.tolist()], "kept": [kept.tolist()], "resp": [fit.resp.tolist()], "trace": [list(map(float, fit.trace))],
         }
     )
 
 
+def fit_group(rows: pd.DataFrame, config: CloneConfig, name: str, seed: int = 0) -> pd.DataFrame:
+    """All K of one tumour in turn."""
+    muts, names, data = _prepared(rows, config)
+    fits = [en.fit_k(config, data, k, seed) for k in en.k_schedule(config)]
+    return _row(rows["tumour_id"].iloc[0], name, muts, names, en.finish(config, en.select(config, fits, len(data.alt)), data.mask))
+
+
+def fit_one_k(rows: pd.DataFrame, config: CloneConfig, k: int, seed: int = 0) -> pd.DataFrame:
+    _, _, data = _prepared(rows, config)
+    fit = en.fit_k(config, data, k, seed)
+    values = (rows["tumour_id"].iloc[0], fit.k, fit.ll, fit.bic, fit.n_iter, bool(fit.converged), fit.centers.tolist(), fit.e_step[0].tolist(), fit.e_step[1].tolist(), list(map(float, fit.trace)))
+    return pd.DataFrame([values], columns=["tumour_id", "K", "ll", "bic", "n_iter", "converged", "centers", "e_centers", "e_log_pi", "trace"])
+
+
+def fit_selected(rows: pd.DataFrame, fits: pd.DataFrame, config: CloneConfig, name: str) -> pd.DataFrame:
+    """The fit of the least BIC among one tumour's, with responsibilities, tree and noise."""
+    muts, names, data = _prepared(rows, config)
+    best = fits.sort_values(["bic", "K"]).iloc[0]
+    array = lambda c: np.array([np.asarray(x, float) for x in best[c]])
+    resp = en.responsibilities(config, data, (array("e_centers"), np.asarray(best["e_log_pi"], float)))
+    fit = en.Fit(array("centers"), resp, resp.argmax(1), float(best["ll"]), float(best["bic"]), int(best["K"]), int(best["n_iter"]), bool(best["converged"]), trace=list(best["trace"]))
+    return _row(rows["tumour_id"].iloc[0], name, muts, names, en.finish(config, fit, data.mask))
+
+
 class GenerativeModel:
     """The fit of one configuration: a preset's name or a CloneConfig."""
 
@@ -96,9 +130,19 @@ class GenerativeModel:
         en.warn_of(self.config)
 
     def fit(self, obs: DataFrame) -> CohortFit:
-        """Every tumour in its own group; a cohort's tumours run in parallel."""
+        """Every tumour in its own group; a cohort's tumours run in parallel, and so do the K of a schedule. Partitions are
+        asked for by number, as few bytes are much work here and must not be put together by their size."""
         config, name, seed = self.config, self.name, self.seed
-        return CohortFit(obs.groupBy("tumour_id").applyInPandas(lambda rows: fit_group(rows, config, name, seed), FIT))
+        spark = obs.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        ks = en.k_schedule(config)
+        if len(ks) == 1:
+            return CohortFit(obs.repartition(parts, "tumour_id").groupBy("tumour_id").applyInPandas(lambda rows: fit_group(rows, config, name, seed), FIT))
+        # large K take longest, so each K has its own group
+        keyed = obs.withColumn("fit_k", F.explode(F.array(*map(F.lit, reversed(ks))))).repartition(4 * parts, "tumour_id", "fit_k")
+        fits = keyed.groupBy("tumour_id", "fit_k").applyInPandas(lambda key, rows: fit_one_k(rows, config, int(key[1]), seed), FIT_K)
+        both = obs.repartition(parts, "tumour_id").groupBy("tumour_id").cogroup(fits.groupBy("tumour_id"))
+        return CohortFit(both.applyInPandas(lambda rows, found: fit_selected(rows, found, config, name), FIT))
 
     def fit_auto(self, obs: DataFrame, most: int = GROUPED_CELLS) -> tuple[CohortFit, dict[int, dict]]:
         """Tumours of up to `most` cells in groups, larger ones one by one in distributed form. Only the ids of larger ones
@@ -111,16 +155,20 @@ class GenerativeModel:
         return distributed_fit(obs, self.config)
 
 
+def _matrix(rows: pa.ListArray) -> np.ndarray:
+    """Arrays of equal length as a matrix, from their buffer."""
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
 def _stats(emission, params: dict[int, tuple[np.ndarray, np.ndarray]], samples: list[str]):
     """Per partition: for each K, sums of responsibilities and weighted counts, log-likelihood, entropy and expectation."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            t = batch.to_pydict()
-            alt, depth, adj = (np.array(t[c], float) for c in ("alt", "depth", "adj"))
-            if not len(alt):
+            if not batch.num_rows:
                 continue
+            alt, depth, adj = (_matrix(batch.column(c)) for c in ("alt", "depth", "adj"))
             fixed = emission.np_fixed(alt, depth)
             for k, (centers, log_pi) in params.items():
                 log_r = en.log_resp(log_pi, alt, depth, adj, centers, emission, fixed)
@@ -145,10 +193,9 @@ def _assigned(emission, e_step: tuple[np.ndarray, np.ndarray], merge: tuple[np.n
 
     def run(batches):
         for batch in batches:
-            t = batch.to_pydict()
-            if not t["mut_id"]:
+            if not batch.num_rows:
                 continue
-            alt, depth, adj = (np.array(t[c], float) for c in ("alt", "depth", "adj"))
+            alt, depth, adj = (_matrix(batch.column(c)) for c in ("alt", "depth", "adj"))
             r = en.softmax(en.log_resp(e_step[1], alt, depth, adj, e_step[0], emission, emission.np_fixed(alt, depth)))
             r = r if merge is None else en.merged_resp(r, *merge)
             k = r.argmax(1)

@@ -40,11 +40,6 @@ def _whole_cohort(spark, sf):
     return ob.from_lineitem(spark, sf, tumour="supplier").persist()
 
 
-def _cohort(spark, sf):
-    """One return flag of three, as the SQL of its queries has it; `meta_features_all_samples` is over all."""
-    return ob.from_lineitem(spark, sf, tumour="supplier").where("sample_id = 'N'").persist()
-
-
 def _params(spark, sf):
     return mo.quantile_init(_obs(spark, sf), K)
 
@@ -94,44 +89,10 @@ def vaf_projection(spark, sf):
     return _obs(spark, sf).select("tumour_id", "mut_id", "sample_id", F.round(mo.vaf(), 9).alias("vaf"))
 
 
-def ccf_projection(spark, sf):
-    return _round(fe.shaped(_cohort(spark, sf)).select("tumour_id", "mut_id", "sample_id", "ccf"), 9, "ccf")
-
-
 def adj_from_cn(spark, sf):
     return _round(_obs(spark, sf).select("mut_id", "sample_id", "total_cn", "adj"), 9, "adj")
 
 
-def depth_stats(spark, sf):
-    return _round(fe.depth_stats(fe.shaped(_cohort(spark, sf))), 6, "depth_median", "depth_cv", "frac_low_depth")
-
-
-def cn_landscape(spark, sf):
-    names = ["frac_cna", "ploidy", "n_cn_states", "frac_loh", "subclonal_cn", "wgd"]
-    return _round(fe.cn_landscape(_cohort(spark, sf)).select("tumour_id", *names), 6, *names)
-
-
-def vaf_shape(spark, sf):
-    names = ["skewness", "kurtosis", "clonal_peak_width"]
-    return _round(fe.shape_stats(fe.shaped(_cohort(spark, sf))).select("tumour_id", *names), 6, *names)
-
-
-def tail_test(spark, sf):
-    return fe.shape_stats(fe.shaped(_cohort(spark, sf))).select("tumour_id", "has_pareto_tail")
-
-
-def kde_peaks(spark, sf):
-    return fe.kde_peaks(fe.shaped(_cohort(spark, sf)))
-
-
-def kde_purity(spark, sf):
-    return _round(fe.kde_purity(fe.shaped(_cohort(spark, sf))), 6, "purity_estimate")
-
-
-def meta_features_cohort(spark, sf):
-    return _round(fe.meta_features(_cohort(spark, sf)), 6, *fe.FEATURE_NAMES)
-
-
 def quantile_init(spark, sf):
     return _round(_params(spark, sf), 9, "center")
 
@@ -291,19 +252,6 @@ def _whole_encoded(spark, sf):
     return _table(spark, sf, "embeddings").select(F.col("label").alias("arm"), (F.col("vec_id") % 100 / 100.0).alias("reward"), F.col("embedding").cast("array<double>").alias("z"))
 
 
-def _encoded(spark, sf):
-    """The first 8 components, as the SQL of its queries has it; `head_suffstats_whole` and `head_vectors_whole` use all."""
-    return _whole_encoded(spark, sf).withColumn("z", F.slice("z", 1, 8))
-
-
-def head_suffstats(spark, sf):
-    return _round(head_sums(_encoded(spark, sf), ["arm"]), 6, "zz")
-
-
-def head_vector_sums(spark, sf):
-    return _round(head_vectors(_encoded(spark, sf), ["arm"]), 6, "zy")
-
-
 def head_suffstats_whole(spark, sf):
     return head_sums(_whole_encoded(spark, sf), ["arm"])
 
@@ -445,15 +393,14 @@ def meta_features_all_samples(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        flagship_em_step, vaf_projection, ccf_projection, adj_from_cn, depth_stats, cn_landscape, vaf_shape, tail_test, kde_peaks, kde_purity, meta_features_cohort, quantile_init,
+        flagship_em_step, vaf_projection, adj_from_cn, quantile_init,
         e_step_resp, m_step_centers, mixing_weights, marginal_ll_bic, em_unrolled_3, elbo_terms, tail_filter_mask, expand_noise, multiplicity_adj, artefact_nestability, nesting_matrix,
         nesting_order, greedy_tree, constrained_clamp, pairs_tensor, tree_topo_depth, plot_tree_layout, tree_enumeration_best, longitudinal_tree, contingency, contingency_all, v_measure, sc1a, sc1b, sc2a, sc3,
-        adaptive_elimination, resume_antijoin, best_config_label, head_suffstats, oracle_regret, routing_gain, selection_counts, score_distribution, uncertainty_quartiles, cumulative_regret,
+        adaptive_elimination, resume_antijoin, best_config_label, oracle_regret, routing_gain, selection_counts, score_distribution, uncertainty_quartiles, cumulative_regret,
         allocate_clone_sizes, plot_vaf_hist, plot_scatter, plot_fish, plot_samples, plot_heatmap, plot_resp_violin, plot_top_attr, plot_bic_curve, pileup_counts, bic_sweep_1iter, fit_distributed,
         simulate_cohort, augment_cohort, head_mean_select, explain_attributions, meta_features_all_samples, head_suffstats_whole, head_vectors_whole,
     )
 }
 QUERIES["hard_assign"] = flagship_em_step
-QUERIES["head_vectors"] = head_vector_sums
 QUERIES |= {f"loglik_{n}": _loglik(e) for n, e in (("binomial", EmissionModel.BINOMIAL), ("beta_binomial", EmissionModel.BETA_BINOMIAL), ("bb_pareto", EmissionModel.BB_PARETO), ("dcf", EmissionModel.DCF_BB))}
 QUERIES |= {f"fit_{name}": _fit(name) for name in CONFIGS}

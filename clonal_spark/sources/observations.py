@@ -21,10 +21,11 @@ def from_arrays(spark: SparkSession, alt, depth, adj=None, total_cn=None, tumour
     return spark.createDataFrame(rows, OBSERVATIONS).withColumn("total_cn", F.when(F.isnan("total_cn"), None).otherwise(F.col("total_cn")))
 
 
-def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample: str = "l_returnflag") -> DataFrame:
+def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample: str = "l_returnflag", subclonal: bool = False) -> DataFrame:
     """Observations of the star schema: a mutation is a part, a sample a return flag (or a year), depth the summed
     quantity and alt that of discounts from 0.05 on. tumour: "none" (one) or "supplier" (one each). With one
-    tumour, mutations that lack a sample are left out, so that its table is dense; suppliers keep all samples."""
+    tumour, mutations that lack a sample are left out, so that its table is dense; suppliers keep all samples.
+    subclonal: odd parts have another copy number in the samples of odd first letters."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mut_id"), "p_size")
     tumour_id = F.lit(0).cast("long") if tumour == "none" else F.col("l_suppkey").cast("long")
@@ -35,17 +36,27 @@ def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample
         samples = F.broadcast(reads.agg(F.countDistinct("sample_id").alias("n_samples")))  # one row
         whole = obs.groupBy("mut_id").agg(F.count("*").alias("n")).crossJoin(samples).where("n = n_samples").select("mut_id")
         obs = obs.join(whole, "mut_id", "left_semi")
-    cn = F.col("p_size") % 4 + 1
+    other = (F.ascii("sample_id") % 2) * (F.col("mut_id") % 2) if subclonal else F.lit(0)
+    cn = (F.col("p_size") + other) % 4 + 1
     return obs.join(part, "mut_id").select("tumour_id", "mut_id", "sample_id", "alt", "depth", (F.lit(2.0) / (cn * F.lit(0.8) + F.lit(0.4))).alias("adj"), cn.cast("double").alias("total_cn"))
 
 
+#: Folders that tumours are dealt to, however many they are.
+FOLDERS = 64
+
+
 def write_tumours(obs: DataFrame, path: str) -> None:
-    """One folder per tumour, so that readers prune by tumour_id."""
-    obs.repartition("tumour_id").write.mode("overwrite").partitionBy("tumour_id").parquet(path)
+    """FOLDERS folders by tumour_id, each sorted by it: readers prune folders, and row groups by their bounds."""
+    dealt = obs.withColumn("folder", F.pmod("tumour_id", F.lit(FOLDERS)).cast("int"))
+    dealt.repartition("folder").sortWithinPartitions("folder", "tumour_id").write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
-def read_tumours(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_tumours(spark: SparkSession, path: str, tumours: list[int] | None = None) -> DataFrame:
+    """All tumours, or some of them from their folders only."""
+    rows = spark.read.parquet(path)
+    if tumours is not None:
+        rows = rows.where(F.col("folder").isin(sorted({t % FOLDERS for t in tumours})) & F.col("tumour_id").isin(tumours))
+    return rows.drop("folder")
 
 
 def write_manifest(spark: SparkSession, path: str, **facts) -> None:
