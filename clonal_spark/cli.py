@@ -7,7 +7,9 @@ import json
 import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from clonal_spark.config import CONFIG_NAMES, FEATURE_NAMES
 from clonal_spark.plans import evaluate as ev
 from clonal_spark.plans import router as ro
 from clonal_spark.plans import training as tr
@@ -38,7 +40,19 @@ def score(spark: SparkSession, path: str, margin: float | None) -> None:
 
 
 def corpus(spark: SparkSession, path: str):
-    return tr.assemble_corpus(ob.read_tumours(spark, f"{path}/tumours"), spark.read.parquet(f"{path}/scores"))
+    """The stored corpus of the stored scores; made where there is none of just these."""
+    scores = spark.read.parquet(f"{path}/scores")
+    facts = scores.agg(F.count("*").alias("scores"), F.countDistinct("tumour_id").alias("tumours"), F.sum(F.xxhash64("tumour_id", "config", "sc", "score").cast("decimal(38,0)")).cast("string").alias("digest")).first().asDict()
+    try:
+        kept = ob.read_manifest(spark, f"{path}/corpus-manifest")
+    except Exception as missing:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        kept = {}
+    if any(kept.get(k) != v for k, v in facts.items()):
+        tr.assemble_corpus(ob.read_tumours(spark, f"{path}/tumours"), scores).write.mode("overwrite").parquet(f"{path}/corpus")
+        ob.write_manifest(spark, f"{path}/corpus-manifest", **facts, features=list(FEATURE_NAMES), configs=list(CONFIG_NAMES))
+    return spark.read.parquet(f"{path}/corpus")
 
 
 def train(spark: SparkSession, path: str, epochs: int, seed: int) -> ro.TrainResult:

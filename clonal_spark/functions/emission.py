@@ -94,4 +94,5 @@ EMISSIONS = {EmissionModel.BINOMIAL: Binomial, EmissionModel.BETA_BINOMIAL: Beta
 
 
 def emission_of(config: CloneConfig):
-    return EMISSIONS[config.emission](config)
+    """The configured emission; an axis that holds a class of one's own gives that."""
+    return EMISSIONS.get(config.emission, config.emission)(config)

@@ -39,13 +39,13 @@ def _fit_selected(obs: DataFrame, chosen: DataFrame) -> DataFrame:
     return obs.join(chosen, "tumour_id").groupBy("tumour_id", "selected").applyInPandas(run, FIT)
 
 
-def explain_table(router: MetaRouter, features: DataFrame, sc: str) -> DataFrame:
+def explain_table(router: MetaRouter, features: DataFrame, sc: str, n_steps: int = 50, right_ends: bool = False) -> DataFrame:
     """(tumour_id, feature, attribution) of each tumour's selected configuration."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            rows = [(t, n, v) for t, x in zip(b["tumour_id"], b["features"], strict=True) for n, v in router.explain(np.asarray(x), sc).items()]
+            rows = [(t, n, v) for t, x in zip(b["tumour_id"], b["features"], strict=True) for n, v in router.explain(np.asarray(x), sc, n_steps=n_steps, right_ends=right_ends).items()]
             yield pd.DataFrame(rows, columns=["tumour_id", "feature", "attribution"])
 
     return features.select("tumour_id", "features").mapInPandas(run, "tumour_id long, feature string, attribution double")

@@ -174,6 +174,8 @@ ENGINES = {InferenceEngine.EM: em, InferenceEngine.MFVI: mfvi, InferenceEngine.H
 
 
 def k_schedule(config: CloneConfig) -> list[int]:
+    if not isinstance(config.k_prior, KPrior):
+        return config.k_prior.schedule(config)
     if config.k_prior is KPrior.BIC:
         return list(range(1, 11))
     if config.k_prior is KPrior.FIXED:
@@ -214,6 +216,8 @@ def merge_and_prune(fit: Fit, n_mut: int, least: float) -> Fit:
 
 
 def select(config: CloneConfig, fits: list[Fit], n_mut: int) -> Fit:
+    if not isinstance(config.k_prior, KPrior):
+        return config.k_prior.select(config, fits, n_mut)
     if config.k_prior is KPrior.BIC:
         return min(fits, key=lambda f: f.bic)
     if config.k_prior is KPrior.FIXED:
@@ -300,7 +304,9 @@ def drop_artefacts(config: CloneConfig, fit: Fit) -> Fit:
 
 def grow_tree(config: CloneConfig, fit: Fit) -> Fit:
     mode = config.phylo
-    if mode is PhyloMode.PAIRWISE:
+    if not isinstance(mode, PhyloMode):
+        fit.parents = np.asarray(mode.parents(fit.centers))
+    elif mode is PhyloMode.PAIRWISE:
         fit.parents, fit.pairs = ph.pairwise_parents(fit.centers), ph.pairs_tensor(fit.centers)
     elif mode is PhyloMode.LONGITUDINAL:
         fit.parents = ph.longitudinal_parents(fit.centers)
@@ -330,7 +336,9 @@ def prepare(config: CloneConfig, alt, depth, adj=None, total_cn=None) -> Prepare
     alt, depth = (np.asarray(x, float).reshape(len(x), -1) for x in (alt, depth))
     adj = np.ones_like(alt) if adj is None else np.asarray(adj, float).reshape(alt.shape)
     mask = np.ones(len(alt), bool)
-    if config.noise is NoiseModel.TAIL_FILTER:
+    if not isinstance(config.noise, NoiseModel):
+        mask = np.asarray(config.noise.mask(config, alt, depth), bool)
+    elif config.noise is NoiseModel.TAIL_FILTER:
         mask = tail_mask(config, alt, depth)
     elif config.noise is NoiseModel.MULTIPLICITY and total_cn is not None:
         adj = multiplicity_adj(alt, depth, adj, total_cn, config.purity)
@@ -338,7 +346,7 @@ def prepare(config: CloneConfig, alt, depth, adj=None, total_cn=None) -> Prepare
 
 
 def fit_k(config: CloneConfig, data: Prepared, k: int, seed: int = 0) -> Fit:
-    run = ENGINES[config.inference]
+    run = ENGINES.get(config.inference, config.inference)
     more = {"seed": seed} if run is mcmc else {}
     return run(config, data.alt, data.depth, data.adj, initial_centers(data.alt, data.depth, k), **more)
 
@@ -351,7 +359,7 @@ def responsibilities(config: CloneConfig, data: Prepared, e_step: tuple[np.ndarr
 def finish(config: CloneConfig, fit: Fit, mask: np.ndarray) -> Fit:
     """Tree and the noise steps that come last."""
     fit = grow_tree(config, fit)
-    if config.noise is NoiseModel.TAIL_FILTER:
+    if config.noise is NoiseModel.TAIL_FILTER or not isinstance(config.noise, NoiseModel):
         return expand(fit, mask)
     return drop_artefacts(config, fit) if config.noise is NoiseModel.ARTEFACT else fit
 

@@ -58,8 +58,8 @@ def report(router: MetaRouter, corpus: DataFrame, baseline: str = "quantumclone_
 
 
 def attributions(router: MetaRouter, corpus: DataFrame, sc: str, n: int = 10) -> DataFrame:
-    """The n features of the largest mean absolute attribution."""
-    table = explain_table(router, corpus.select("tumour_id", "features").dropDuplicates(["tumour_id"]), sc)
+    """The n features of the largest mean absolute attribution, by 20 steps at their right ends."""
+    table = explain_table(router, corpus.select("tumour_id", "features").dropDuplicates(["tumour_id"]), sc, 20, True)
     return pl.top_attributions(table.groupBy(F.col("feature").alias("name")).agg(F.avg(F.abs("attribution")).alias("value")), n)
 
 

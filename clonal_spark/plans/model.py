@@ -136,7 +136,7 @@ class GenerativeModel:
         spark = obs.sparkSession
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         ks = en.k_schedule(config)
-        if len(ks) == 1:
+        if config.k_prior is not KPrior.BIC:
             return CohortFit(obs.repartition(parts, "tumour_id").groupBy("tumour_id").applyInPandas(lambda rows: fit_group(rows, config, name, seed), FIT))
         # large K take longest, so each K has its own group
         keyed = obs.withColumn("fit_k", F.explode(F.array(*map(F.lit, reversed(ks))))).repartition(4 * parts, "tumour_id", "fit_k")
@@ -232,6 +232,9 @@ def distributed_fit(obs: DataFrame, config: CloneConfig, max_iter: int = en.MAX_
     form."""
     if config.inference is InferenceEngine.MCMC:
         raise NotImplementedError("the sampler has no distributed form; fit the tumour in one group")
+    own = [x for x, kind in ((config.inference, InferenceEngine), (config.k_prior, KPrior), (config.noise, NoiseModel)) if not isinstance(x, kind)]
+    if own:
+        raise NotImplementedError(f"no distributed form of {own}; fit the tumour in one group")
     spark: SparkSession = obs.sparkSession
     if config.noise is NoiseModel.MULTIPLICITY and "total_cn" in obs.columns and obs.where("total_cn IS NOT NULL").limit(1).count():
         obs = no.multiplicity_adj(obs, config.purity)

@@ -58,7 +58,7 @@ def score_fit(fit: en.Fit, true_k: np.ndarray, true_centers: np.ndarray, purity:
 
 
 def score_tasks(obs: DataFrame, tasks: DataFrame, seed: int = 0) -> DataFrame:
-    """tasks: (tumour_id, config). One group per task: a fit and five scores; a fit that fails scores 0."""
+    """tasks: (tumour_id, config). One group per task: a fit and five scores; a fit that fails scores 0 and leaves its message in `error`."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         t, name = int(rows["tumour_id"].iloc[0]), rows["config"].iloc[0]
@@ -68,12 +68,12 @@ def score_tasks(obs: DataFrame, tasks: DataFrame, seed: int = 0) -> DataFrame:
         clones = rows.dropna(subset=["true_center"]).pivot_table(index="true_k", columns="sample_id", values="true_center").to_numpy()
         try:
             fit = en.fit_arrays(CONFIGS[name], a["alt"], a["depth"], a["adj"], a["total_cn"], seed)
-            found = score_fit(fit, label, clones, float(clones.max()))
-        except Exception:  # noqa: BLE001  one failed fit must not end a cohort's run
-            found = dict.fromkeys(SC_NAMES, 0.0)
-        return pd.DataFrame({"tumour_id": t, "config": name, "sc": list(found), "score": list(found.values())})
+            found, error = score_fit(fit, label, clones, float(clones.max())), None
+        except Exception as e:  # noqa: BLE001  one failed fit must not end a cohort's run
+            found, error = dict.fromkeys(SC_NAMES, 0.0), f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"tumour_id": t, "config": name, "sc": list(found), "score": list(found.values()), "error": error})
 
-    return obs.join(tasks, "tumour_id").groupBy("tumour_id", "config").applyInPandas(run, SCORES)
+    return obs.join(tasks, "tumour_id").groupBy("tumour_id", "config").applyInPandas(run, f"{SCORES}, error string")
 
 
 def tasks_of(obs: DataFrame, configs: list[str]) -> DataFrame:
@@ -88,18 +88,18 @@ def score_tumours(obs: DataFrame, done: DataFrame | None = None, margin: float |
     fresh = lambda tasks: tasks if done is None else todo(tasks, done)
     pilot = score_tasks(obs, fresh(tasks_of(obs, pilot_names)))
     if done is not None:
-        pilot = pilot.unionByName(done.where(F.col("config").isin(pilot_names)).select("tumour_id", "config", "sc", "score"))
+        pilot = pilot.unionByName(done.where(F.col("config").isin(pilot_names)).select("tumour_id", "config", "sc", "score"), allowMissingColumns=True)
     pilot = pilot.persist()
     others = tasks_of(obs, [c for c in names if c not in pilot_names])
     out = sg.eliminated(pilot, margin).select("tumour_id") if margin is not None else None
     rest = others if out is None else others.join(out, "tumour_id", "left_anti")
     scored = score_tasks(obs, fresh(rest))
     if done is not None:
-        scored = scored.unionByName(done.where(~F.col("config").isin(pilot_names)).select("tumour_id", "config", "sc", "score"))
+        scored = scored.unionByName(done.where(~F.col("config").isin(pilot_names)).select("tumour_id", "config", "sc", "score"), allowMissingColumns=True)
     rows = pilot.unionByName(scored).withColumn("eliminated", F.lit(False))
     if out is not None:
         skipped = others.join(out, "tumour_id", "left_semi").select("tumour_id", "config", F.explode(F.array(*map(F.lit, SC_NAMES))).alias("sc")).withColumns({"score": F.lit(0.0), "eliminated": F.lit(True)})
-        rows = rows.unionByName(skipped)
+        rows = rows.unionByName(skipped, allowMissingColumns=True)
     return rows
 
 

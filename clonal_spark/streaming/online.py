@@ -49,8 +49,12 @@ class OnlineTrainer:
             scores = score_tasks(obs, tasks).join(vectors, "tumour_id").withColumn("batch_id", F.lit(batch_id).cast("long"))
             target = f"{self.path}/scores/batch={batch_id}"
             scores.write.mode("overwrite").parquet(target)
-            fill_heads(self.router, spark.read.parquet(target))
+            made = spark.read.parquet(target)
+            fill_heads(self.router, made)
             self.router.save(spark, f"{self.path}/router", batch_id)
+            self.router.save(spark, f"{self.path}/checkpoints/{batch_id}", batch_id)  # a version of each batch
+            facts = made.agg(F.count("*").alias("scores"), F.countDistinct("tumour_id").alias("tumours"), F.avg("score").alias("mean_score"), F.count("error").alias("failed"))
+            facts.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{self.path}/metrics/batch={batch_id}")
         obs.unpersist()
 
     def start(self, tumours: DataFrame, checkpoint: str, available_now: bool = True):

@@ -439,6 +439,7 @@ ORACLE_SQL: dict[str, str] = {
     "artefact_reassign": sql("""SELECT tumour_id, mut_id, arg_max(k, struct_pack(a := r, b := -k))::INT AS k FROM resp7 JOIN (SELECT tumour_id, k FROM (SELECT *, bool_or(nestable) OVER (PARTITION BY tumour_id) AS any_of FROM nestable7) WHERE nestable OR NOT any_of)
         USING (tumour_id, k) GROUP BY 1, 2"""),
     "plot_tree_places": sql("SELECT tumour_id, k, parent, depth, round((row_number() OVER (PARTITION BY tumour_id, depth ORDER BY k) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY tumour_id, depth), 9) AS x, round(-depth::DOUBLE, 9) AS y FROM depth7"),
+    "plot_tree_layout": sql("SELECT tumour_id, k, parent, depth, (row_number() OVER (PARTITION BY tumour_id, depth ORDER BY k) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY tumour_id, depth) AS x, -depth::DOUBLE AS y FROM depth7"),
     "tree_depth_chain": "SELECT (p_size % 3)::BIGINT AS tumour_id, p_partkey AS k, coalesce(lag(p_partkey) OVER o, -1) AS parent, (row_number() OVER o - 1)::INT AS depth FROM part WINDOW o AS (PARTITION BY p_size % 3 ORDER BY p_partkey)",
     "tree_enumeration_score": sql("""SELECT round((SELECT sum(beside) FROM relations7) + gain, 6) AS score, array_to_string(p, ',') AS parents FROM gains7 JOIN vectors7 USING (id) ORDER BY gain DESC LIMIT 1"""),
     "head_suffstats_all": sql("SELECT arm, (i - 1)::INT AS i, (j - 1)::INT AS j, round(sum(z[i] * z[j]), 6) AS zz FROM z64, range(1, 65) a(i), range(1, 65) b(j) GROUP BY 1, 2, 3"),
