@@ -5,7 +5,9 @@ recursive query joins neighbouring tokens with the merge table and contracts eac
 minimum-rank pair until no pair is left. Words longer than LONG_WORD bytes go through a second form of
 the query, which contracts in one round all those occurrences of the minimum-rank pair that the
 one-at-a-time order would contract next to each other; its rounds grow with the distinct ranks, not
-with the length. Decoding joins ids with the vocabulary and aggregates bytes in position order.
+with the length. Words longer than STITCH bytes are encoded in chunks, which meet pair by pair: a list of tokens is
+a text's encoding exactly if every two neighbours are that of their joined bytes, so where two chunks meet
+a widening stretch of tokens is encoded anew until its neighbours on both sides stay. Decoding joins ids with the vocabulary and aggregates bytes in position order.
 
 The merge table holds every split of a token into two tokens, as ranks of concatenations decide merges.
 
@@ -27,6 +29,8 @@ from clonal_spark.llm import _pieces, _text
 from clonal_spark.llm._pieces import Pieces, Ragged
 
 LONG_WORD = 128
+#: Bytes from which a word is encoded in chunks, and those of a chunk.
+STITCH, PART = 1024, 96
 #: Words, and bytes of words, that one query takes.
 QUERY_WORDS, QUERY_BYTES = 30_000, 300_000
 #: Bytes of texts that are worked on at once, and pieces that a worker remembers beside its database.
@@ -110,6 +114,8 @@ class Bpe:
         shown.put(np.arange(size), np.frombuffer("".join(f" {i}" for i in range(size)).encode(), np.uint8), np.array([len(f" {i}") for i in range(size)]))
         self.shown = shown
         self.pieces, self.ids, self.bytes = Pieces(), Ragged(np.uint32), Ragged(np.uint8)
+        self.token = {r: t for t, r in ranks.items()}
+        self.stays: dict[tuple[int, int], bool] = {}
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -118,6 +124,59 @@ class Bpe:
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Joined ids of non-empty words, and how many each has."""
+        long = [i for i, w in enumerate(words) if len(w) > STITCH]
+        if not long:
+            return self._contracted(words)
+        which = set(long)
+        ids, n = self._contracted([w for i, w in enumerate(words) if i not in which])
+        lists = dict(zip(long, self._stitched([words[i] for i in long]), strict=True))
+        rest = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+        every = [lists[i] if i in which else next(rest) for i in range(len(words))]
+        return np.concatenate(every).astype(np.uint32), np.fromiter(map(len, every), np.int64, len(every))
+
+    def _lists(self, words: list[bytes]) -> list[list[int]]:
+        ids, n = self._contracted(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if words else []
+
+    def _stitched(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, from those of its chunks; in each round neighbours meet, of all words at once."""
+        cut = [[w[i : i + PART] for i in range(0, len(w), PART)] for w in words]
+        made = iter(self._lists([c for chunks in cut for c in chunks]))
+        rows = [[next(made) for _ in chunks] for chunks in cut]
+        while any(len(r) > 1 for r in rows):
+            met = iter(self._meet([(r[k], r[k + 1]) for r in rows for k in range(0, len(r) - 1, 2)]))
+            rows = [[next(met) for _ in range(len(r) // 2)] + r[len(r) // 2 * 2 :] for r in rows]
+        return [r[0] for r in rows]
+
+    def _meet(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        out: list[list[int]] = [a + b for a, b in pairs]
+        left = [p for p, ok in enumerate(self._stay([(a[-1], b[0]) for a, b in pairs])) if not ok]
+        width = 2
+        while left:
+            between = self._lists([b"".join(map(self.token.__getitem__, pairs[p][0][-width:] + pairs[p][1][:width])) for p in left])
+            edges: list[tuple[int, int]] = []
+            owners: list[int] = []
+            for p, m in zip(left, between, strict=True):
+                a, b = pairs[p]
+                out[p] = a[:-width] + m + b[width:]
+                for pair in ((a[-width - 1], m[0]) if len(a) > width else None, (m[-1], b[width]) if len(b) > width else None):
+                    if pair:
+                        edges.append(pair)
+                        owners.append(p)
+            left = sorted({p for p, ok in zip(owners, self._stay(edges), strict=True) if not ok})
+            width *= 2
+        return out
+
+    def _stay(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether two tokens are the encoding of their joined bytes."""
+        new = sorted({p for p in pairs if p not in self.stays})
+        if len(self.stays) > MEMORY_PIECES:
+            self.stays.clear()
+            new = sorted(set(pairs))
+        self.stays |= {p: got == list(p) for p, got in zip(new, self._lists([self.token[a] + self.token[b] for a, b in new]), strict=True)}
+        return [self.stays[p] for p in pairs]
+
+    def _contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for chosen, query in ((np.flatnonzero(lengths <= LONG_WORD), _ENCODE), (np.flatnonzero(lengths > LONG_WORD), _ENCODE_LONG)):

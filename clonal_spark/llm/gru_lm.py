@@ -302,28 +302,28 @@ def run(w: dict[str, np.ndarray], docs: list[np.ndarray], learn: Adam | None = N
     dealt = lanes(lengths, count)
     sizes = np.array([lengths[x].sum() for x in dealt])
     most = int(sizes.max()) if len(sizes) else 0
-    rows = -(-most // STEPS) * STEPS
-    inputs, targets = np.zeros((rows, len(dealt)), np.int32), np.zeros((rows, len(dealt)), np.int32)
-    owner, begins = np.full((rows, len(dealt)), -1, np.int32), np.zeros((rows, len(dealt)), bool)
-    for i, some in enumerate(dealt):
-        at = 0
-        for d in some:
-            n = len(docs[d])
-            inputs[at + 1 : at + n + 1, i], targets[at : at + n, i] = docs[d], docs[d]
-            owner[at : at + n + 1, i] = d
-            begins[at, i] = True
-            at += n + 1
+    # the lanes' tokens one after the other; a window takes its steps of each lane that goes so far
+    order = np.array([d for some in dealt for d in some], np.int64)
+    ends = np.cumsum(lengths[order])
+    targets = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    words = np.ones(len(targets), bool)
+    words[ends - 1] = False
+    targets[words] = np.concatenate([docs[d] for d in order]) if len(order) else []
+    inputs = np.append(np.zeros(1, np.int32), targets[:-1])
+    begins = np.append(True, ~words[:-1])
+    owner = np.repeat(order, lengths[order])
+    first = np.cumsum(sizes) - sizes
     out = np.zeros(len(docs))
     h = np.zeros((len(dealt), STATE), np.float32)
-    for t in range(0, rows, STEPS):
+    for t in range(0, most, STEPS):
         b = int((sizes > t).sum())  # lanes that are not at their end
-        part = slice(t, t + STEPS)
-        window = Window(w, inputs[part, :b], [np.flatnonzero(x) for x in begins[part, :b]], h[:b])
+        step = t + np.arange(STEPS)[:, None]
+        there = step < sizes[:b]
+        at = np.where(there, first[:b] + step, 0)
+        window = Window(w, np.where(there, inputs[at], 0), [np.flatnonzero(x) for x in begins[at] & there], h[:b])
         h = window.last
-        who = owner[part, :b]
-        there = who >= 0
-        logp = window.loss(targets[part, :b], there, learn is not None)
-        out += np.bincount(who[there], logp[there], len(docs))
+        logp = window.loss(np.where(there, targets[at], 0), there, learn is not None)
+        out += np.bincount(owner[at[there]], logp[there], len(docs))
         if learn is not None:
             learn.add(w, window.backward(), int(there.sum()), most - t <= STEPS)
     return out
