@@ -154,7 +154,8 @@ def _apart(top: int | None):
 
     def pairs(key: int, docs: np.ndarray, sizes: np.ndarray, regs: np.ndarray, bands: np.ndarray, comps: np.ndarray) -> Iterator[pa.RecordBatch]:
         band = int(np.flatnonzero(bands[0] == key)[0])
-        least = M * (SIMILARITY / 100 - MARGIN) - 1 if top else LONG_M * (SIMILARITY / 100 - LONG_MARGIN)
+        m, margin = (M, MARGIN) if top else (LONG_M, LONG_MARGIN)
+        least = m * (SIMILARITY / 100 - margin) - 1
         names, counts = np.unique(comps, return_counts=True)
         if len(names) < 2:
             return
@@ -174,11 +175,10 @@ def _apart(top: int | None):
             us.append(np.full(len(other), i))
             vs.append(other)
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        for lo in range(0, len(i), 20_000):
-            a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
-            if top:
-                good = similarity(regs[a], regs[b], sizes[a], sizes[b]) >= SIMILARITY / 100 - MARGIN
-                a, b = a[good], b[good]
+        for lo in range(0, len(i), 4096):
+            a, b = i[lo : lo + 4096], j[lo : lo + 4096]
+            good = similarity(regs[a], regs[b], sizes[a], sizes[b]) >= SIMILARITY / 100 - margin
+            a, b = a[good], b[good]
             a, b = docs[a], docs[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
@@ -188,7 +188,7 @@ def _apart(top: int | None):
             if not batch.num_rows:
                 continue
             keys, docs, sizes, comps = (batch.column(c).to_numpy() for c in ("key", "doc_id", "n_shingles", "component"))
-            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16 if top else np.uint8).reshape(len(keys), -1)
+            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(len(keys), -1)
             bands = batch.column("bands").flatten().to_numpy().reshape(len(keys), BANDS)
             edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -217,7 +217,7 @@ def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part = batch.slice(lo, 256)
             sets = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
             regs = registers(np.concatenate(sets), np.array([len(x) for x in sets]), LONG_M)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(np.uint8).tobytes() for r in regs], pa.binary())], names=["doc_id", "registers"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "registers"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +293,4 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: one of each group."""
     gone = groups(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone_doc_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_doc_id"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone_doc_id"], "left_anti")

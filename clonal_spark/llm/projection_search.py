@@ -12,7 +12,8 @@ A query's list is merged from its blocks' lists; nothing else of a block leaves
 
 Defined results: null or zero vectors and vectors with null or non-finite components take no part, as
 queries or candidates; vectors meet only those of the same length; ties go to the smaller id; rows with
-the same id count once for each different vector; too few candidates give fewer rows.
+the same id count once for each different vector; too few candidates give fewer rows. Vectors of doubles are kept
+and scored as doubles, others as the floats that they are, in double precision.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonal_spark.session import Scratch
 
 M, STOP, LEAF = 8, 0.98, 64
-#: Rows of a block that the sample's cuts aim at, and rows of the sample.
-BLOCK_ROWS, SAMPLE_ROWS = 40_000, 8192
+#: Rows of a block that the sample's cuts aim at, rows of the sample, and least rows of a block cut for more cores.
+BLOCK_ROWS, SAMPLE_ROWS, SHARE_ROWS = 40_000, 8192, 4096
 SALTS = 64
 
 
@@ -53,8 +55,12 @@ def directions(n: int) -> np.ndarray:
     return np.random.default_rng(n).standard_normal((n, M))
 
 
-def _matrix(column: pa.Array | list[bytes], n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f4").reshape(-1, n).astype(np.float64)
+def _matrix(column: pa.Array | list[bytes], n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(-1, n).astype(np.float64)
+
+
+def _parts(raw: bytes, kind: str) -> int:
+    return len(raw) // np.dtype(kind).itemsize
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -121,7 +127,7 @@ def nearest(tree: Tree, points: np.ndarray, units: np.ndarray, copies: np.ndarra
     return (np.concatenate(found) if found else np.zeros(0, np.int64)), best
 
 
-def _search(k: int):
+def _search(k: int, kind: str):
     keep = k + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -130,14 +136,14 @@ def _search(k: int):
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], t) for c, t in names.items()})
         vectors = left.column("vector").to_pylist()
-        n = len(vectors[0]) // 4
-        raw, ids = _matrix(vectors, n), left.column("ids").to_pylist()
+        n = _parts(vectors[0], kind)
+        raw, ids = _matrix(vectors, n, kind), left.column("ids").to_pylist()
         norms = np.sqrt((raw * raw).sum(1))
         units, g = _unit(raw), directions(n)
         points, copies = units @ g, np.array([len(x) for x in ids])
         tree = Tree(points)
         queries = right.column("query_vector").to_pylist()
-        q_raw = _matrix(queries, n)
+        q_raw = _matrix(queries, n, kind)
         q_norms, q_units = np.sqrt((q_raw * q_raw).sum(1)), _unit(q_raw)
         q_points = q_units @ g
         reaches, lists = [], []
@@ -155,20 +161,26 @@ def _search(k: int):
     return run
 
 
-def _packed(batches):
-    for batch in batches:
-        ids, out = [], []
-        for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if vec_id is None or not v or None in v:
-                continue
-            x = np.array(v, "<f4")
-            if np.isfinite(x).all() and x.any():
-                ids.append(vec_id)
-                out.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vector"])
+def _packed(kind: str):
+    """Ids and bytes of the vectors that take part."""
 
+    def run(batches):
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy().astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)  # nulls are not numbers
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            finite, some = (np.concatenate([[0], np.cumsum(x)]) for x in (np.isfinite(flat), flat != 0))
+            good = (sizes > 0) & (finite[ends] - finite[starts] == sizes) & (some[ends] > some[starts]) & pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+            raw, size = flat.tobytes(), flat.dtype.itemsize
+            out = [raw[size * a : size * b] for a, b in zip(starts[good].tolist(), ends[good].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
-def _cuts(sample: list[bytes], depth: int) -> dict[int, list]:
+    return run
+
+
+def _cuts(sample: list[bytes], depth: int, kind: str) -> dict[int, list]:
     """Per vector length: kd cuts (axis, value) of each inner cell, as nested lists."""
 
     def cut(points: np.ndarray, left: int):
@@ -180,29 +192,33 @@ def _cuts(sample: list[bytes], depth: int) -> dict[int, list]:
 
     by: dict[int, list[bytes]] = {}
     for v in sample:
-        by.setdefault(len(v) // 4, []).append(v)
-    return {n: cut(_unit(_matrix(vs, n)) @ directions(n), depth) for n, vs in by.items()}
+        by.setdefault(_parts(v, kind), []).append(v)
+    return {n: cut(_unit(_matrix(vs, n, kind)) @ directions(n), depth) for n, vs in by.items()}
+
 
+def _placed(cuts: dict[int, list], kind: str):
+    """Adds block and point; vectors of one length are projected together and go down the cuts together."""
 
-def _placed(cuts: dict[int, list]):
-    def cell(node, point) -> str:
-        name = ""
-        while node:
-            right = point[node[0]] >= node[1]
-            name += "1" if right else "0"
-            node = node[3 if right else 2]
-        return name
+    def cells(node, points: np.ndarray, rows: np.ndarray, name: str, out: list[str]) -> None:
+        if not node:
+            for r in rows.tolist():
+                out[r] = name
+            return
+        right = points[rows, node[0]] >= node[1]
+        cells(node[2], points, rows[~right], f"{name}0", out)
+        cells(node[3], points, rows[right], f"{name}1", out)
 
     def run(batches):
         for batch in batches:
             vectors = batch.column("vector").to_pylist()
-            blocks, points = [], []
-            for v in vectors:
-                n = len(v) // 4
-                p = (_unit(_matrix([v], n)) @ directions(n))[0]
-                blocks.append(f"{n}:{cell(cuts.get(n), p)}")
-                points.append(p.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.string()), pa.array(points, pa.list_(pa.float64()))], names=[*batch.schema.names, "block", "point"])
+            sizes = np.array([_parts(v, kind) for v in vectors], np.int64)
+            blocks, points = [""] * len(vectors), np.zeros((len(vectors), M))
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                points[rows] = _unit(_matrix([vectors[r] for r in rows.tolist()], n, kind)) @ directions(n)
+                cells(cuts.get(n), points, rows, f"{n}:", blocks)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, points.size + 1, M), pa.int32()), pa.array(points.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.string()), lists], names=[*batch.schema.names, "block", "point"])
 
     return run
 
@@ -210,7 +226,9 @@ def _placed(cuts: dict[int, list]):
 def search(vectors: DataFrame, queries_where: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For the rows that queries_where (over vec_id) selects, their k nearest: query_id, rank, vec_id, score."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "projection-search")
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>").alias("v")).mapInArrow(_packed, "vec_id bigint, vector binary")
+    kind = "<f8" if dict(vectors.dtypes)[vector_col] == "array<double>" else "<f4"
+    own = vectors[vector_col].cast("array<double>" if kind == "<f8" else "array<float>")
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), own.alias("v")).mapInArrow(_packed(kind), "vec_id bigint, vector binary")
     rows = scratch.write(rows, "rows")
     # The k + 1 least ids of equal vectors, by salted lists, so that a vector of many copies is no hot group.
     least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
@@ -218,14 +236,16 @@ def search(vectors: DataFrame, queries_where: str, k: int = 5, id_col: str = "ve
     points = scratch.write(salted.groupBy("vector").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")), "points")
     count = points.count()
     sample = [bytes(r.vector) for r in points.orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).select("vector").collect()]
-    depth = max(0, math.ceil(math.log2(max(count, 1) / BLOCK_ROWS)))
-    placed = scratch.write(points.mapInArrow(_placed(_cuts(sample, depth)), "vector binary, ids array<bigint>, block string, point array<double>"), "placed")
+    # a block for each core, unless that makes small ones, and no more than BLOCK_ROWS rows in any case
+    blocks = max(count / BLOCK_ROWS, min(spark.sparkContext.defaultParallelism, count / SHARE_ROWS), 1)
+    depth = math.ceil(math.log2(blocks))
+    placed = scratch.write(points.mapInArrow(_placed(_cuts(sample, depth, kind), kind), "vector binary, ids array<bigint>, block string, point array<double>"), "placed")
 
     asking = rows.where(queries_where).select("vec_id", "vector").distinct()
     queries = placed.join(asking.select("vector").distinct(), "vector", "left_semi").select(F.col("vector").alias("query_vector"), "block", "point")
     schema = "query_vector binary, reach double, found array<struct<score:double,vec_id:bigint>>"
     index = placed.select("block", "vector", "ids")
-    go = lambda asked: index.groupBy("block").cogroup(asked.groupBy("q_block")).applyInArrow(lambda a, b: _search(k)(a, b), schema)
+    go = lambda asked: index.groupBy("block").cogroup(asked.groupBy("q_block")).applyInArrow(lambda a, b: _search(k, kind)(a, b), schema)
     home = scratch.write(go(queries.select(F.col("block").alias("q_block"), "query_vector", F.lit(4.0).alias("reach"))), "home")
 
     # One row per block comes to the driver; blocks hold BLOCK_ROWS rows on average.
