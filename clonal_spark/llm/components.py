@@ -33,3 +33,18 @@ def _are_stars(edges: DataFrame) -> bool:
     """Whether every node with an upward edge has one only, to a node without one: components are then read off."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
+def joined_components(known: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components (node, component) of `known` ones and further links (a, b): only links between different components
+    are worked on, as edges between these."""
+    if known is None:
+        return connected_components(links, scratch, name)
+    at = lambda c: known.toDF(c, f"{c}_component")
+    met = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")).where("a <> b").distinct()
+    met = scratch.write(met, f"{name}-edges")
+    if met.isEmpty():
+        return known
+    top = scratch.write(connected_components(met, scratch, name), f"{name}-top")
+    moved = known.join(top.toDF("component", "now"), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return scratch.write(moved.unionByName(top), f"{name}-all")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonal_spark.llm import _text
-from clonal_spark.llm.components import connected_components
+from clonal_spark.llm.components import joined_components
 from clonal_spark.session import Scratch
 
 SHINGLE = 5
@@ -265,9 +265,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = _verified(likely, sets, scratch, "links-0")
 
     # Members of a bucket in different components: first their nearest few, so that families close up; then all that are left.
-    tested = likely
+    tested, now = likely, None
     for wave, top in enumerate((4, None), 1):
-        now = connected_components(links, scratch, f"wave-{wave}")
+        now = joined_components(now, links, scratch, f"wave-{wave}")
         placed = shared.join(now.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         placed = scratch.write(placed.select("key", "doc_id", "component"), f"placed-{wave}")
         split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
@@ -280,12 +280,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         apart = apart.select("key", "doc_id", "n_shingles", "registers", "bands", "component")
         made = apart.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(top), "u bigint, v bigint").distinct()
         rest = scratch.write(made.join(tested, ["u", "v"], "left_anti"), f"rest-{wave}")
-        links = links.unionByName(_verified(rest, sets, scratch, f"links-{wave}"))
+        links = _verified(rest, sets, scratch, f"links-{wave}")
         tested = tested.unionByName(rest)
         scratch.drop(f"placed-{wave}")
-    links = links.unionByName(copies)
-
-    found = connected_components(links, scratch, "all").toDF("doc_id", "component_id")
+    found = joined_components(now, links, scratch, "all").toDF("doc_id", "component_id")
+    # copies follow their class's least document, so a class of very many is no star
+    followed = copies.join(found.toDF("a", "component_id"), "a", "left").select(F.col("b").alias("doc_id"), F.coalesce("component_id", "a").alias("component_id")).distinct()
+    found = found.unionByName(followed)
     result = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
