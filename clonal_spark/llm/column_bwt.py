@@ -10,8 +10,10 @@ Fragments that share an anchor but differ are a collection for column-wise const
 at the anchor, and in each round, from the last column to the first, one symbol of every fragment is put in
 front of its suffix. The collection's order is updated by a stable sort on that symbol, and common prefixes
 of neighbours by range minima, so each round is a sequential pass. Columns lie in an external file of the
-task (deleted with it); in memory there are some 40 bytes per fragment, so an anchor that very many texts
-share is one long sequential job and no memory problem. A suffix whose common prefix with a neighbour in
+task (deleted with it); in memory there are some 40 bytes per fragment. An anchor of more than SPLIT different
+fragments is not one task's: its windows are parted by where they start, into halves. All windows of a half share the
+bytes between its last start and its first end, so these bytes are a key of their own; fragments are cut to what
+the half can cover, equal ones become one again, and halves of too many fragments are halved further. A suffix whose common prefix with a neighbour in
 the order reaches a length marks a window that also starts in another fragment.
 
 Defined results: texts are UTF-8 bytes, a null is empty; matches never cross documents; a repeated row is
@@ -40,6 +42,8 @@ PASSAGE = 200
 WIDTH = LENGTH - SEED + LENGTH
 #: Fragments after which a collection is worked on, at the next anchor.
 COLLECTION = 60_000
+#: Different fragments of an anchor that one task takes.
+SPLIT = 20_000
 
 
 def _prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +253,73 @@ def _constructed(lengths: tuple[int, ...]):
     return run
 
 
+def _hash(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(p if isinstance(p, bytes) else int(p).to_bytes(8, "little", signed=True) for p in parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _halved(lengths: tuple[int, ...]):
+    """Fragments (name, part, lo, hi, from_column, bytes), whose windows start in [lo, hi), to what either half of these
+    starts can cover: name, part and child (names of the half's key and of the cut fragment), and the same columns."""
+    short, longest = min(lengths), max(lengths)
+    names = ["name", "part", "child", "lo", "hi", "from_column", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, part, lo, hi, first, raw in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                mid, end = (lo + hi) // 2, first + len(raw)
+                for a, b in ((lo, mid), (mid, hi)):
+                    if a == b or first > b - 1 or end < a + short:
+                        continue
+                    left, right = max(first, a), min(end, b - 1 + longest)
+                    key = _hash(part, a, raw[b - 1 - first : a + short - first])
+                    cut = raw[left - first : right - first]
+                    rows.append((name, key, _hash(key, left, cut), a, b, left, cut))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _split(items: DataFrame, scratch: Scratch, lengths: tuple[int, ...]) -> DataFrame:
+    """Marks (fragment, length, low, high) of fragments of hot anchors: name, part, lo, hi, from_column, bytes."""
+    short, links, marks = min(lengths), [], []
+    row = lambda rows, length, high: rows.select("child", F.lit(length).alias("length"), F.col("from_column").alias("low"), high.cast("int").alias("high"))
+    while True:
+        level = len(links)
+        halves = scratch.write(items.mapInArrow(_halved(lengths), "name bigint, part bigint, child bigint, lo int, hi int, from_column int, bytes binary"), f"halves-{level}")
+        links.append(halves.select("name", "child"))
+        same = halves.groupBy("part", "child").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("lo", "hi", "from_column", "bytes")])
+        same = scratch.write(same, f"same-{level}")
+        several = same.join(same.groupBy("part").agg(F.count("*").alias("fragments")).where("fragments > 1"), "part")
+        last = lambda length: F.least(F.col("hi") - 1, F.col("from_column") + F.length("bytes") - length)
+        # cut fragments that stand more than once, and of a single start all that share its shortest window
+        found = [row(same.where((F.col("n") > 1) & (last(x) >= F.col("from_column"))), x, last(x) + x) for x in lengths]
+        found.append(row(several.where("hi - lo = 1"), short, F.col("lo") + short))
+        rest = several.where("hi - lo > 1")
+        built = rest.where(F.col("fragments") <= SPLIT).select(F.col("part").alias("seed"), F.col("child").alias("fragment"), "from_column", "bytes")
+        found.append(_built(built, lengths).withColumnRenamed("fragment", "child"))
+        union = found[0]
+        for f in found[1:]:
+            union = union.unionByName(f)
+        marks.append(scratch.write(union, f"marks-{level}"))
+        items = rest.where(F.col("fragments") > SPLIT).select(F.col("child").alias("name"), "part", "lo", "hi", "from_column", "bytes")
+        if items.isEmpty():
+            break
+    out = None
+    for link, own in zip(reversed(links), reversed(marks), strict=True):
+        own = own if out is None else own.unionByName(out.withColumnRenamed("name", "child"))
+        out = link.join(own, "child").select("name", "length", "low", "high").distinct()
+    return out.withColumnRenamed("name", "fragment")
+
+
+def _built(cut: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Column-wise construction over (seed, fragment, from_column, bytes)."""
+    parted = cut.repartition("seed").sortWithinPartitions("seed")
+    return parted.mapInArrow(_constructed(lengths), "fragment bigint, length int, low int, high int")
+
+
 def spans_of(docs: DataFrame, scratch: Scratch, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
     """Rows (row_key, length, low, high) of covered bytes, from docs (row_key, text). Spans may overlap."""
     before, longest = min(lengths) - SEED, max(lengths)
@@ -257,13 +328,19 @@ def spans_of(docs: DataFrame, scratch: Scratch, lengths: tuple[int, ...] = (LENG
     classes = found.groupBy("fragment").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min_by("place", "row_key").alias("place"))
     several = classes.groupBy("seed").agg(F.count("*").alias("fragments")).where("fragments > 1")
     classes = classes.join(several, "seed", "left").where("n > 1 OR fragments > 1")
-    classes = scratch.write(classes.select("fragment", "seed", "n", "row_key", "place", F.col("fragments").isNotNull().alias("several")), "classes", compression="none")
-    wanted = classes.where("several").groupBy("row_key").agg(F.collect_list(F.struct("seed", "fragment", "place")).alias("wanted"))
-    # rows with the same id and text are equal, so any one of them serves
-    texts = docs.join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", "wanted")
-    cut = texts.mapInArrow(_cut(lengths), "seed bigint, fragment bigint, from_column int, bytes binary")
-    parted = cut.repartition("seed").sortWithinPartitions("seed")
-    marked = parted.mapInArrow(_constructed(lengths), "fragment bigint, length int, low int, high int")
+    classes = scratch.write(classes.select("fragment", "seed", "n", "row_key", "place", F.coalesce("fragments", F.lit(0)).alias("fragments")), "classes", compression="none")
+
+    def cut(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("row_key").agg(F.collect_list(F.struct("seed", "fragment", "place")).alias("wanted"))
+        # rows with the same id and text are equal, so any one of them serves
+        texts = docs.join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", "wanted")
+        return texts.mapInArrow(_cut(lengths), "seed bigint, fragment bigint, from_column int, bytes binary")
+
+    marked = _built(cut(classes.where(F.col("fragments").between(1, SPLIT))), lengths)
+    hot = classes.where(F.col("fragments") > SPLIT)
+    if not hot.isEmpty():
+        start = [F.col("fragment").alias("name"), F.col("seed").alias("part"), F.lit(0).alias("lo"), F.lit(before + 1).alias("hi"), "from_column", "bytes"]
+        marked = marked.unionByName(_split(cut(hot).select(*start), scratch, lengths))
     # a text that stands more than once is covered as a whole
     whole = classes.where("n > 1").select("fragment", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length")).where((F.col("length") < longest) | (F.col("fragment") % 2 != 0))
     whole = whole.select("fragment", "length", F.lit(0).alias("low"), (F.lit(before) + F.col("length")).alias("high"))

@@ -59,3 +59,19 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
     got = {r.doc_id: r for r in column_bwt.removals(docs, passages=SHORT).collect()}
     assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans, got[1].n_passage_bytes) == (len(text), 1200, 2, 1200) and got[2].n_removed == 0
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_hot_anchors_are_parted(spark, monkeypatch, most):
+    """The same result where anchors of more than a few fragments are parted by the starts of their windows."""
+    monkeypatch.setattr(column_bwt, "SPLIT", most)
+    passage = some_text(520, 77)
+    rng = random.Random(78)
+    texts = [some_text(rng.randrange(0, 200), 80 + i) + passage[rng.choice([0, 0, 30, 140]) : rng.choice([520, 520, 410, 330])] + some_text(rng.randrange(0, 200), 200 + i) for i in range(40)]
+    texts += mixed_texts(4, 25) + [passage, passage, "p" + passage, "ab" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in column_bwt.removals(docs, passages=SHORT).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == dict(enumerate(brute_repeats(texts)))
+    assert {i: r.n_passage_bytes for i, r in got.items()} == {i: c[1] for i, c in enumerate(brute_covered(texts, SHORT))}
+    cut = {r.doc_id: r.text for r in column_bwt.apply(docs, length=300).collect()}
+    assert cut == {i: None if t is None else c[3].decode() for i, (t, c) in enumerate(zip(texts, brute_covered(texts, 300), strict=True))}
