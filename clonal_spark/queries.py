@@ -370,7 +370,8 @@ def fit_distributed(spark, sf):
 
 
 def simulate_cohort(spark, sf):
-    return si.simulate(si.params_table(spark, 20))
+    """A tumour for each five suppliers, 20 at least."""
+    return si.simulate(si.params_table(spark, max(20, _table(spark, sf, "supplier").count() // 5)))
 
 
 def augment_cohort(spark, sf):
