@@ -32,12 +32,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _obs(spark, sf):
-    """Kept, as steps of a fit read it several times; Spark finds it again by its plan."""
-    return ob.from_lineitem(spark, sf).persist()
+    """Not kept: a query that reads it several times finds its shuffles again within one plan."""
+    return ob.from_lineitem(spark, sf)
 
 
 def _whole_cohort(spark, sf):
-    return ob.from_lineitem(spark, sf, tumour="supplier").persist()
+    return ob.from_lineitem(spark, sf, tumour="supplier")
 
 
 def _params(spark, sf):
@@ -351,7 +351,7 @@ def _fit(name: str) -> Query:
 
 def bic_sweep_1iter(spark, sf):
     """BIC of one binomial expectation step for K = 1..10."""
-    obs = _obs(spark, sf).persist()
+    obs = _obs(spark, sf)
     out = None
     for k in range(1, 11):
         params = mo.quantile_init(obs, k)
