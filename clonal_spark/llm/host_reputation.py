@@ -73,7 +73,9 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict and its host's figures. Only ids and urls are read."""
+    """One row per page: page_id, host, path, rule, verdict and its host's figures. Only ids and urls are read. A label is
+    a page's outcome where its doc_id equals the page_id: the tables share numbers, and nothing else says which page a
+    label belongs to. A page of several labels counts each; null ids have none."""
     url = pages[url_col].cast("string")
     parsed = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     known = reputations(parsed.select("page_id", "host"), labels)

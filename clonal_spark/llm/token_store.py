@@ -39,6 +39,8 @@ END_ID = 0
 #: The cut needs a hash below 2 ** 32 / MEAN_IDS and MIN_IDS since the last; MAX_IDS cuts in any case.
 WINDOW, MIN_IDS, MEAN_IDS, MAX_IDS = 8, 256, 768, 8192
 DIGEST_BYTES = 16
+#: Documents whose leaves are one row on the way to a shard's root.
+BLOCK_LEAVES = 4096
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
@@ -268,11 +270,17 @@ def write_store(docs: DataFrame, scratch: Scratch, tokenizer_file: str, id_col:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """A row per shard. Leaves are 16 bytes a document of one shard, of its doc_id, start and root; the root is what is kept."""
+    """A row per shard. Leaves are digests of a document's doc_id, start and root, in their order; BLOCK_LEAVES of them at a
+    time have a root, and the shard's root is over these, so no row grows with a shard's documents but by 16 bytes a block."""
+    order = Window.partitionBy("shard").orderBy("start", F.col("doc_id").cast("string").asc_nulls_first(), "root")
     leaf = F.struct("start", F.col("doc_id").cast("string").alias("doc_id"), "root")
-    manifest = recipes.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sort_array(F.collect_list(leaf)).alias("leaves"))
+    placed = recipes.select("shard", "doc_id", "n_tokens", leaf.alias("leaf"), F.floor((F.row_number().over(order) - 1) / BLOCK_LEAVES).alias("block"))
+    blocks = placed.groupBy("shard", "block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sort_array(F.collect_list("leaf")).alias("leaves"))
     root = F.udf(lambda leaves: merkle_root([hashlib.sha256(f"{r.start} {r.doc_id!r} ".encode() + bytes(r.root)).digest()[:DIGEST_BYTES] for r in leaves]), "binary")
-    return manifest.withColumn("root", root("leaves")).drop("leaves")
+    over = F.udf(lambda roots: merkle_root([bytes(r.root) for r in roots]), "binary")
+    rooted = blocks.select("shard", "first_doc", "last_doc", "n_docs", "n_ids", F.struct("block", root("leaves").alias("root")).alias("part"))
+    shards = rooted.groupBy("shard").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids"), F.sort_array(F.collect_list("part")).alias("parts"))
+    return shards.withColumn("root", over("parts")).drop("parts")
 
 
 def _check_manifest(spark: SparkSession, scratch: Scratch, recipes: DataFrame) -> None:
