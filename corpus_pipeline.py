@@ -1,6 +1,8 @@
 """A corpus pipeline over `documents`: quality rules, near-dedup, substring dedup, mixing, tokens.
 
-Each stage works on all that its predecessor kept, which run() writes to the shared folder and reads again."""
+Each stage works on all that its predecessor kept, which run() writes to the shared folder and reads again. All stages
+but the last keep the columns of documents and any others, whatever their names; an empty table stays one; repeated rows
+are rows of their own; texts of any length are taken whole."""
 
 from __future__ import annotations
 
@@ -12,28 +14,31 @@ from clonal_spark.session import Scratch, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. A null or empty text has no word and goes; ids take no part."""
     ship_package(spark)
     return repetition.apply(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id."""
+    """One document of each group of near copies: the one with the least doc_id. Rows with that doc_id all stay, as do
+    null ids and texts without a word."""
     return minhash.apply(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that long repeated strings cover; n_chars follows the text."""
+    """Documents without the bytes that repeated strings of 400 bytes cover; n_chars follows the text. A null text stays
+    null; repeated rows lose what they share, as any two documents do."""
     return column_bwt.apply(docs, n_chars_col="n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for. A null source is a source of its own; a text
+    without a word has size 0 and is not taken."""
     return mixing.apply(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's ids and of their decoded bytes."""
+    """Digests of each document's ids and of their decoded bytes; a null text is an empty one."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
