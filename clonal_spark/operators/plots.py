@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from clonal_spark.operators.mixture import vaf
 from clonal_spark.operators.phylo import nesting_order
 
+# The colours of clones, in their order (blue, vermillion, green, purple, orange, sky, yellow, black, indigo, cyan, teal, wine).
+CLONE_PALETTE = ["#0072B2", "#D55E00", "#009E73", "#CC79A7", "#E69F00", "#56B4E9", "#F0E442", "#000000", "#332288", "#88CCEE", "#44AA99", "#882255"]
+
+
+def clone_colours(clones: DataFrame, k: str = "k") -> DataFrame:
+    """Rows with the colour of their clone; clones beyond the palette begin it anew. A null or negative (unassigned)
+    clone has none."""
+    place = F.pmod(F.col(k), F.lit(len(CLONE_PALETTE))).cast("int")
+    return clones.withColumn("colour", F.when(F.col(k) >= 0, F.element_at(F.array(*map(F.lit, CLONE_PALETTE)), place + 1)))
+
 
 def vaf_histogram(obs: DataFrame, assigned: DataFrame, bins: int = 50) -> DataFrame:
     """Counts by clone and bin over [0, 1]; 1 itself is in the last bin."""

@@ -296,6 +296,11 @@ def fasta_index(spark, sf):
     return ob.fasta_index(spark, scratch.path("index"))
 
 
+def plot_colours(spark, sf):
+    """Colours of clones numbered -1 to 48, each with its mutations."""
+    return pl.clone_colours(_table(spark, sf, "part").groupBy((F.col("p_size") - 2).cast("int").alias("k")).agg(F.count("*").alias("n")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -303,7 +308,7 @@ QUERIES: dict[str, Query] = {
         meta_features_whole, feature_vectors, bic_sweep_cohort, min_bic_select, merge_test, merge_places, merge_prune, merge_prune_assign, dirichlet_update, dirichlet_kl, stick_weights,
         digamma_depth, logsumexp_alt, em_distributed_3, em_trace_3, em_grouped_3, mfvi_distributed_2, tail_weight_em, artefact_reassign, plot_tree_places, tree_depth_chain,
         tree_enumeration_score, head_suffstats_all, head_vectors_all, reward_average, running_window_stats, fit_tasks, unique_tumours, mean_attributions, label_remap, store_roundtrip,
-        store_pruned, manifest_roundtrip, variant_table_roundtrip, fasta_index,
+        store_pruned, manifest_roundtrip, variant_table_roundtrip, fasta_index, plot_colours,
     )
 }
 
@@ -455,4 +460,5 @@ ORACLE_SQL: dict[str, str] = {
     "manifest_roundtrip": "SELECT count(*) AS n_tumours, 7::BIGINT AS seed, 'quantum' AS kind FROM supplier",
     "variant_table_roundtrip": "SELECT 'chr' || (p_size % 22 + 1) AS chrom, p_partkey AS start, p_partkey AS stop, round(p_size / 100::DOUBLE, 9) AS vaf FROM part",
     "fasta_index": "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'chr' ELSE '' END || n_nationkey AS name, (n_nationkey * 1000 + 5)::BIGINT AS length FROM nation WHERE n_nationkey BETWEEN 1 AND 22",
+    "plot_colours": f"SELECT (p_size - 2)::INT AS k, count(*) AS n, CASE WHEN p_size >= 2 THEN {pl.CLONE_PALETTE}[((p_size - 2) % {len(pl.CLONE_PALETTE)} + 1)::INT] END AS colour FROM part GROUP BY p_size",
 }

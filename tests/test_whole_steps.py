@@ -135,3 +135,11 @@ def test_store_reads_some_folders(spark, tmp_path):
     some = ob.read_tumours(spark, str(tmp_path / "t"), [3, 67, 150])
     assert {r.tumour_id for r in some.collect()} == {3, 67, 150} and "PartitionFilters: [folder" in some._jdf.queryExecution().toString().replace("isnotnull(folder", "folder")
     assert ob.read_tumours(spark, str(tmp_path / "t")).count() == 400
+
+
+def test_colours_begin_anew(spark):
+    from clonal_spark.operators import plots as pl
+
+    got = {r.k: r.colour for r in pl.clone_colours(spark.createDataFrame([(k,) for k in (-1, 0, 11, 12, 25, None)], "k int")).collect()}
+    p = pl.CLONE_PALETTE
+    assert got == {-1: None, 0: p[0], 11: p[11], 12: p[0], 25: p[1], None: None}
