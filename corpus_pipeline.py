@@ -26,9 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeated strings of 400 bytes cover; n_chars follows the text. A null text stays
-    null; repeated rows lose what they share, as any two documents do."""
-    return column_bwt.apply(docs, n_chars_col="n_chars")
+    """Documents without the bytes that repeated strings of 200 bytes cover, so that passages of over 50 words go; n_chars
+    follows the text. A null text stays null; repeated rows lose what they share, as any two documents do."""
+    return column_bwt.apply(docs, n_chars_col="n_chars", length=column_bwt.PASSAGE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
