@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_left(texts):
-    return [left for *_, left in brute_covered(texts)]
+    return [left for *_, left in brute_covered(texts, column_bwt.PASSAGE)]
 
 
 def brute_repeats(texts):
