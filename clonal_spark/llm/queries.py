@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonal_spark.llm import bpe, chaining, column_bwt, gru_lm, host_reputation, minhash, mixing, projection_search, repetition, token_store, toxicity
+from clonal_spark.llm import alignment, bpe, chaining, column_bwt, gru_lm, host_reputation, minhash, mixing, projection_search, repetition, token_store, toxicity
 from clonal_spark.session import Scratch
 
 
@@ -60,9 +60,13 @@ def op11_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_event_sweep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_collinear_chaining, op2_content_addressed_store, op3_host_reputation, op4_projection_search, op5_column_bwt, op6_repetition_coverage, op7_capped_water_filling, op8_setsketch_near_dedup, op9_duckdb_bpe, op10_gru_language_model,
-    op11_instance_toxicity,
+    op11_instance_toxicity, op12_event_sweep_alignment,
 )}
 
 #: Word pattern of the contracts.
