@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBSERVATIONS = "tumour_id long, mut_id long, sample_id string, alt double, depth double, adj double, total_cn double"
@@ -27,15 +27,25 @@ def from_lineitem(spark: SparkSession, sf_dir: str, tumour: str = "none", sample
     tumour, mutations that lack a sample are left out, so that its table is dense; suppliers keep all samples.
     subclonal: odd parts have another copy number in the samples of odd first letters."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mut_id"), "p_size")
     tumour_id = F.lit(0).cast("long") if tumour == "none" else F.col("l_suppkey").cast("long")
     sample_id = F.year("l_shipdate").cast("string") if sample == "year" else F.col(sample)
-    reads = rows.select(tumour_id.alias("tumour_id"), F.col("l_partkey").alias("mut_id"), sample_id.alias("sample_id"), "l_quantity", "l_discount")
-    obs = reads.groupBy("tumour_id", "mut_id", "sample_id").agg(F.sum("l_quantity").alias("depth"), F.sum(F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0.0)).alias("alt"))
+    obs = read_counts(rows, tumour_id, sample_id)
     if tumour == "none":
-        samples = F.broadcast(reads.agg(F.countDistinct("sample_id").alias("n_samples")))  # one row
+        samples = F.broadcast(rows.agg(F.countDistinct(sample_id).alias("n_samples")))  # one row
         whole = obs.groupBy("mut_id").agg(F.count("*").alias("n")).crossJoin(samples).where("n = n_samples").select("mut_id")
         obs = obs.join(whole, "mut_id", "left_semi")
+    return with_copy_numbers(obs, spark.read.parquet(f"{sf_dir}/part.parquet"), subclonal)
+
+
+def read_counts(rows: DataFrame, tumour_id: Column, sample_id: Column) -> DataFrame:
+    """Depth and alt of line items by tumour, mutation and sample. Counts of several tables add up to those of their union."""
+    reads = rows.select(tumour_id.alias("tumour_id"), F.col("l_partkey").alias("mut_id"), sample_id.alias("sample_id"), "l_quantity", "l_discount")
+    return reads.groupBy("tumour_id", "mut_id", "sample_id").agg(F.sum("l_quantity").alias("depth"), F.sum(F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0.0)).alias("alt"))
+
+
+def with_copy_numbers(obs: DataFrame, part: DataFrame, subclonal: bool = False) -> DataFrame:
+    """Observations of counts: a part's size gives its copy number, and that the adjustment factor."""
+    part = part.select(F.col("p_partkey").alias("mut_id"), "p_size")
     other = (F.ascii("sample_id") % 2) * (F.col("mut_id") % 2) if subclonal else F.lit(0)
     cn = (F.col("p_size") + other) % 4 + 1
     return obs.join(part, "mut_id").select("tumour_id", "mut_id", "sample_id", "alt", "depth", (F.lit(2.0) / (cn * F.lit(0.8) + F.lit(0.4))).alias("adj"), cn.cast("double").alias("total_cn"))
