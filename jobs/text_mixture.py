@@ -33,8 +33,9 @@ def _folder(folders: int) -> Column:
 
 
 def _write(df: DataFrame, path: str, folders: int) -> DataFrame:
-    df.select("*", _folder(folders)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    rows = df.select("*", _folder(folders))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def assigned(resp: DataFrame) -> DataFrame:
