@@ -5,12 +5,14 @@ that it holds), and the document's is the noisy-or 1 - prod(1 - p). Weights are
 by the gradient of the bags' log-likelihood, so the fitted sentence scores say where a document offends.
 
 Features are a word's hash and those of its first PREFIXES bytes (inflected and joined words share these). Which of them
-count is chosen over all training rows: those that a share of CANDIDATE of the documents labelled 1 hold, and that
+count is chosen over the training rows: those that a share of CANDIDATE of the documents labelled 1 hold, and that
 the likelihood ratio between the two labels marks with at least EVIDENCE; the FEATURES with the most evidence stay.
 Candidates are at most the mean number of features of a document over CANDIDATE, whatever the corpus' size.
 
-Training goes over all labelled training rows: bags are written once as indexes of chosen features, and each of ITERATIONS
-steps is one job that sums gradients per partition and feature before the shuffle; FEATURES + 1 sums reach the driver.
+Training takes all labelled training rows up to SAMPLE of them, beyond that those whose id's hash falls below the bound that
+leaves about SAMPLE. So the labels that meet the texts are broadcast with a known bound, and no text is shuffled. Bags are
+written once as indexes of chosen features, and each of ITERATIONS steps is one job that sums gradients per partition and
+feature before the shuffle; FEATURES + 1 sums reach the driver. Scoring covers every row.
 
 Sentences end behind `.`, `!` or `?` that white space or the end follows, and at a line feed; words are runs of bytes that
 are no ASCII white space, sign or punctuation, with A-Z lower-cased.
@@ -37,6 +39,8 @@ from clonal_spark.session import Scratch
 PREFIXES = (4, 5, 6)
 CANDIDATE, LEAST, EVIDENCE, FEATURES = 0.002, 3, 14.0, 4096
 ITERATIONS, RATE, DECAY = 24, 0.5, 1e-4
+#: Labelled rows that are learnt from: all up to this number, about this number of more.
+SAMPLE = 200_000
 #: Sentences of a bag without labels in sight: the score where nothing can be learnt.
 PRIOR = 0.01
 
@@ -266,7 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     sc, name = docs.sparkSession.sparkContext, uuid.uuid4().hex
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most"))
     marks = marks.where("label = most AND label IN (0, 1)").select("id", F.col("label").cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, "id").select("text", "label")
+    marks = scratch.write(marks, "marks")
+    share = SAMPLE / max(marks.count(), 1)
+    if share < 1:
+        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id").select("text", "label")
     rows = scratch.write(rows, "labelled", compression="zstd")
     ends = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positives, negatives = ends.get(1, 0), ends.get(0, 0)

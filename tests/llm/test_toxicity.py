@@ -152,3 +152,16 @@ def test_hard_rows(spark):
     assert all(0 <= r.score <= 1 for r in got) and {r.n_sentences for r in got if r.doc_id == 4} == {50_000}
     none = toxicity.score_documents(spark.createDataFrame(rows, kind), labels.where("toxic = 0")).collect()
     assert {round(r.worst_score, 9) for r in none} == {toxicity.PRIOR}
+
+
+def test_sample_of_labels(spark, fitted, monkeypatch):
+    """More labelled rows than the bound: a part of them is learnt from, by their ids, and every row is scored."""
+    rows, labels, docs, marks, _ = fitted
+    monkeypatch.setattr(toxicity, "SAMPLE", 700)
+    scratch = Scratch(spark, "test-toxicity-sample")
+    model = toxicity.train(docs, marks, scratch)
+    taught = spark.read.parquet(scratch.path("labelled")).count()
+    assert 600 < taught < 800
+    truth = {i: t for i, _, t in labels}
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.97
