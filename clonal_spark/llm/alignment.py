@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonal_spark.llm import _text
-from clonal_spark.llm._pieces import Ragged
+from clonal_spark.llm._pieces import Pieces, Ragged
 from clonal_spark.llm.token_store import Encoder
 from clonal_spark.session import Scratch
 
 #: Tokens of a block of events; tokens that the machine works on at once; characters of a text that B encodes at once.
-BLOCK, HELD, LONG = 4096, 400_000, 200_000
+BLOCK, HELD, LONG = 4096, 200_000, 200_000
+#: Bytes and rows of text that are encoded at once; pieces whose ids a worker remembers.
+SLAB, ROWS, REMEMBERED = 1 << 20, 1000, 300_000
 #: Pairs of ids whose counts are broadcast at once.
 SLICE_PAIRS = 1 << 20
 
@@ -64,7 +66,7 @@ class ByteLevel:
     """Tokenizer A: ids of slabs, and each id's bytes."""
 
     def __init__(self, file: str):
-        self.encoder = Encoder(file)
+        self.encoder = Encoder(file, memory=REMEMBERED)
         vocabulary, chars = self.encoder.tokenizer.get_vocab(with_added_tokens=False), _characters()
         self.bytes = [b""] * self.encoder.tokenizer.get_vocab_size()
         for token, i in vocabulary.items():
@@ -75,6 +77,12 @@ class ByteLevel:
         ids, counts = self.encoder.encode(slab.data, slab.offsets)
         return ids.astype(np.int64), counts
 
+    def forget(self) -> None:
+        """Drops the remembered pieces: a worker that has encoded may go on with tasks that do not."""
+        if self.encoder.pieces.count:
+            self.encoder.pieces, self.encoder.ids = Pieces(), Ragged()
+            _text.release()
+
 
 class SentencePieces:
     """Tokenizer B: the same. The slab's texts start with the space that the model puts itself."""
@@ -151,10 +159,13 @@ def _events(a_file: str, b_file: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = tokenizers(a_file, b_file)
         base, made = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
-        for batch in batches:
+        slabs = 0
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).fill_null("")
-            for slab in _text.slabs(pc.binary_join_element_wise(" ", texts, "")):
-                n = len(slab.offsets) - 1
+            for slab in _text.slabs(pc.binary_join_element_wise(" ", texts, ""), SLAB):
+                n, slabs = len(slab.offsets) - 1, slabs + 1
+                if slabs % 16 == 0:
+                    _text.release()
                 found = [side.encode(slab) for side in sides]
                 good = np.diff(slab.offsets) > 1
                 for side, (ids, counts) in zip(sides, found, strict=True):
@@ -169,6 +180,7 @@ def _events(a_file: str, b_file: str, kind: str):
                         doc, offset = np.append(doc, bad), np.append(offset, np.zeros(len(bad), np.int64))
                         packed = pa.concat_arrays([packed, pa.array([b""] * len(bad), pa.binary())])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), names.take(pa.array(doc)), pa.array(offset), pa.array(np.full(len(doc), which, np.int32)), packed], names=["row_key", "doc_id", "offset", "side", "ids"])
+        _text.release()
 
     return run
 
@@ -292,6 +304,7 @@ def _machine(a_file: str, b_file: str, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = tokenizers(a_file, b_file)
+        side_a.forget()
         n_ids = len(side_b.bytes)
         len_a, len_b = (np.array([len(x) for x in s.bytes], np.int64) for s in (side_a, side_b))
         writer = Writer(len(side_a.bytes) - 1, n_ids - 1)
@@ -347,6 +360,7 @@ def _machine(a_file: str, b_file: str, kind: str):
                 last.sums, last.a, last.b = sums[-1], a[used_a:], b[used_b:]
         if last.key is not None:
             yield finished(last)
+        _text.release()
 
     return run
 

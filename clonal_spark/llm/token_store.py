@@ -48,7 +48,8 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece once while it is remembered."""
 
-    def __init__(self, file: str, plain_added: bool = True):
+    def __init__(self, file: str, plain_added: bool = True, memory: int = _pieces.MEMORY_PIECES):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -83,8 +84,8 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joined ids of a slab's texts, and how many each has."""
-        if self.pieces.count > _pieces.MEMORY_PIECES:
-            self.pieces, (self.ids,) = _pieces.forgetting(self.pieces, [self.ids], _pieces.MEMORY_PIECES)
+        if self.pieces.count > self.memory:
+            self.pieces, (self.ids,) = _pieces.forgetting(self.pieces, [self.ids], self.memory)
         starts, first = _pieces.cut(data, offsets)
         ends = np.append(starts[1:], len(data))
         h = _pieces.hashed(data, starts, ends)

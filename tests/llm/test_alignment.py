@@ -129,7 +129,7 @@ def test_small_blocks_and_slices(spark, known, monkeypatch):
                     def run(batches):
                         alignment.BLOCK, alignment.HELD = block, held
                         yield from inner(batches)
-                        alignment.BLOCK, alignment.HELD = 4096, 400_000
+                        alignment.BLOCK, alignment.HELD = 4096, 200_000
 
                     return run
 
