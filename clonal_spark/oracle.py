@@ -34,7 +34,7 @@ CTES: dict[str, str] = {
     "tree": """SELECT m.tumour_id, m.k, CASE WHEN m.k = r.k THEN -1 ELSE coalesce(b.other, r.k) END AS parent FROM means m JOIN places r ON r.tumour_id = m.tumour_id AND r.place = 0
         LEFT JOIN (SELECT n.tumour_id, n.k, arg_min(n.other, struct_pack(a := o.mean, b := n.other)) AS other FROM nested n JOIN means x ON x.tumour_id = n.tumour_id AND x.k = n.k
                    JOIN means o ON o.tumour_id = n.tumour_id AND o.k = n.other WHERE nested AND o.mean > x.mean GROUP BY 1, 2) b ON b.tumour_id = m.tumour_id AND b.k = m.k""",
-    "centers7": "SELECT 0::BIGINT AS tumour_id, l_suppkey % 7 AS k, l_returnflag AS sample_id, sum(CASE WHEN l_discount >= 0.05::DOUBLE THEN l_quantity ELSE 0.0::DOUBLE END) / sum(l_quantity) AS center FROM lineitem WHERE l_quantity < 5 + 6 * (l_suppkey % 7) GROUP BY 1, 2, 3",
+    "centers7": "SELECT 0::BIGINT AS tumour_id, l_suppkey % 7 AS k, l_returnflag AS sample_id, sum(CASE WHEN round(l_discount * 100) >= 2 + l_suppkey % 7 THEN l_quantity ELSE 0.0::DOUBLE END) / sum(l_quantity) AS center FROM lineitem GROUP BY 1, 2, 3",
     "labels": "SELECT (p_size % 5)::BIGINT AS tumour_id, p_partkey AS mut_id, ascii(substring(p_brand, 7, 1)) % 6 AS true_k, length(p_type) % 5 - 1 AS est_k, 5 AS n_true FROM part",
     "valid": "SELECT * FROM labels WHERE est_k >= 0 AND true_k < n_true",
     "cells": "SELECT tumour_id, true_k, est_k, count(*) AS n FROM valid GROUP BY 1, 2, 3",
@@ -60,6 +60,25 @@ for _i in range(3):  # unrolled steps
     CTES[f"params_{_i + 1}"] = f"SELECT tumour_id, k, sample_id, {_clip('sum(r * alt) / greatest(sum(r * depth), 1e-10::DOUBLE)', '1e-6::DOUBLE', '1 - 1e-6::DOUBLE')} AS center FROM obs JOIN resp_{_i} USING (tumour_id, mut_id) GROUP BY 1, 2, 3"
     CTES[f"weights_{_i + 1}"] = f"SELECT tumour_id, k, ln(greatest(avg(r), 1e-10::DOUBLE)) AS log_pi FROM resp_{_i} GROUP BY 1, 2"
 
+
+
+def unrolled(k: int, steps: int, obs: str = "obs") -> str:
+    """Expressions quantiles, params_i, weights_i and resp_i of EM steps at a fixed K over all tumours of obs."""
+    low, high = "1e-6::DOUBLE", "1 - 1e-6::DOUBLE"
+    out = [
+        f"quantiles AS (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(repr(i / (k + 1)) for i in range(1, k + 1))}]) AS q FROM {obs} GROUP BY 1, 2)",
+        f"params_0 AS (SELECT tumour_id, sample_id, i - 1 AS k, {_clip('q[i]', low, high)} AS center FROM quantiles, (SELECT unnest(range(1, {k + 1})) AS i))",
+    ]
+    for i in range(steps):
+        weight, joined = (f"ln(1 / {k}::DOUBLE)", "") if not i else ("log_pi", f" JOIN weights_{i} USING (tumour_id, k)")
+        out.append(f"""liks_{i} AS (SELECT tumour_id, mut_id, k, sum({_BINOMIAL}) AS log_lik FROM (SELECT *, {_MU} AS mu FROM {obs} JOIN params_{i} USING (tumour_id, sample_id)) GROUP BY 1, 2, 3),
+logs_{i} AS (SELECT tumour_id, mut_id, k, log_lik + {weight} AS log_r FROM liks_{i}{joined}),
+resp_{i} AS (SELECT tumour_id, mut_id, k, e / sum(e) OVER w AS r, top + ln(sum(e) OVER w) AS ll FROM (SELECT *, exp(log_r - top) AS e FROM (SELECT *, max(log_r) OVER (PARTITION BY tumour_id, mut_id) AS top FROM logs_{i})) WINDOW w AS (PARTITION BY tumour_id, mut_id)),
+params_{i + 1} AS (SELECT tumour_id, k, sample_id, {_clip('sum(r * alt) / greatest(sum(r * depth), 1e-10::DOUBLE)', low, high)} AS center FROM {obs} JOIN resp_{i} USING (tumour_id, mut_id) GROUP BY 1, 2, 3),
+weights_{i + 1} AS (SELECT tumour_id, k, ln(greatest(avg(r), 1e-10::DOUBLE)) AS log_pi FROM resp_{i} GROUP BY 1, 2)""")
+    return ",\n".join(out)
+
+
 _LOGIT = "1 / (1 + exp(-least(greatest({}, -500), 500)))"
 
 

@@ -150,6 +150,13 @@ class GenerativeModel:
         large = [r.tumour_id for r in obs.groupBy("tumour_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tumour_id").orderBy("tumour_id").collect()]
         return self.fit(obs.where(~F.col("tumour_id").isin(large)) if large else obs), {t: self.fit_one(obs.where(F.col("tumour_id") == t)) for t in large}
 
+    def fit_cohort(self, obs: DataFrame, block: int = GROUPED_CELLS):
+        """Tumours of any sizes as one set of long tables (plans.cohort.LongFit): those of up to `block` cells in groups, all
+        larger ones advancing together."""
+        from clonal_spark.plans.cohort import fit_cohort
+
+        return fit_cohort(self, obs, block)
+
     def fit_one(self, obs: DataFrame) -> dict:
         """One large tumour by distributed EM (or its variational form): the selected K as `fit` gives it, see distributed_fit."""
         return distributed_fit(obs, self.config)

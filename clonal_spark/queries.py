@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonal_spark.config import CONFIGS, CloneConfig, EmissionModel
+from clonal_spark.config import CONFIGS, CloneConfig, EmissionModel, NoiseModel, PhyloMode
 from clonal_spark.functions.emission import EMISSIONS
 from clonal_spark.operators import features as fe
 from clonal_spark.operators import mixture as mo
@@ -20,6 +20,7 @@ from clonal_spark.operators import scoring as sg
 from clonal_spark.plans.auto import RoutedModel, explain_table
 from clonal_spark.plans.model import GenerativeModel
 from clonal_spark.plans.router import MetaRouter, head_sums, head_vectors
+from clonal_spark.session import Scratch
 from clonal_spark.sources import observations as ob
 from clonal_spark.sources import simulate as si
 
@@ -32,8 +33,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _obs(spark, sf):
-    """Not kept: a query that reads it several times finds its shuffles again within one plan."""
-    return ob.from_lineitem(spark, sf)
+    """Written once: a query reads it several times, and steps that follow start from its files."""
+    return Scratch(spark, "observations").write(ob.from_lineitem(spark, sf), "dense")
 
 
 def _whole_cohort(spark, sf):
@@ -51,10 +52,10 @@ def _resp(spark, sf, emission: EmissionModel = EmissionModel.BINOMIAL):
 
 
 def _centers7(spark, sf):
-    """Seven clones by supplier, three samples."""
+    """Seven clones by supplier, three samples; a clone's hits are discounts from its own percentage on."""
     k = F.col("l_suppkey") % 7
-    rows = _table(spark, sf, "lineitem").where(F.col("l_quantity") < 5 + 6 * k)
-    hit = F.sum(F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0.0))
+    rows = _table(spark, sf, "lineitem")
+    hit = F.sum(F.when(F.round(F.col("l_discount") * 100) >= 2 + k, F.col("l_quantity")).otherwise(0.0))
     return rows.groupBy(F.lit(0).cast("long").alias("tumour_id"), k.alias("k"), F.col("l_returnflag").alias("sample_id")).agg((hit / F.sum("l_quantity")).alias("center"))
 
 
@@ -362,11 +363,9 @@ def bic_sweep_1iter(spark, sf):
 
 
 def fit_distributed(spark, sf):
-    """One large tumour by distributed EM, all K together."""
-    from clonal_spark.plans.model import distributed_fit
-
-    fit = distributed_fit(_obs(spark, sf), CloneConfig(emission=EmissionModel.BINOMIAL, inference=CONFIGS["quantumclone_v1"].inference, k_prior=CONFIGS["quantumclone_v1"].k_prior))
-    return spark.createDataFrame([(int(fit["K"]), float(fit["ll"]), float(fit["bic"]), int(fit["n_iter"]))], "K int, ll double, bic double, n_iter int")
+    """The whole table's tumour, to convergence at all K, in the form that its size asks for."""
+    config = CloneConfig(emission=EmissionModel.BINOMIAL, inference=CONFIGS["quantumclone_v1"].inference, k_prior=CONFIGS["quantumclone_v1"].k_prior, phylo=PhyloMode.NONE, noise=NoiseModel.NONE)
+    return GenerativeModel(config).fit_cohort(_obs(spark, sf)).fit_summary.select("K", "ll", "bic", "n_iter")
 
 
 def simulate_cohort(spark, sf):

@@ -17,8 +17,9 @@ from clonal_spark.operators import noise as no
 from clonal_spark.operators import phylo as ph
 from clonal_spark.operators import plots as pl
 from clonal_spark.operators import scoring as sg
-from clonal_spark.oracle import _BINOMIAL, _CHOOSE, _FEATURES, _MU, _VAF, CTES, _clip, _e_step, _kde, _rounded, sql
+from clonal_spark.oracle import _BINOMIAL, _CHOOSE, _FEATURES, _MU, _VAF, CTES, _clip, _e_step, _kde, _rounded, sql, unrolled
 from clonal_spark.plans import engines as en
+from clonal_spark.plans.cohort import fit_large
 from clonal_spark.plans.model import dense, distributed_fit
 from clonal_spark.queries import Query, _centers7, _corpus, _labels, _obs, _round, _table, _whole_encoded
 from clonal_spark.sources import observations as ob
@@ -177,6 +178,20 @@ def mfvi_distributed_2(spark, sf):
     return _round(spark.createDataFrame(rows, "k int, sample_id string, center double"), 7, "center")
 
 
+def cohort_fit_3(spark, sf):
+    """Three rounds of the frontier over five tumours, most of them in several blocks."""
+    fit = fit_large(_five(spark, sf), THREE, block=600, max_iter=3)
+    rows = fit.centers.join(fit.fit_summary.select("tumour_id", "ll"), "tumour_id")
+    return _round(_round(rows, 7, "center"), 3, "ll")
+
+
+def cohort_fit_assigned_3(spark, sf):
+    """What each mutation is assigned to by the same fit, and its largest responsibility."""
+    fit = fit_large(_five(spark, sf), THREE, block=600, max_iter=3)
+    top = fit.responsibilities.groupBy("tumour_id", "mut_id").agg(F.max("r").alias("r"))
+    return _round(fit.assignments.join(top, ["tumour_id", "mut_id"]).select("tumour_id", "mut_id", "k", "r"), 6, "r")
+
+
 # --- noise ---
 
 
@@ -306,7 +321,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         ccf_projection_all_samples, depth_stats_all_samples, cn_landscape_all_samples, vaf_shape_all_samples, tail_test_all_samples, kde_peaks_all_samples, kde_purity_all_samples,
         meta_features_whole, feature_vectors, bic_sweep_cohort, min_bic_select, merge_test, merge_places, merge_prune, merge_prune_assign, dirichlet_update, dirichlet_kl, stick_weights,
-        digamma_depth, logsumexp_alt, em_distributed_3, em_trace_3, em_grouped_3, mfvi_distributed_2, tail_weight_em, artefact_reassign, plot_tree_places, tree_depth_chain,
+        digamma_depth, logsumexp_alt, em_distributed_3, em_trace_3, em_grouped_3, cohort_fit_3, cohort_fit_assigned_3, mfvi_distributed_2, tail_weight_em, artefact_reassign, plot_tree_places, tree_depth_chain,
         tree_enumeration_score, head_suffstats_all, head_vectors_all, reward_average, running_window_stats, fit_tasks, unique_tumours, mean_attributions, label_remap, store_roundtrip,
         store_pruned, manifest_roundtrip, variant_table_roundtrip, fasta_index, plot_colours,
     )
@@ -412,6 +427,7 @@ CTES["rooted7"] = "SELECT id FROM chains7 GROUP BY 1 HAVING bool_and(list_contai
 CTES["gains7"] = """SELECT id, sum(x.above - x.beside + y.below - y.beside) AS gain FROM (SELECT id, node, unnest(list_filter(chain, lambda a: a >= 0)) AS up FROM chains7 JOIN rooted7 USING (id))
     JOIN relations7 x ON x.k = up AND x.other = node JOIN relations7 y ON y.k = node AND y.other = up GROUP BY 1"""
 CTES["z64"] = "SELECT label AS arm, (vec_id % 100) / 100.0::DOUBLE AS reward, embedding::DOUBLE[] AS z FROM embeddings"
+_FIVE_FIT = f"WITH five_obs AS ({sql('SELECT mut_id, sample_id, alt, depth, adj, (mut_id % 5)::BIGINT AS tumour_id FROM obs')}),\n{unrolled(3, 3, 'five_obs')}"
 
 ORACLE_SQL: dict[str, str] = {
     "ccf_projection_all_samples": sql(f"SELECT tumour_id, mut_id, sample_id, round({_clip(f'{_VAF} / greatest(adj * 0.5::DOUBLE, 1e-9::DOUBLE)', '0.0::DOUBLE', '2.0::DOUBLE')}, 9) AS ccf FROM all_obs"),
@@ -437,6 +453,8 @@ ORACLE_SQL: dict[str, str] = {
     "digamma_depth": sql(f"SELECT mut_id, sample_id, round({_psi('x')}, 9) AS digamma FROM (SELECT *, depth / 10 + 0.05::DOUBLE AS x FROM obs)"),
     "logsumexp_alt": sql("SELECT mut_id, round(max(top) + ln(sum(exp(alt / 10 - top))), 9) AS total FROM (SELECT *, max(alt / 10) OVER (PARTITION BY mut_id) AS top FROM obs) GROUP BY 1"),
     "em_distributed_3": sql("SELECT k::INT AS k, sample_id, round(center, 7) AS center FROM params_3"),
+    "cohort_fit_3": f"{_FIVE_FIT} SELECT tumour_id, k::INT AS k, sample_id, round(center, 7) AS center, round(ll, 3) AS ll FROM params_3 JOIN (SELECT tumour_id, sum(ll) AS ll FROM (SELECT DISTINCT tumour_id, mut_id, ll FROM resp_2) GROUP BY 1) USING (tumour_id)",
+    "cohort_fit_assigned_3": f"{_FIVE_FIT} SELECT tumour_id, mut_id, arg_max(k, struct_pack(a := r, b := -k))::INT AS k, round(max(r), 6) AS r FROM resp_2 GROUP BY 1, 2",
     "em_grouped_3": sql("SELECT k::INT AS k, sample_id, round(center, 7) AS center FROM params_3"),
     "em_trace_3": sql(" UNION ALL ".join(f"SELECT {i + 1} AS iteration, round(sum(ll), 3) AS log_lik FROM (SELECT DISTINCT mut_id, ll FROM resp_{i})" for i in range(3))),
     "mfvi_distributed_2": sql(f"SELECT k::INT AS k, sample_id, round({_clip('sum(r * alt) / greatest(sum(r * depth), 1e-10::DOUBLE)', '1e-6::DOUBLE', '1 - 1e-6::DOUBLE')}, 7) AS center FROM obs JOIN resp_vi USING (tumour_id, mut_id) GROUP BY 1, 2"),

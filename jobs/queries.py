@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonal_spark.config import FEATURE_NAMES
-from clonal_spark.oracle import _BINOMIAL, _FEATURES, _MU, _VAF, _clip, _rounded
+from clonal_spark.oracle import _FEATURES, _rounded, unrolled
 from clonal_spark.oracle import sql as with_tables
 from clonal_spark.session import Scratch
 from clonal_spark.sources import texts
@@ -37,29 +37,13 @@ _JOB1 = with_tables(f"SELECT tumour_id, (tumour_id % {cohort_features.DEFAULTS['
 _K, _STEPS = text_mixture.DEFAULTS["components"], text_mixture.DEFAULTS["steps"]
 
 
-def _steps() -> str:
-    """Unrolled EM steps over every source."""
-    out = []
-    for i in range(_STEPS):
-        weight = f"ln(1 / {_K}::DOUBLE)" if not i else "log_pi"
-        joined = "" if not i else f" JOIN weights_{i} USING (tumour_id, k)"
-        out.append(f"""liks_{i} AS (SELECT tumour_id, mut_id, k, sum({_BINOMIAL}) AS log_lik FROM (SELECT *, {_MU} AS mu FROM obs JOIN params_{i} USING (tumour_id, sample_id)) GROUP BY 1, 2, 3),
-logs_{i} AS (SELECT tumour_id, mut_id, k, log_lik + {weight} AS log_r FROM liks_{i}{joined}),
-resp_{i} AS (SELECT tumour_id, mut_id, k, e / sum(e) OVER (PARTITION BY tumour_id, mut_id) AS r FROM (SELECT *, exp(log_r - max(log_r) OVER (PARTITION BY tumour_id, mut_id)) AS e FROM logs_{i})),
-params_{i + 1} AS (SELECT tumour_id, k, sample_id, {_clip('sum(r * alt) / greatest(sum(r * depth), 1e-10::DOUBLE)', '1e-6::DOUBLE', '1 - 1e-6::DOUBLE')} AS center FROM obs JOIN resp_{i} USING (tumour_id, mut_id) GROUP BY 1, 2, 3),
-weights_{i + 1} AS (SELECT tumour_id, k, ln(greatest(avg(r), 1e-10::DOUBLE)) AS log_pi FROM resp_{i} GROUP BY 1, 2)""")
-    return ",\n".join(out)
-
-
 _JOB2 = rf"""
 WITH docs AS (SELECT coalesce(source, '') AS tumour_id, doc_id AS mut_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 counts AS (SELECT tumour_id, mut_id, sum(len(ws))::BIGINT AS words, sum(len(ws) - len(list_distinct(ws)))::BIGINT AS repeats, sum(len(list_filter(ws, lambda w: length(w) >= {texts.LONG})))::BIGINT AS long_words
            FROM docs GROUP BY 1, 2 HAVING sum(len(ws)) > 0),
 obs AS (SELECT tumour_id, mut_id, 'long' AS sample_id, long_words::DOUBLE AS alt, words::DOUBLE AS depth, 1.0::DOUBLE AS adj FROM counts
         UNION ALL SELECT tumour_id, mut_id, 'repeats', repeats::DOUBLE, words::DOUBLE, 1.0::DOUBLE FROM counts),
-quantiles AS (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(f'{i / (_K + 1)!r}' for i in range(1, _K + 1))}]) AS q FROM obs GROUP BY 1, 2),
-params_0 AS (SELECT tumour_id, sample_id, i - 1 AS k, {_clip('q[i]', '1e-6::DOUBLE', '1 - 1e-6::DOUBLE')} AS center FROM quantiles, (SELECT unnest(range(1, {_K + 1})) AS i)),
-{_steps()},
+{unrolled(_K, _STEPS)},
 found AS (SELECT tumour_id, mut_id, (min(k) FILTER (r >= top - {text_mixture.TIE!r}::DOUBLE))::INT AS component, max(r) AS probability
           FROM (SELECT *, max(r) OVER (PARTITION BY tumour_id, mut_id) AS top FROM resp_{_STEPS - 1}) GROUP BY 1, 2),
 components AS (SELECT tumour_id, k::INT AS component, exp(any_value(log_pi)) AS component_share, max(center) FILTER (sample_id = 'repeats') AS component_repeats, max(center) FILTER (sample_id = 'long') AS component_long
