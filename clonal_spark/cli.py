@@ -27,21 +27,13 @@ def generate(spark: SparkSession, path: str, tumours: int, augmentations: int, s
 
 
 def score(spark: SparkSession, path: str, margin: float | None) -> None:
-    """Resumes: scores that are stored are not made again."""
-    obs = ob.read_tumours(spark, f"{path}/tumours")
-    try:
-        done = spark.read.parquet(f"{path}/scores").where("NOT eliminated").select("tumour_id", "config", "sc", "score")
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        done = None
-    tr.score_tumours(obs, done, margin).write.mode("overwrite").parquet(f"{path}/scores-new")
-    spark.read.parquet(f"{path}/scores-new").write.mode("overwrite").parquet(f"{path}/scores")
+    """Resumes: scores that are stored are not made again, and each batch of tumours is stored when it is done."""
+    tr.score_logged(ob.read_tumours(spark, f"{path}/tumours"), f"{path}/scores", margin)
 
 
 def corpus(spark: SparkSession, path: str):
     """The stored corpus of the stored scores; made where there is none of just these."""
-    scores = spark.read.parquet(f"{path}/scores")
+    scores = tr.stored_scores(spark, f"{path}/scores")
     facts = scores.agg(F.count("*").alias("scores"), F.countDistinct("tumour_id").alias("tumours"), F.sum(F.xxhash64("tumour_id", "config", "sc", "score").cast("decimal(38,0)")).cast("string").alias("digest")).first().asDict()
     try:
         kept = ob.read_manifest(spark, f"{path}/corpus-manifest")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonal_spark.operators.scan import final_average, running_sum
+
 KEY = ["tumour_id"]
 
 
@@ -130,15 +132,13 @@ def uncertainty_quartiles(rows: DataFrame, by: list[str], uncertainty: str = "un
 
 
 def running_regret(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Cumulative sums of `regret` in the order of a stream (one stream per group)."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cumulative", F.sum("regret").over(run))
+    """Cumulative sums of `regret` in the order of a stream (one stream per group), by a scan over ranges of it."""
+    return running_sum(rows, by, order, "regret", "cumulative")
 
 
 def reward_average(rows: DataFrame, by: list[str], order: list[str], keep: float = 0.99) -> DataFrame:
-    """(by, average, n): the exponential average that a stream of `reward` ends with, from 0 on, in closed form."""
-    behind = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])) - 1
-    return rows.withColumn("behind", behind).groupBy(*by).agg(F.sum((1 - keep) * F.pow(F.lit(keep), F.col("behind")) * F.col("reward")).alias("average"), F.count("*").alias("n"))
+    """(by, average, n): the exponential average that a stream of `reward` ends with, from 0 on, by a scan over ranges of it."""
+    return final_average(rows, by, order, "reward", keep)
 
 
 def allocate(sizes: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from clonal_spark.functions import mathx as mx
 from clonal_spark.functions.emission import emission_of
 from clonal_spark.operators import mixture as mo
 from clonal_spark.operators import noise as no
+from clonal_spark.operators.selection import exact_quantiles
 from clonal_spark.plans import engines as en
 from clonal_spark.session import Scratch
 
@@ -226,7 +227,7 @@ def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: Da
     ks = en.k_schedule(config)
     levels = sorted({i / (k + 1) for k in ks for i in range(1, k + 1)})
     at = {x: i for i, x in enumerate(levels)}
-    quantiles = cells.groupBy("tumour_id", "sample_id").agg(F.percentile(mo.vaf(), F.array(*map(F.lit, levels))).alias("q"))
+    quantiles = exact_quantiles(cells.withColumn("v", mo.vaf()), ["tumour_id", "sample_id"], "v", levels)
     rows = quantiles.groupBy("tumour_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "q"))), lambda x: x["q"]).alias("qs"))
     first = FIRST[config.inference]
 

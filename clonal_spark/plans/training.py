@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonal_spark.config import CONFIG_NAMES, CONFIGS
@@ -13,6 +13,7 @@ from clonal_spark.operators import scoring as sg
 from clonal_spark.plans import engines as en
 from clonal_spark.plans.model import dense
 from clonal_spark.plans.router import SC_NAMES, active_configs
+from clonal_spark.session import Scratch
 from clonal_spark.sources.observations import todo
 
 SCORES = "tumour_id long, config string, sc string, score double"
@@ -89,7 +90,7 @@ def score_tumours(obs: DataFrame, done: DataFrame | None = None, margin: float |
     pilot = score_tasks(obs, fresh(tasks_of(obs, pilot_names)))
     if done is not None:
         pilot = pilot.unionByName(done.where(F.col("config").isin(pilot_names)).select("tumour_id", "config", "sc", "score"), allowMissingColumns=True)
-    pilot = pilot.persist()
+    pilot = Scratch(obs.sparkSession, "pilots").write(pilot, "scores")
     others = tasks_of(obs, [c for c in names if c not in pilot_names])
     out = sg.eliminated(pilot, margin).select("tumour_id") if margin is not None else None
     rest = others if out is None else others.join(out, "tumour_id", "left_anti")
@@ -103,6 +104,33 @@ def score_tumours(obs: DataFrame, done: DataFrame | None = None, margin: float |
     return rows
 
 
+SCORE_KEY = ["tumour_id", "config", "sc"]
+
+
+def stored_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The scores of a log, one of each key: one that was skipped at first and scored later counts as scored."""
+    rows = spark.read.schema(f"{SCORES}, error string, eliminated boolean").parquet(path)
+    best = F.min(F.struct("eliminated", "score", "error")).alias("b")
+    return rows.groupBy(*SCORE_KEY).agg(best).select(*SCORE_KEY, "b.score", "b.error", "b.eliminated")
+
+
+def score_logged(obs: DataFrame, path: str, margin: float | None = 0.25, tumours: int = 500) -> DataFrame:
+    """Scores all tumours into a log at path, about `tumours` of them at a time. Each batch appends its new scores in one
+    write, so a run that is killed and started again goes on behind the last batch; scores that are stored are not made
+    again, and running twice adds nothing."""
+    spark = obs.sparkSession
+    batches = max(1, -(-obs.select("tumour_id").distinct().count() // tumours))
+    empty = spark.createDataFrame([], f"{SCORES}, error string, eliminated boolean")
+    empty.write.mode("append").parquet(path)  # so that the log can be read from the first batch on
+    for b in range(batches):
+        part = obs.where(F.pmod(F.xxhash64("tumour_id"), F.lit(batches)) == b)
+        stored = stored_scores(spark, path)
+        made = score_tumours(part, stored.where("NOT eliminated").join(part.select("tumour_id").distinct(), "tumour_id", "left_semi").select(*SCORE_KEY, "score"), margin)
+        new = made.join(stored.select(*SCORE_KEY, "eliminated"), [*SCORE_KEY, "eliminated"], "left_anti")
+        new.select(*SCORE_KEY, "score", "error", "eliminated").write.mode("append").parquet(path)
+    return stored_scores(spark, path)
+
+
 def assemble_corpus(obs: DataFrame, scores: DataFrame) -> DataFrame:
     """(tumour_id, features, sc, config, score): tumours with scores; unknown and skipped configurations are left out."""
     kept = scores.where(F.col("config").isin(CONFIG_NAMES))

@@ -17,6 +17,7 @@ from clonal_spark.operators import noise as no
 from clonal_spark.operators import phylo as ph
 from clonal_spark.operators import plots as pl
 from clonal_spark.operators import scoring as sg
+from clonal_spark.operators.selection import exact_quantiles
 from clonal_spark.oracle import _BINOMIAL, _CHOOSE, _FEATURES, _MU, _VAF, CTES, _clip, _e_step, _kde, _rounded, sql, unrolled
 from clonal_spark.plans import engines as en
 from clonal_spark.plans.cohort import fit_large
@@ -104,6 +105,20 @@ def min_bic_select(spark, sf):
     return _round(mo.least_bic(mo.bic_sweep(_five(spark, sf), list(range(1, 11)), EMISSIONS[BINOMIAL]())), 3, "log_lik", "bic")
 
 
+def quantiles_selected(spark, sf):
+    """Quantile centers of every tumour and sample by selection over small bins, in place of sorting a group's values."""
+    levels = [i / 16 for i in range(1, 16)]
+    found = exact_quantiles(_cohort(spark, sf).withColumn("v", mo.vaf()), ["tumour_id", "sample_id"], "v", levels, buckets=16, few=8)
+    return _round(found.select("tumour_id", "sample_id", F.posexplode("q").alias("i", "value")), 9, "value")
+
+
+def depth_quantiles_selected(spark, sf):
+    """Depth quantiles of the whole table at a fixed sample, whose groups are as large as the table's third."""
+    rows = _table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = exact_quantiles(rows, ["l_returnflag"], "l_extendedprice", [0.0, 0.05, 0.5, 0.95, 1.0])
+    return _round(found.select(F.col("l_returnflag").alias("sample_id"), F.posexplode("q").alias("i", "value")), 6, "value")
+
+
 def merge_test(spark, sf):
     """Pairs of clones by their largest distance over samples."""
     params = mo.quantile_init(_five(spark, sf), 15)
@@ -320,7 +335,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         ccf_projection_all_samples, depth_stats_all_samples, cn_landscape_all_samples, vaf_shape_all_samples, tail_test_all_samples, kde_peaks_all_samples, kde_purity_all_samples,
-        meta_features_whole, feature_vectors, bic_sweep_cohort, min_bic_select, merge_test, merge_places, merge_prune, merge_prune_assign, dirichlet_update, dirichlet_kl, stick_weights,
+        meta_features_whole, feature_vectors, bic_sweep_cohort, min_bic_select, quantiles_selected, depth_quantiles_selected, merge_test, merge_places, merge_prune, merge_prune_assign, dirichlet_update, dirichlet_kl, stick_weights,
         digamma_depth, logsumexp_alt, em_distributed_3, em_trace_3, em_grouped_3, cohort_fit_3, cohort_fit_assigned_3, mfvi_distributed_2, tail_weight_em, artefact_reassign, plot_tree_places, tree_depth_chain,
         tree_enumeration_score, head_suffstats_all, head_vectors_all, reward_average, running_window_stats, fit_tasks, unique_tumours, mean_attributions, label_remap, store_roundtrip,
         store_pruned, manifest_roundtrip, variant_table_roundtrip, fasta_index, plot_colours,
@@ -453,6 +468,8 @@ ORACLE_SQL: dict[str, str] = {
     "digamma_depth": sql(f"SELECT mut_id, sample_id, round({_psi('x')}, 9) AS digamma FROM (SELECT *, depth / 10 + 0.05::DOUBLE AS x FROM obs)"),
     "logsumexp_alt": sql("SELECT mut_id, round(max(top) + ln(sum(exp(alt / 10 - top))), 9) AS total FROM (SELECT *, max(alt / 10) OVER (PARTITION BY mut_id) AS top FROM obs) GROUP BY 1"),
     "em_distributed_3": sql("SELECT k::INT AS k, sample_id, round(center, 7) AS center FROM params_3"),
+    "quantiles_selected": sql(f"SELECT tumour_id, sample_id, (i - 1)::INT AS i, round(q[i], 9) AS value FROM (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(repr(i / 16) for i in range(1, 16))}]) AS q FROM all_obs GROUP BY 1, 2), (SELECT unnest(range(1, 16)) AS i)"),
+    "depth_quantiles_selected": "SELECT sample_id, (i - 1)::INT AS i, round(q[i], 6) AS value FROM (SELECT l_returnflag AS sample_id, quantile_cont(l_extendedprice, [0.0, 0.05, 0.5, 0.95, 1.0]) AS q FROM lineitem GROUP BY 1), (SELECT unnest(range(1, 6)) AS i)",
     "cohort_fit_3": f"{_FIVE_FIT} SELECT tumour_id, k::INT AS k, sample_id, round(center, 7) AS center, round(ll, 3) AS ll FROM params_3 JOIN (SELECT tumour_id, sum(ll) AS ll FROM (SELECT DISTINCT tumour_id, mut_id, ll FROM resp_2) GROUP BY 1) USING (tumour_id)",
     "cohort_fit_assigned_3": f"{_FIVE_FIT} SELECT tumour_id, mut_id, arg_max(k, struct_pack(a := r, b := -k))::INT AS k, round(max(r), 6) AS r FROM resp_2 GROUP BY 1, 2",
     "em_grouped_3": sql("SELECT k::INT AS k, sample_id, round(center, 7) AS center FROM params_3"),
