@@ -394,14 +394,29 @@ def _trained(name: str, known, weights):
         if tokens:
             x = flat(w)
             parts = [x[i : i + CHUNK].tobytes() for i in range(0, len(x), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "tokens", "weights"])
+            task = TaskContext.get().partitionId() if TaskContext.get() else 0
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "task", "tokens", "weights"])
 
     return train
 
 
+#: A chunk of the weights of a task; groups of tasks whose weights are averaged first.
+AVERAGED = "chunk int, task int, tokens bigint, weights binary"
+SHARES = 1024
+
+
 def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean by tokens, in the order of tasks, so that runs agree."""
+    rows = rows.sort_values("task")
     total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for n, x in zip(rows["tokens"], rows["weights"], strict=True))
-    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "tokens": [rows["tokens"].sum()], "weights": [(total / rows["tokens"].sum()).astype(np.float32).tobytes()]})
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "task": rows["task"].iloc[:1], "tokens": [rows["tokens"].sum()], "weights": [(total / rows["tokens"].sum()).astype(np.float32).tobytes()]})
+
+
+def averaged(rows: DataFrame) -> DataFrame:
+    """One row per chunk of the weights: means of SHARES groups of tasks, then the mean of those, so no group holds a row of
+    every task."""
+    some = rows.groupBy("chunk", F.pmod("task", F.lit(SHARES)).alias("share")).applyInPandas(_averaged, AVERAGED)
+    return some.groupBy("chunk").applyInPandas(_averaged, AVERAGED)
 
 
 def _scored(name: str, known, weights, tail_totals: np.ndarray, denominator: float):
@@ -506,9 +521,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(16))
     for sets in ROUNDS:
         sent = sc.broadcast(weights)
-        grown = taught.where(part.isin(*sets)).select("text").mapInArrow(_trained(name, known, sent), "chunk int, tokens bigint, weights binary")
+        grown = taught.where(part.isin(*sets)).select("text").mapInArrow(_trained(name, known, sent), AVERAGED)
         # One row per chunk of the weights comes to the driver.
-        rows = grown.groupBy("chunk").applyInPandas(_averaged, "chunk int, tokens bigint, weights binary").collect()
+        rows = averaged(grown).collect()
         if rows:
             weights = unflat(np.concatenate([np.frombuffer(bytes(r.weights), np.float32) for r in sorted(rows, key=lambda r: r.chunk)]), weights)
 

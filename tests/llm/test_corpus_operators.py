@@ -376,3 +376,15 @@ def test_pipeline(spark, tmp_path):
     for r in five.dropDuplicates().collect():
         assert r.n_tokens == len(known.encode_ordinary(cut[r.doc_id].text)) and r.decoded_sha256 == hashlib.sha256(cut[r.doc_id].text.encode()).hexdigest()
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, five.collect()))
+
+
+def test_weights_are_averaged_by_tokens(spark, monkeypatch):
+    """In shares of tasks and at once, with the same mean."""
+    rng = np.random.default_rng(4)
+    weights = {(c, t): rng.normal(size=8).astype(np.float32) for c in range(2) for t in range(23)}
+    rows = [(c, t, 100 + 7 * t, w.tobytes()) for (c, t), w in weights.items()]
+    for shares in (1, 4, 1024):
+        monkeypatch.setattr(gru_lm, "SHARES", shares)
+        got = {r.chunk: np.frombuffer(bytes(r.weights), np.float32) for r in gru_lm.averaged(spark.createDataFrame(rows, gru_lm.AVERAGED).repartition(3)).collect()}
+        for c in range(2):
+            assert got[c] == pytest.approx(np.average([weights[c, t] for t in range(23)], axis=0, weights=[100 + 7 * t for t in range(23)]), abs=1e-6)
