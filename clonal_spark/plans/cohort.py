@@ -29,6 +29,7 @@ from clonal_spark.operators import mixture as mo
 from clonal_spark.operators import noise as no
 from clonal_spark.operators.selection import exact_quantiles
 from clonal_spark.plans import engines as en
+from clonal_spark.plans.sampler import sample
 from clonal_spark.session import Scratch
 
 TUMOUR_K = ["tumour_id", "K"]
@@ -54,10 +55,15 @@ class LongFit:
     responsibilities: DataFrame
     convergence: DataFrame
     tree_edges: DataFrame
+    #: Of sampled fits: R-hat and effective draws of each center.
+    diagnostics: DataFrame | None = None
 
     def with_(self, other) -> LongFit:
         """Both cohorts' results. other: this or a CohortFit."""
-        return LongFit(*[getattr(self, c).unionByName(getattr(other, c)) for c in self.__dataclass_fields__])
+        return LongFit(*[getattr(self, c).unionByName(getattr(other, c)) for c in TABLES], getattr(other, "diagnostics", None))
+
+
+TABLES = ("fit_summary", "centers", "assignments", "responsibilities", "convergence", "tree_edges")
 
 
 def _rows(run: Callable[[dict], dict | list[dict]], schema: str, spark) -> Callable:
@@ -135,6 +141,12 @@ def step(config: CloneConfig, r: dict, max_iter: int, tol: float, start: int) ->
     return out
 
 
+def _posterior(r: dict, sampling: dict) -> dict:
+    """A state row of posterior means and their sums."""
+    k, row = r["K"], np.array(r["total"])
+    return r | {"active": False, "phase": "sampled", "steps": 0, "n_iter": sampling.get("draws", 2000), "before": 0.0, "alpha": [1.0] * k, "e_centers": r["centers"], "e_log_pi": r["log_pi"], "mass": row[:k].tolist(), "ll": float(row[-3]), "n_mut": int(row[-1]), "converged": True, "trace": []}
+
+
 def _final(r: dict) -> dict:
     return r | {"ll": float(r["total"][-3])}
 
@@ -189,11 +201,11 @@ def tail_kept(cells: DataFrame, config: CloneConfig, scratch: Scratch) -> DataFr
     return no.mask_of(odds.join(weights, key).withColumn("p_tail", posterior), config.tail_threshold)
 
 
-def fit_large(obs: DataFrame, config: CloneConfig, name: str = "custom", block: int = 500_000, max_iter: int = en.MAX_ITER, tol: float = en.TOL) -> LongFit:
-    """All tumours of obs by the frontier, whatever their sizes."""
+def fit_large(obs: DataFrame, config: CloneConfig, name: str = "custom", block: int = 500_000, max_iter: int = en.MAX_ITER, tol: float = en.TOL, **sampling: int) -> LongFit:
+    """All tumours of obs by the frontier, whatever their sizes. sampling: draws, tune, chains and seed of the sampler."""
     own = [x for x, kind in ((config.inference, InferenceEngine), (config.k_prior, KPrior), (config.noise, NoiseModel), (config.phylo, PhyloMode)) if not isinstance(x, kind)]
-    if config.inference is InferenceEngine.MCMC or own:
-        raise NotImplementedError(f"no distributed form of {own or 'the sampler'}; fit the tumour in one group")
+    if own:
+        raise NotImplementedError(f"no distributed form of {own}; fit the tumour in one group")
     spark, scratch = obs.sparkSession, Scratch(obs.sparkSession, "cohort")
     if config.noise is NoiseModel.MULTIPLICITY and "total_cn" in obs.columns:
         obs = no.multiplicity_adj(obs, config.purity)
@@ -216,12 +228,12 @@ def fit_large(obs: DataFrame, config: CloneConfig, name: str = "custom", block:
     packed = dealt.select("tumour_id", "block", F.transform("them", lambda x: x["mut_id"]).alias("muts"), *map(flat, ("alt", "depth", "adj")))
     packed.repartition(parts, "tumour_id", "block").write.bucketBy(parts, "tumour_id", "block").option("path", scratch.path("blocks")).saveAsTable(table)
     try:
-        return _fit_blocks(spark.table(table), cells, samples, out, config, name, scratch, max_iter, tol)
+        return _fit_blocks(spark.table(table), cells, samples, out, config, name, scratch, max_iter, tol, sampling)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay
 
 
-def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: DataFrame | None, config: CloneConfig, name: str, scratch: Scratch, max_iter: int, tol: float) -> LongFit:
+def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: DataFrame | None, config: CloneConfig, name: str, scratch: Scratch, max_iter: int, tol: float, sampling: dict) -> LongFit:
     spark = blocks.sparkSession
     ids = scratch.write(blocks.select("tumour_id", "block"), "ids")
     ks = en.k_schedule(config)
@@ -229,7 +241,7 @@ def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: Da
     at = {x: i for i, x in enumerate(levels)}
     quantiles = exact_quantiles(cells.withColumn("v", mo.vaf()), ["tumour_id", "sample_id"], "v", levels)
     rows = quantiles.groupBy("tumour_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "q"))), lambda x: x["q"]).alias("qs"))
-    first = FIRST[config.inference]
+    first = FIRST.get(config.inference, "sampled")
 
     def begin(r: dict) -> dict:
         k = r["K"]
@@ -247,14 +259,19 @@ def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: Da
         return one.groupBy(*TUMOUR_K).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("total"))
 
     weighed = _rows(lambda r: r | {"log_w": _weights(r).tolist()}, "tumour_id long, K int, centers array<double>, log_w array<double>", spark)
-    i, start = 0, en.HYBRID_EM
+    i, start, means = 0, en.HYBRID_EM, None
+    if first == "sampled":  # one expectation step of the emission at the posterior means
+        means = sample(blocks, ids, state, config, scratch, _rows, **sampling)
+        params = means.select("tumour_id", "K", "centers", F.col("log_pi").alias("log_w"))
+        told = _rows(lambda r: _posterior(r, sampling), STATE, spark)
+        state = scratch.write(means.select("tumour_id", "K", "s", "centers", "log_pi").join(totals(params), TUMOUR_K).mapInArrow(told, STATE), "state-sampled")
     while not (active := state.where("active")).isEmpty():
         i += 1
         sums = totals(active.mapInArrow(weighed, "tumour_id long, K int, centers array<double>, log_w array<double>"))
         moved = active.join(sums, TUMOUR_K).mapInArrow(_rows(lambda r: step(config, r, max_iter, tol, start), STATE, spark), STATE)
         state = scratch.write(state.where("NOT active").unionByName(moved), f"state-{i}")
         scratch.drop(f"state-{i - 1}")
-    if first != "em":  # the likelihood at the last weights and centers
+    if first in ("vi", "start"):  # the likelihood at the last weights and centers
         last = _rows(lambda r: r | {"log_w": np.log(np.maximum(np.array(r["alpha"]) / sum(r["alpha"]), 1e-10)).tolist()}, "tumour_id long, K int, centers array<double>, log_w array<double>", spark)
         sums = totals(state.mapInArrow(last, "tumour_id long, K int, centers array<double>, log_w array<double>"))
         state = state.join(sums, TUMOUR_K).mapInArrow(_rows(_final, STATE, spark), STATE)
@@ -272,6 +289,11 @@ def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: Da
     per = chosen.join(samples.select("tumour_id", "samples"), "tumour_id").select("tumour_id", "s", "samples", "bad", F.posexplode("centers").alias("at", "center"))
     per = per.select("tumour_id", F.floor(F.col("at") / F.col("s")).cast("int").alias("k"), F.get("samples", F.col("at") % F.col("s")).alias("sample_id"), "center", "bad")
     centers = per.join(held, ["tumour_id", "k"], "left").select("tumour_id", "k", "sample_id", F.when(F.get("bad", F.col("k")) & F.col("held"), 0.0).otherwise(F.col("center")).alias("center"))
+    diagnostics = None
+    if means is not None:
+        cells_of = F.posexplode(F.arrays_zip("centers", "r_hat", "ess")).alias("at", "z")
+        one = means.join(samples.select("tumour_id", "samples"), "tumour_id").select("tumour_id", "s", "samples", "accepted", cells_of)
+        diagnostics = one.select("tumour_id", F.floor(F.col("at") / F.col("s")).cast("int").alias("k"), F.get("samples", F.col("at") % F.col("s")).alias("sample_id"), "z.centers", "z.r_hat", "z.ess", "accepted").withColumnRenamed("centers", "mean")
     return LongFit(
         chosen.select("tumour_id", F.lit(name).alias("config"), "K", "ll", "bic", "n_iter", "converged"),
         centers,
@@ -279,6 +301,7 @@ def _fit_blocks(blocks: DataFrame, cells: DataFrame, samples: DataFrame, out: Da
         assigned.select(*mo.MUT, F.posexplode("resp").alias("k", "r")),
         chosen.select("tumour_id", F.posexplode("trace").alias("i", "value")).select("tumour_id", (F.col("i") + 1).alias("iteration"), "value"),
         chosen.where("parents IS NOT NULL").select("tumour_id", F.posexplode("parents").alias("k", "parent")),
+        diagnostics,
     )
 
 
@@ -287,7 +310,7 @@ def fit_cohort(model, obs: DataFrame, block: int) -> LongFit:
     sizes = Scratch(obs.sparkSession, "cohort").write(obs.groupBy("tumour_id").agg((F.count_distinct("mut_id") * F.count_distinct("sample_id")).alias("cells")), "sizes")
     of = lambda large: obs.join(sizes.where((F.col("cells") > block) == large).select("tumour_id"), "tumour_id", "left_semi")
     small = model.fit(of(False))
-    grouped = LongFit(*[getattr(small, c) for c in LongFit.__dataclass_fields__])
+    grouped = LongFit(*[getattr(small, c) for c in TABLES])
     if sizes.where(F.col("cells") > block).isEmpty():
         return grouped
     return grouped.with_(fit_large(of(True), model.config, model.name, block))

@@ -80,5 +80,3 @@ def test_missing_cells_and_an_empty_cohort(spark):
     got = fit_large(obs, config, block=70, max_iter=2)
     assert got.assignments.count() == obs.select("tumour_id", "mut_id").distinct().count() and got.centers.where(F.col("center").isNull()).isEmpty()
     assert fit_large(obs.limit(0), config).fit_summary.isEmpty()
-    with pytest.raises(NotImplementedError):
-        fit_large(obs, CONFIGS["phyloclone_style"])
