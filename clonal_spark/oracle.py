@@ -62,20 +62,20 @@ for _i in range(3):  # unrolled steps
 
 
 
-def unrolled(k: int, steps: int, obs: str = "obs") -> str:
-    """Expressions quantiles, params_i, weights_i and resp_i of EM steps at a fixed K over all tumours of obs."""
+def unrolled(k: int, steps: int, obs: str = "obs", tag: str = "") -> str:
+    """Expressions quantiles, params_i, weights_i and resp_i (with the tag) of EM steps at a fixed K over all tumours of obs."""
     low, high = "1e-6::DOUBLE", "1 - 1e-6::DOUBLE"
     out = [
-        f"quantiles AS (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(repr(i / (k + 1)) for i in range(1, k + 1))}]) AS q FROM {obs} GROUP BY 1, 2)",
-        f"params_0 AS (SELECT tumour_id, sample_id, i - 1 AS k, {_clip('q[i]', low, high)} AS center FROM quantiles, (SELECT unnest(range(1, {k + 1})) AS i))",
+        f"quantiles{tag} AS (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(repr(i / (k + 1)) for i in range(1, k + 1))}]) AS q FROM {obs} GROUP BY 1, 2)",
+        f"params{tag}_0 AS (SELECT tumour_id, sample_id, i - 1 AS k, {_clip('q[i]', low, high)} AS center FROM quantiles{tag}, (SELECT unnest(range(1, {k + 1})) AS i))",
     ]
     for i in range(steps):
-        weight, joined = (f"ln(1 / {k}::DOUBLE)", "") if not i else ("log_pi", f" JOIN weights_{i} USING (tumour_id, k)")
-        out.append(f"""liks_{i} AS (SELECT tumour_id, mut_id, k, sum({_BINOMIAL}) AS log_lik FROM (SELECT *, {_MU} AS mu FROM {obs} JOIN params_{i} USING (tumour_id, sample_id)) GROUP BY 1, 2, 3),
-logs_{i} AS (SELECT tumour_id, mut_id, k, log_lik + {weight} AS log_r FROM liks_{i}{joined}),
-resp_{i} AS (SELECT tumour_id, mut_id, k, e / sum(e) OVER w AS r, top + ln(sum(e) OVER w) AS ll FROM (SELECT *, exp(log_r - top) AS e FROM (SELECT *, max(log_r) OVER (PARTITION BY tumour_id, mut_id) AS top FROM logs_{i})) WINDOW w AS (PARTITION BY tumour_id, mut_id)),
-params_{i + 1} AS (SELECT tumour_id, k, sample_id, {_clip('sum(r * alt) / greatest(sum(r * depth), 1e-10::DOUBLE)', low, high)} AS center FROM {obs} JOIN resp_{i} USING (tumour_id, mut_id) GROUP BY 1, 2, 3),
-weights_{i + 1} AS (SELECT tumour_id, k, ln(greatest(avg(r), 1e-10::DOUBLE)) AS log_pi FROM resp_{i} GROUP BY 1, 2)""")
+        weight, joined = (f"ln(1 / {k}::DOUBLE)", "") if not i else ("log_pi", f" JOIN weights{tag}_{i} USING (tumour_id, k)")
+        out.append(f"""liks{tag}_{i} AS (SELECT tumour_id, mut_id, k, sum({_BINOMIAL}) AS log_lik FROM (SELECT *, {_MU} AS mu FROM {obs} JOIN params{tag}_{i} USING (tumour_id, sample_id)) GROUP BY 1, 2, 3),
+logs{tag}_{i} AS (SELECT tumour_id, mut_id, k, log_lik + {weight} AS log_r FROM liks{tag}_{i}{joined}),
+resp{tag}_{i} AS (SELECT tumour_id, mut_id, k, e / sum(e) OVER w AS r, top + ln(sum(e) OVER w) AS ll FROM (SELECT *, exp(log_r - top) AS e FROM (SELECT *, max(log_r) OVER (PARTITION BY tumour_id, mut_id) AS top FROM logs{tag}_{i})) WINDOW w AS (PARTITION BY tumour_id, mut_id)),
+params{tag}_{i + 1} AS (SELECT tumour_id, k, sample_id, {_clip('sum(r * alt) / greatest(sum(r * depth), 1e-10::DOUBLE)', low, high)} AS center FROM {obs} JOIN resp{tag}_{i} USING (tumour_id, mut_id) GROUP BY 1, 2, 3),
+weights{tag}_{i + 1} AS (SELECT tumour_id, k, ln(greatest(avg(r), 1e-10::DOUBLE)) AS log_pi FROM resp{tag}_{i} GROUP BY 1, 2)""")
     return ",\n".join(out)
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonal_spark.config import FEATURE_NAMES, CloneConfig, EmissionModel, InferenceEngine, KPrior, NoiseModel, PhyloMode
+from clonal_spark.config import CONFIG_NAMES, CONFIGS, DEFAULT_EXCLUDE_CONFIGS, FEATURE_NAMES, CloneConfig, EmissionModel, InferenceEngine, KPrior, NoiseModel, PhyloMode
 from clonal_spark.functions import mathx as mx
 from clonal_spark.functions.emission import EMISSIONS
 from clonal_spark.operators import features as fe
@@ -22,6 +22,8 @@ from clonal_spark.oracle import _BINOMIAL, _CHOOSE, _FEATURES, _MU, _VAF, CTES,
 from clonal_spark.plans import engines as en
 from clonal_spark.plans.cohort import fit_large
 from clonal_spark.plans.model import dense, distributed_fit
+from clonal_spark.plans.router import active_configs
+from clonal_spark.plans.training import PILOTS, assemble_corpus, tasks_of
 from clonal_spark.queries import Query, _centers7, _corpus, _labels, _obs, _round, _table, _whole_encoded
 from clonal_spark.sources import observations as ob
 from clonal_spark.streaming import online
@@ -207,6 +209,27 @@ def cohort_fit_assigned_3(spark, sf):
     return _round(fit.assignments.join(top, ["tumour_id", "mut_id"]).select("tumour_id", "mut_id", "k", "r"), 6, "r")
 
 
+def preset_quantumclone_v1_2(spark, sf):
+    """The whole preset at two iterations: K = 1..10, selection by BIC and the greedy tree, five tumours in blocks."""
+    fit = fit_large(_five(spark, sf), CONFIGS["quantumclone_v1"], "quantumclone_v1", block=600, max_iter=2)
+    chosen = fit.fit_summary.select("tumour_id", F.col("K").alias("n_clones"), "ll", "bic")
+    rows = fit.centers.join(chosen, "tumour_id").join(fit.tree_edges, ["tumour_id", "k"])
+    return _round(_round(rows, 7, "center"), 3, "ll", "bic")
+
+
+def fit_tasks_active(spark, sf):
+    """Fits of a whole corpus: every tumour with each configuration that is not left out, without those that a pilot has."""
+    tasks = tasks_of(_cohort(spark, sf), active_configs())
+    return tasks.where(~F.col("config").isin(list(PILOTS)))
+
+
+def corpus_assembled(spark, sf):
+    """Training rows: the features of each tumour with its scores, those of unknown configurations left out."""
+    scores = _corpus(spark, sf).select("tumour_id", "sc", F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(sorted({"click", "error", "purchase", "signup"})) for x in (c, CONFIG_NAMES[i]))), F.col("config")).alias("config"), "score")
+    rows = assemble_corpus(_cohort(spark, sf), scores.where("config IS NOT NULL"))
+    return _round(rows.select("tumour_id", "sc", "config", "score", F.posexplode("features").alias("i", "value")), 6, "score", "value")
+
+
 # --- noise ---
 
 
@@ -336,7 +359,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         ccf_projection_all_samples, depth_stats_all_samples, cn_landscape_all_samples, vaf_shape_all_samples, tail_test_all_samples, kde_peaks_all_samples, kde_purity_all_samples,
         meta_features_whole, feature_vectors, bic_sweep_cohort, min_bic_select, quantiles_selected, depth_quantiles_selected, merge_test, merge_places, merge_prune, merge_prune_assign, dirichlet_update, dirichlet_kl, stick_weights,
-        digamma_depth, logsumexp_alt, em_distributed_3, em_trace_3, em_grouped_3, cohort_fit_3, cohort_fit_assigned_3, mfvi_distributed_2, tail_weight_em, artefact_reassign, plot_tree_places, tree_depth_chain,
+        digamma_depth, logsumexp_alt, em_distributed_3, em_trace_3, em_grouped_3, cohort_fit_3, cohort_fit_assigned_3, preset_quantumclone_v1_2, fit_tasks_active, corpus_assembled, mfvi_distributed_2, tail_weight_em, artefact_reassign, plot_tree_places, tree_depth_chain,
         tree_enumeration_score, head_suffstats_all, head_vectors_all, reward_average, running_window_stats, fit_tasks, unique_tumours, mean_attributions, label_remap, store_roundtrip,
         store_pruned, manifest_roundtrip, variant_table_roundtrip, fasta_index, plot_colours,
     )
@@ -443,6 +466,19 @@ CTES["gains7"] = """SELECT id, sum(x.above - x.beside + y.below - y.beside) AS g
     JOIN relations7 x ON x.k = up AND x.other = node JOIN relations7 y ON y.k = node AND y.other = up GROUP BY 1"""
 CTES["z64"] = "SELECT label AS arm, (vec_id % 100) / 100.0::DOUBLE AS reward, embedding::DOUBLE[] AS z FROM embeddings"
 _FIVE_FIT = f"WITH five_obs AS ({sql('SELECT mut_id, sample_id, alt, depth, adj, (mut_id % 5)::BIGINT AS tumour_id FROM obs')}),\n{unrolled(3, 3, 'five_obs')}"
+_TEN = range(1, 11)
+_PRESET = f"""WITH five_obs AS ({sql('SELECT mut_id, sample_id, alt, depth, adj, (mut_id % 5)::BIGINT AS tumour_id FROM obs')}),
+{", ".join(unrolled(k, 2, 'five_obs', f'_of_{k}') for k in _TEN)},
+fits AS ({" UNION ALL ".join(f"SELECT tumour_id, {k} AS n_clones, sum(ll) AS ll, count(*) AS n FROM (SELECT DISTINCT tumour_id, mut_id, ll FROM resp_of_{k}_1) GROUP BY 1" for k in _TEN)}),
+judged AS (SELECT *, -2 * ll + n_clones * (SELECT count(DISTINCT sample_id) FROM five_obs) * ln(n) AS bic FROM fits),
+chosen AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY tumour_id ORDER BY bic, n_clones) = 1),
+clones AS (SELECT p.*, c.n_clones, c.ll, c.bic FROM ({" UNION ALL ".join(f"SELECT {k} AS n_clones, tumour_id, k, sample_id, center FROM params_of_{k}_2" for k in _TEN)}) p JOIN chosen c USING (tumour_id, n_clones)),
+means AS ({CTES["means"].replace("FROM params", "FROM clones")}),
+places AS ({CTES["places"]}),
+pairs AS ({CTES["pairs"].replace("params ", "clones ")}),
+nested AS ({CTES["nested"]}),
+tree AS ({CTES["tree"]})"""
+_ACTIVE = [c for c in CONFIG_NAMES if c not in DEFAULT_EXCLUDE_CONFIGS]
 
 ORACLE_SQL: dict[str, str] = {
     "ccf_projection_all_samples": sql(f"SELECT tumour_id, mut_id, sample_id, round({_clip(f'{_VAF} / greatest(adj * 0.5::DOUBLE, 1e-9::DOUBLE)', '0.0::DOUBLE', '2.0::DOUBLE')}, 9) AS ccf FROM all_obs"),
@@ -470,6 +506,12 @@ ORACLE_SQL: dict[str, str] = {
     "em_distributed_3": sql("SELECT k::INT AS k, sample_id, round(center, 7) AS center FROM params_3"),
     "quantiles_selected": sql(f"SELECT tumour_id, sample_id, (i - 1)::INT AS i, round(q[i], 9) AS value FROM (SELECT tumour_id, sample_id, quantile_cont({_VAF}, [{', '.join(repr(i / 16) for i in range(1, 16))}]) AS q FROM all_obs GROUP BY 1, 2), (SELECT unnest(range(1, 16)) AS i)"),
     "depth_quantiles_selected": "SELECT sample_id, (i - 1)::INT AS i, round(q[i], 6) AS value FROM (SELECT l_returnflag AS sample_id, quantile_cont(l_extendedprice, [0.0, 0.05, 0.5, 0.95, 1.0]) AS q FROM lineitem GROUP BY 1), (SELECT unnest(range(1, 6)) AS i)",
+    "preset_quantumclone_v1_2": f"{_PRESET} SELECT c.tumour_id, k::INT AS k, sample_id, round(center, 7) AS center, n_clones::INT AS n_clones, round(ll, 3) AS ll, round(bic, 3) AS bic, parent::INT AS parent FROM clones c JOIN tree USING (tumour_id, k)",
+    "fit_tasks_active": f"SELECT DISTINCT l_suppkey AS tumour_id, config FROM lineitem, (SELECT unnest({[c for c in _ACTIVE if c not in PILOTS]!r}) AS config)",
+    "corpus_assembled": sql(
+        f"""SELECT tumour_id, sc, config, round(score, 6) AS score, (i - 1)::INT AS i, round(v[i], 6) AS value FROM (SELECT tumour_id, [{_FEATURES}] AS v FROM (SELECT * REPLACE (1.0::DOUBLE AS mappability) FROM all_features))
+        JOIN (SELECT tumour_id, sc, CASE config {' '.join(f"WHEN '{c}' THEN '{CONFIG_NAMES[i]}'" for i, c in enumerate(('click', 'error', 'purchase', 'signup')))} END AS config, score FROM corpus) USING (tumour_id), (SELECT unnest(range(1, 22)) AS i) WHERE config IS NOT NULL"""
+    ),
     "cohort_fit_3": f"{_FIVE_FIT} SELECT tumour_id, k::INT AS k, sample_id, round(center, 7) AS center, round(ll, 3) AS ll FROM params_3 JOIN (SELECT tumour_id, sum(ll) AS ll FROM (SELECT DISTINCT tumour_id, mut_id, ll FROM resp_2) GROUP BY 1) USING (tumour_id)",
     "cohort_fit_assigned_3": f"{_FIVE_FIT} SELECT tumour_id, mut_id, arg_max(k, struct_pack(a := r, b := -k))::INT AS k, round(max(r), 6) AS r FROM resp_2 GROUP BY 1, 2",
     "em_grouped_3": sql("SELECT k::INT AS k, sample_id, round(center, 7) AS center FROM params_3"),
