@@ -17,6 +17,7 @@ from clonal_spark.functions.emission import emission_of
 from clonal_spark.operators import mixture as mo
 from clonal_spark.operators import noise as no
 from clonal_spark.plans import engines as en
+from clonal_spark.session import Scratch
 
 #: Cells (mutations * samples) of a tumour up to which it is fitted in one group.
 GROUPED_CELLS = 500_000
@@ -219,7 +220,7 @@ def _tail_kept(obs: DataFrame, config: CloneConfig) -> DataFrame:
     if config.tail_weight is not None:
         return no.tail_mask(obs, config.tail_threshold, config.phi, config.tail_weight)
     # the log odds of the tail at equal weights; a weight adds its own
-    odds = no.tail_log_odds(obs, config.phi).select("tumour_id", "mut_id", "sample_id", "odds").persist()
+    odds = Scratch(obs.sparkSession, "tail").write(no.tail_log_odds(obs, config.phi).select("tumour_id", "mut_id", "sample_id", "odds"), "odds")
     weights = {r.sample_id: 0.1 for r in odds.select("sample_id").distinct().collect()}
     posterior = lambda: 1 / (1 + F.exp(-(F.col("odds") + F.element_at(F.create_map(*(F.lit(x) for s, t in weights.items() for x in (s, float(np.log(t / (1 - t)))))), F.col("sample_id")))))
     running = set(weights)
@@ -246,15 +247,16 @@ def distributed_fit(obs: DataFrame, config: CloneConfig, max_iter: int = en.MAX_
     if config.noise is NoiseModel.MULTIPLICITY and "total_cn" in obs.columns and obs.where("total_cn IS NOT NULL").limit(1).count():
         obs = no.multiplicity_adj(obs, config.purity)
     samples = [r.sample_id for r in obs.select("sample_id").distinct().orderBy("sample_id").collect()]
-    data = wide(obs, samples).persist()
+    scratch = Scratch(spark, "distributed-fit")
+    data = scratch.write(wide(obs, samples), "wide")
     # with the missing cells, as in dense arrays
     zipped = F.explode(F.arrays_zip(F.array(*map(F.lit, samples)).alias("sample_id"), "alt", "depth")).alias("z")
     cells = data.select(F.lit(0).cast("long").alias("tumour_id"), "mut_id", zipped).select("tumour_id", "mut_id", F.col("z.sample_id"), F.col("z.alt"), F.col("z.depth"))
     out = None
     if config.noise is NoiseModel.TAIL_FILTER:
-        mask = _tail_kept(cells, config).persist()
+        mask = scratch.write(_tail_kept(cells, config), "mask")
         kept, out = mask.where("kept").select("mut_id"), mask.where("NOT kept").select("mut_id")
-        data, cells = data.join(kept, "mut_id", "left_semi").persist(), cells.join(kept, "mut_id", "left_semi")
+        data, cells = scratch.write(data.join(kept, "mut_id", "left_semi"), "kept"), cells.join(kept, "mut_id", "left_semi")
     emission, s = emission_of(config), len(samples)
     ks = en.k_schedule(config)
     levels = sorted({i / (k + 1) for k in ks for i in range(1, k + 1)})
@@ -302,7 +304,6 @@ def distributed_fit(obs: DataFrame, config: CloneConfig, max_iter: int = en.MAX_
         last = totals_of({k: (f["centers"], np.log(np.maximum(alphas[k] / alphas[k].sum(), 1e-10))) for k, f in done.items()})
         for k, f in done.items():
             f["ll"] = float(last[k][-3])
-    data.unpersist()
     for f in done.values():
         f["bic"] = float(en.bic(f["ll"], f["K"], s, f["n_mut"]))
     best = min(done.values(), key=lambda f: (f["bic"], f["K"])) if config.k_prior is KPrior.BIC else done[ks[0]]

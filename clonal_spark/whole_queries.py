@@ -290,8 +290,7 @@ def running_window_stats(spark, sf):
 
 def fit_tasks(spark, sf):
     """Fits that a routed cohort needs: each (tumour, configuration) once, whatever the subchallenges."""
-    corpus = _corpus(spark, sf).withColumn("config_idx", F.length("config"))
-    return sg.best_config(corpus.withColumn("config_idx", F.ascii("config"))).select("tumour_id", "config").distinct()
+    return sg.best_config(_corpus(spark, sf).withColumn("config_idx", F.ascii("config"))).select("tumour_id", "config").distinct()
 
 
 def unique_tumours(spark, sf):
