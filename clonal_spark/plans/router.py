@@ -2,7 +2,8 @@
 
 Heads are additive sums (z z', z y, n), so training them is one aggregate and their order does not matter.
 The encoder (21 - 64 - 64 - 32, ReLU) is trained in NumPy on the corpus' tumours, some 10,000 rows of 21
-numbers; scores of many tumours go through an Arrow function with its weights."""
+numbers (train_router), or over a table of any number of rows, by gradients that Spark sums (train_router_on); scores of many
+tumours go through an Arrow function with its weights."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonal_spark.config import CONFIG_NAMES, DEFAULT_EXCLUDE_CONFIGS, FEATURE_NAMES, SUBCHALLENGES, SubChallenge
+from clonal_spark.plans.sampler import uniforms
+from clonal_spark.session import Scratch
 
 DIM, HIDDEN, DROPOUT, JITTER = 32, 64, 0.1, 1e-6
 SC_NAMES = [s.value for s in SUBCHALLENGES]
@@ -266,6 +269,96 @@ def labelled(corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.features for r in rows], float).reshape(-1, len(FEATURE_NAMES)), np.array([r.y for r in rows], int)
 
 
+def best_of(corpus: DataFrame) -> DataFrame:
+    """(row_key, features, y): the best configuration of every (tumour, sc); the first of equals."""
+    index = F.array_position(F.array(*map(F.lit, CONFIG_NAMES)), F.col("config"))
+    top = F.max(F.struct("score", (-index).alias("minus"))).alias("t")
+    return corpus.groupBy("tumour_id", "sc").agg(top, F.first("features").alias("features")).select(F.xxhash64("tumour_id", "sc").alias("row_key"), "features", (-F.col("t.minus") - 1).cast("int").alias("y"))
+
+
+def _kept(keys: np.ndarray, layer: int, step: int, seed: int, width: int, dropout: float) -> np.ndarray:
+    """A dropout mask that depends on the row and the step only, however rows are dealt to tasks."""
+    if not dropout:
+        return np.ones((len(keys), width))
+    unit = np.stack([uniforms(keys, seed, step, layer, j) for j in range(width)], 1)
+    return (unit >= dropout) / (1 - dropout)
+
+
+def loss_and_gradient(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Summed cross-entropy of rows, and its gradient by the encoder's and the linear head's parameters."""
+    a1 = x @ params[0] + params[1]
+    h1 = np.maximum(a1, 0) * d1
+    a2 = h1 @ params[2] + params[3]
+    h2 = np.maximum(a2, 0) * d2
+    z = h2 @ params[4] + params[5]
+    lg = z @ params[6] + params[7]
+    lg = lg - lg.max(1, keepdims=True)
+    p = np.exp(lg)
+    loss = float((np.log(p.sum(1)) - lg[np.arange(len(y)), y]).sum())
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    gz = p @ params[6].T
+    g2 = (gz @ params[4].T) * d2 * (a2 > 0)
+    g1 = (g2 @ params[2].T) * d1 * (a1 > 0)
+    return loss, [x.T @ g1, g1.sum(0), h1.T @ g2, g2.sum(0), h2.T @ gz, gz.sum(0), z.T @ p, p.sum(0)]
+
+
+def train_encoder_on(rows: DataFrame, epochs: int = 50, batches: int = 1, rate: float = 1e-3, seed: int = 0, dropout: float = DROPOUT) -> tuple[Encoder, list[float]]:
+    """train_encoder over a table (row_key, features, y) of any size: no row comes to the driver. Each epoch deals the rows to
+    `batches` steps by a hash of row and epoch; a step is one job, in which partitions sum gradients and Spark adds them up, so
+    the driver gets one number per parameter. Dropout is drawn by row and step."""
+    sc, encoder, n = rows.sparkSession.sparkContext, Encoder(seed=seed), len(CONFIG_NAMES)
+    rng = np.random.default_rng(seed)
+    params = [p for layer in encoder.layers for p in layer] + [rng.uniform(-1, 1, (DIM, n)) / np.sqrt(DIM), np.zeros(n)]
+    m, v, losses, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], [], 0
+
+    def summed(sent, step: int):
+        def run(them):
+            weights, total = sent.value, None
+            for b in them:
+                if len(b):
+                    keys, x = b["row_key"].to_numpy(), np.stack(b["features"].to_numpy())
+                    loss, grads = loss_and_gradient(weights, x, b["y"].to_numpy(), _kept(keys, 1, step, seed, HIDDEN, dropout), _kept(keys, 2, step, seed, HIDDEN, dropout))
+                    one = np.concatenate([*[g.ravel() for g in grads], [loss, len(b)]])
+                    total = one if total is None else total + one
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(len(total)), "g": total})
+
+        return run
+
+    for epoch in range(epochs):
+        total, used = 0.0, 0
+        for k in range(batches):
+            step += 1
+            sent = sc.broadcast(params)
+            part = rows if batches == 1 else rows.where(F.pmod(F.xxhash64("row_key", F.lit(epoch)), F.lit(batches)) == k)
+            got = part.mapInPandas(summed(sent, step), "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
+            sent.destroy()
+            if not len(got):
+                continue
+            total, used, at = total + got[-2] / got[-1], used + 1, 0
+            for i, p in enumerate(params):
+                g = got[at : at + p.size].reshape(p.shape) / got[-1]
+                at += p.size
+                m[i] = 0.9 * m[i] + 0.1 * g
+                v[i] = 0.999 * v[i] + 0.001 * g * g
+                params[i] = p - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+        losses.append(float(total / max(used, 1)))
+    encoder.layers = [(params[0], params[1]), (params[2], params[3]), (params[4], params[5])]
+    return encoder, losses
+
+
+def train_router_on(corpus: DataFrame, epochs: int = 50, batches: int = 1, seed: int = 0) -> TrainResult:
+    """train_router without a bound on the encoder's rows."""
+    rows = Scratch(corpus.sparkSession, "encoder").write(best_of(corpus), "rows")
+    if not (count := rows.count()):
+        return TrainResult(MetaRouter(seed=seed))
+    encoder, losses = train_encoder_on(rows, epochs, batches, seed=seed)
+    router = MetaRouter(encoder, seed)
+    fill_heads(router, corpus)
+    return TrainResult(router, losses, [], count, 0)
+
+
 def train_router(corpus: DataFrame, val: DataFrame | None = None, epochs: int = 50, seed: int = 0) -> TrainResult:
     """Encoder on the corpus' labels, then the heads from all its rows. corpus: (tumour_id, features, sc, config, score)."""
     x, y = labelled(corpus)
