@@ -274,6 +274,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _text.release()  # of tasks of other kinds that this worker had
         bpe = _bpe(ranks_file, pattern)
         for batch in batches:
             for slab in _text.slabs(batch.column(1), SLAB):

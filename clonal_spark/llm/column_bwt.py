@@ -103,12 +103,22 @@ def _anchored(lengths: tuple[int, ...]):
     return run
 
 
+#: Rows whose texts are Python objects at once.
+ROWS = 1000
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _cut(lengths: tuple[int, ...]):
     """Rows (text, [(seed, fragment, place)]) to one row per fragment: seed, fragment, from_column, bytes."""
     before, longest = min(lengths) - SEED, max(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             seeds, wholes, texts, froms = [], [], [], []
             for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in wanted:
@@ -122,6 +132,7 @@ def _cut(lengths: tuple[int, ...]):
                         seeds, wholes, texts, froms = [], [], [], []
             if seeds:
                 yield _cut_batch(seeds, wholes, froms, texts)
+        _text.release()
 
     return run
 
@@ -249,6 +260,8 @@ def _constructed(lengths: tuple[int, ...]):
             some.file.close()
         finally:
             folder.cleanup()
+        some = None
+        _text.release()
 
     return run
 
@@ -392,7 +405,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spans = _grouped(spans_of(keyed.select("row_key", "text"), scratch, (LENGTH, *([passages] if passages else []))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows, ranges, shorter = [], [], []
             for text, found in zip(batch.column(1).fill_null("").cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 runs = _runs(found, LENGTH, len(text))
@@ -410,6 +423,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 arrays.append(pa.array(shorter, pa.int64()))
                 names.append("n_passage_bytes")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        _text.release()
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<low:int,high:int>>" if with_spans else "") + (", n_passage_bytes bigint" if passages else "")
@@ -434,9 +448,10 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_cha
         return _left(raw, _runs(spans, length, len(raw))).decode("utf-8", "ignore")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             out = [cut_text(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["others", "text"])
+        _text.release()
 
     kind = joined.schema["others"].dataType.simpleString()
     cut = joined.mapInArrow(run, f"others {kind}, text string")
