@@ -21,6 +21,8 @@ documents, counts are 0 and the model gives its initial weights.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 import math
 import uuid
@@ -296,6 +298,19 @@ def lanes(lengths: np.ndarray, count: int) -> list[list[int]]:
     return sorted(out, key=lambda x: -int(lengths[x].sum()))
 
 
+def one_thread() -> None:
+    """Keeps numpy's matrix library to one thread, as a task has one core: on small matrices more threads only wait for
+    each other. Its library is found among the mapped ones; where it is another one, nothing changes."""
+    with contextlib.suppress(OSError):
+        with open("/proc/self/maps") as maps:
+            files = {line.split()[-1] for line in maps if "openblas" in line}
+        for file in files:
+            library = ctypes.CDLL(file)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+
+
 def run(w: dict[str, np.ndarray], docs: list[np.ndarray], learn: Adam | None = None, count: int = LANES) -> np.ndarray:
     """Natural log-probability of each document (ids without the end, which is 0): of classes and head words."""
     lengths = np.array([len(d) + 1 for d in docs], np.int64)
@@ -377,6 +392,7 @@ def unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _trained(name: str, known, weights):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         vocabulary = _shared(name, known)
         w = {k: x.copy() for k, x in weights.value.items()}
         adam, tokens, held, size = Adam(w), 0, [], 0
@@ -421,6 +437,7 @@ def averaged(rows: DataFrame) -> DataFrame:
 
 def _scored(name: str, known, weights, tail_totals: np.ndarray, denominator: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         vocabulary = _shared(name, known)
         w, task, made = weights.value, TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         logs = np.log10(vocabulary.counts + 0.5)
