@@ -24,7 +24,7 @@ from clonal_spark.plans.cohort import fit_large
 from clonal_spark.plans.model import dense, distributed_fit
 from clonal_spark.plans.router import active_configs
 from clonal_spark.plans.training import PILOTS, assemble_corpus, tasks_of
-from clonal_spark.queries import Query, _centers7, _corpus, _labels, _obs, _round, _table, _whole_encoded
+from clonal_spark.queries import BLOCK_CELLS, Query, _centers7, _corpus, _labels, _obs, _round, _table, _whole_encoded
 from clonal_spark.sources import observations as ob
 from clonal_spark.streaming import online
 from clonal_spark.session import Scratch
@@ -176,15 +176,20 @@ def em_trace_3(spark, sf):
     return _round(spark.createDataFrame([(t["iteration"], t["value"]) for t in fit["trace"]], "iteration int, log_lik double"), 3, "log_lik")
 
 
-def em_grouped_3(spark, sf):
-    """Three rounds of the loop in a group each."""
+def em_grouped_3(spark, sf, most: int = BLOCK_CELLS):
+    """Three rounds of the loop in a group each; tumours of more than `most` cells by blocks."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         _, _, names, a = dense(rows)
         fit = en.em(THREE, a["alt"], a["depth"], a["adj"], en.initial_centers(a["alt"], a["depth"], 3), max_iter=3)
         return pd.DataFrame([(k, s, fit.centers[k, i]) for k in range(3) for i, s in enumerate(names)], columns=["k", "sample_id", "center"])
 
-    return _round(_obs(spark, sf).groupBy("tumour_id").applyInPandas(run, "k int, sample_id string, center double"), 7, "center")
+    obs = _obs(spark, sf)
+    large = Scratch(spark, "large").write(obs.groupBy("tumour_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tumour_id"), "ids")
+    rows = obs.join(large, "tumour_id", "left_anti").groupBy("tumour_id").applyInPandas(run, "k int, sample_id string, center double")
+    if not large.isEmpty():
+        rows = rows.unionByName(fit_large(obs.join(large, "tumour_id", "left_semi"), THREE, block=most, max_iter=3).centers.select("k", "sample_id", "center"))
+    return _round(rows, 7, "center")
 
 
 def mfvi_distributed_2(spark, sf):
