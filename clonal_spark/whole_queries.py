@@ -48,8 +48,9 @@ def _resp_of(obs: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def _fifteen(spark, sf) -> tuple[DataFrame, DataFrame]:
-    params = mo.quantile_init(_five(spark, sf), 15)
-    return params, _resp_of(_five(spark, sf), params)
+    obs = _five(spark, sf)
+    params = mo.quantile_init(obs, 15)
+    return params, _resp_of(obs, params)
 
 
 # --- cohorts of several samples ---
