@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonal_spark.config import EmissionModel
 from clonal_spark.functions.emission import EMISSIONS
 from clonal_spark.operators import mixture as mo
 from clonal_spark.operators import scoring as sg
+from clonal_spark.session import Scratch
 from clonal_spark.sources import texts
 from jobs.common import LOG, configuration, session
 
@@ -40,9 +41,10 @@ def _write(df: DataFrame, path: str, folders: int) -> DataFrame:
 
 def assigned(resp: DataFrame) -> DataFrame:
     """(tumour_id, mut_id, component, probability)."""
-    top = F.max("r").over(Window.partitionBy(*mo.MUT))
-    near = F.when(F.col("r") >= F.col("top") - TIE, F.col("k"))
-    return resp.withColumn("top", top).groupBy(*mo.MUT).agg(F.min(near).cast("int").alias("component"), F.max("r").alias("probability"))
+    clones = F.collect_list(F.struct("r", "k")).alias("clones")
+    rows = resp.groupBy(*mo.MUT).agg(clones, F.max("r").alias("probability"))
+    near = F.filter("clones", lambda c: c["r"] >= F.col("probability") - TIE)
+    return rows.select(*mo.MUT, F.array_min(F.transform(near, lambda c: c["k"])).cast("int").alias("component"), "probability")
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, config: dict | None = None) -> DataFrame:
@@ -51,7 +53,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, config: d
     counts = _write(texts.word_counts(spark.read.parquet(documents), config["long"]), f"{output}/observations", config["folders"])
     obs = texts.observations(counts)
     centers, resp = mo.em_steps(obs, mo.quantile_init(obs, config["components"]), EMISSIONS[EmissionModel.BINOMIAL](), config["steps"])
-    found = assigned(resp)
+    found = Scratch(spark, "text-mixture").write(assigned(resp), "found")
     truth = spark.read.parquet(labels).where(F.col("doc_id").isNotNull() & F.col(config["truth"]).isNotNull()).groupBy(F.col("doc_id").alias("mut_id")).agg(F.min(config["truth"]).alias("true_k"))
     agreement = sg.v_measure(found.join(truth, "mut_id").select(*mo.MUT, "true_k", F.col("component").alias("est_k")))
     rate = lambda s: F.max(F.when(F.col("sample_id") == s, F.col("center")))
